@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, licenses
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_license_scan": licenses.op7_license_scan,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.SQL,
