@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, licenses
+from tessera.llm import exact_dedup, licenses, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_license_scan": licenses.op7_license_scan,
 }
