@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, langid, licenses, pii, warc
+from tessera.llm import decontaminate, exact_dedup, langid, licenses, pii, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_license_scan": licenses.op7_license_scan,
     "op8_warc": warc.op8_warc,
     "op9_langid": langid.op9_langid,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.SQL,
