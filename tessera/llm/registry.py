@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, langid, licenses, line_dedup, near_dedup, pii, warc
+from tessera.llm import decontaminate, exact_dedup, html_extract, langid, licenses, line_dedup, near_dedup, pii, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_html_extract": html_extract.op4_html_extract,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_license_scan": licenses.op7_license_scan,
