@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, langid, licenses, line_dedup, near_dedup, pii, warc
+from tessera.llm import decontaminate, exact_dedup, html_extract, langid, licenses, line_dedup, mix_sources, near_dedup, pii, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_mix_sources": mix_sources.op2_mix_sources,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_html_extract": html_extract.op4_html_extract,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
+    "op2_mix_sources": mix_sources.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_warc": warc.SQL,
 }
