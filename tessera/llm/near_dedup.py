@@ -9,11 +9,15 @@ with probability 3e-9 at depth 2 and 7e-6 at depth 4.
 
 Only connectivity is asked for, so no node is expanded into all pairs while that can be avoided: each
 node first compares its classes with one hub; links found are joined into components, and from then on
-only pairs across components count. Nodes of one component are done; in a node with at most LEAF
+only pairs across components count. Nodes of one component are done; in a node with at most MINOR
 members outside its largest component these are compared with all others; any other large node
 branches. What is left at the last depth has all pairs across components compared, so nothing is
-capped. Candidates are confirmed on full shingle sets, which are made only for classes that share a
-node with another one.
+capped.
+
+Comparing a pair starts with sizes and with parities, a bitmap of PARITY bits that holds whether an odd
+number of shingles fell on each bit: two sets differ in at least as many shingles as their parities
+in bits, so this drops pairs without an error. What passes is confirmed on full shingle sets, which
+are made only for classes that share a node with another one.
 
 Groups of exact copies are one class; hubs of large groups meet their members in sort-merge joins that
 Spark can split; components come from alternating large-star and small-star steps on written tables.
@@ -27,11 +31,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import small_batches, written
@@ -39,9 +42,8 @@ from tessera.llm.textarrays import NONBLANK, mixed, text_blocks, words
 from tessera.session import table
 
 COORDINATES, TREES, LEAF = 64, 16, 32
+MINOR, PARITY = 2048, 1024
 DEPTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
-#: From this depth on a node too large for a leaf is compared with its hub.
-HUB_DEPTH = 3
 #: Classes whose keys may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
 _RNG = np.random.default_rng(7)
@@ -81,6 +83,11 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits as int64 words."""
+    return np.packbits((np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def class_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -92,9 +99,10 @@ def _sketch(k: int):
             for sets in shingle_sets(batch.column(2), k):
                 full = [s for s in sets if len(s)]
                 sig = iter(minwise(full)) if full else iter(())
-                rows = [(len(s), class_key(s), next(sig).astype(">u4").tobytes()) if len(s) else (0, None, None) for s in sets]
-                n, key, sketch = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "th", "n", "key", "sig"])
+                rows = [(len(s), class_key(s), next(sig).astype(">u4").tobytes(), parity(s)) if len(s) else (0, None, None, None) for s in sets]
+                n, key, sketch, par = zip(*rows, strict=True)
+                columns = [batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(par, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "key", "sig", "par"])
                 at += len(sets)
 
     return run
@@ -135,20 +143,19 @@ class Join:
         small_batches(spark)
         self.spark, self.percent = spark, percent
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-        self.docs = written(spark, rows.mapInArrow(_sketch(shingle), "doc_id bigint, th bigint, n bigint, key binary, sig binary"), "sketches")
-        reps = self.docs.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.min("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("doc_id"))
+        self.docs = written(spark, rows.mapInArrow(_sketch(shingle), "doc_id bigint, th bigint, n bigint, key binary, sig binary, par array<bigint>"), "sketches")
+        reps = self.docs.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("par").alias("par"), F.min("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("doc_id"))
         self.reps = written(spark, reps.select(F.monotonically_increasing_id().alias("rid"), "*"), "classes")
-        self.links, self.comps = [], None
+        self.comps = None
         active = self.reps.select("rid", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
         for depth in DEPTHS:
             nodes = self.nodes(active, depth)
             if self.comps is None:
                 self.make_sets(rows, nodes, shingle)
-            hubs = nodes.where("rid <> hub") if depth >= HUB_DEPTH else nodes.where((F.col("rid") != F.col("hub")) & (F.col("c") <= LEAF))
-            self.confirm(hubs.select(F.col("hub").alias("a"), F.col("rid").alias("b")))
+            self.confirm(nodes.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
             nodes = self.open_nodes(nodes)
             last = depth == DEPTHS[-1]
-            settled = F.lit(last) | (F.col("c") <= LEAF) | ((F.col("minor") <= LEAF) & F.lit(depth >= HUB_DEPTH))
+            settled = F.lit(last) | (F.col("c") <= LEAF) | (F.col("minor") <= MINOR)
             self.confirm(self.across(nodes.where(settled)))
             large = nodes.where(~settled)
             if last or large.isEmpty():
@@ -173,39 +180,49 @@ class Join:
         made = texts.mapInArrow(_sets(shingle), "key binary, members array<bigint>")
         self.sets = written(self.spark, made.join(wanted.select("rid", "key"), "key").select("rid", "members"), "sets")
 
+    def may_link(self, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
+        """False only for pairs that cannot reach the similarity: 100 * common >= percent * (n1 + n2 - common)."""
+        common = F.ceil(self.percent * (n1 + n2) / (100 + self.percent) - 1e-9)
+        differing = F.aggregate(F.zip_with(p1, p2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return F.when(100 * F.least(n1, n2) < self.percent * F.greatest(n1, n2), F.lit(False)).otherwise(differing <= n1 + n2 - 2 * common)
+
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds the pairs (a, b) that are similar on their full sets to the links, and joins components anew."""
+        """Finds the pairs (a, b) that are similar on their full sets, and joins components anew."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        side = lambda x: self.sets.select(F.col("rid").alias(x), F.col("members").alias(f"m_{x}"), F.size("members").cast("bigint").alias(f"n_{x}"))
-        n = self.reps.select("rid", "n")
-        for x in "ab":
-            pairs = pairs.join(n.withColumnsRenamed({"rid": x, "n": f"size_{x}"}), x)
-        pairs = pairs.where(100 * F.least("size_a", "size_b") >= self.percent * F.greatest("size_a", "size_b")).select("a", "b")
+        short = lambda x: self.reps.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("par").alias(f"p_{x}"))
+        pairs = pairs.join(short("a"), "a").join(short("b"), "b").where(self.may_link(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))).select("a", "b")
+        pairs = written(self.spark, pairs, "pairs")
+        side = lambda x: self.sets.select(F.col("rid").alias(x), F.col("members").alias(f"m_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("m_a", "m_b")).cast("bigint")
-        found = both.select("a", "b", "n_a", "n_b", common.alias("c")).where(100 * F.col("c") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b")
-        self.links.append(written(self.spark, found, "links"))
-        self.comps = written(self.spark, components(self.spark, reduce(DataFrame.unionByName, self.links)), "components")
+        common, total = F.size(F.array_intersect("m_a", "m_b")).cast("bigint"), (F.size("m_a") + F.size("m_b")).cast("bigint")
+        found = written(self.spark, both.select("a", "b", common.alias("c"), total.alias("n")).where(100 * F.col("c") >= self.percent * (F.col("n") - F.col("c"))).select("a", "b"), "links")
+        if self.comps is None:
+            self.comps = written(self.spark, components(self.spark, found), "components")
+        elif not found.isEmpty():
+            self.comps = written(self.spark, components(self.spark, found.unionByName(self.comps.select(F.col("rid").alias("a"), F.col("root").alias("b")))), "components")
 
     def rooted(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.comps, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
 
     def open_nodes(self, nodes: DataFrame) -> DataFrame:
-        """Members, with their roots, of the nodes that hold more than one component; minor: members outside the largest one, rare: whether this is such a member."""
+        """Members, with roots and parities, of the nodes that hold more than one component; minor: members outside the largest one, rare: whether this is such a member."""
         rows = self.rooted(nodes)
         sizes = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
         most = sizes.groupBy("h").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         most = most.select("h", (F.col("all") - F.col("top.k")).alias("minor"), F.col("top.root").alias("major"))
-        return written(self.spark, rows.join(most, "h").withColumn("rare", F.col("root") != F.col("major")).drop("major"), "open")
+        rows = rows.join(most, "h").withColumn("rare", F.col("root") != F.col("major")).drop("major")
+        return written(self.spark, rows.join(self.reps.select("rid", "par"), "rid"), "open")
 
     def across(self, nodes: DataFrame) -> DataFrame:
-        """All pairs (a, b) across components within nodes: leaves from their gathered members, larger nodes by joining the members outside the largest component with all."""
-        leaves = nodes.where(F.col("c") <= LEAF).groupBy("h").agg(F.collect_list(F.struct("rid", "root")).alias("m"))
-        pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["rid"] > x["rid"]) & (y["root"] != x["root"])), lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b")))))
+        """Pairs (a, b) across components within nodes that may link: leaves from their gathered members, larger nodes by joining the members outside the largest component with all."""
+        leaves = nodes.where(F.col("c") <= LEAF).groupBy("h").agg(F.collect_list(F.struct("rid", "root", "n", "par")).alias("m"))
+        later = lambda x, y: (y["rid"] > x["rid"]) & (y["root"] != x["root"]) & self.may_link(x["n"], x["par"], y["n"], y["par"])
+        pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: later(x, y)), lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b")))))
         found = leaves.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-        large = nodes.where(F.col("c") > LEAF)
-        rare = large.where("rare").select("h", F.col("rid").alias("b"), F.col("root").alias("root_b"))
-        return found.unionByName(large.join(rare, "h").where("root <> root_b").select(F.col("rid").alias("a"), "b"))
+        large = nodes.where(F.col("c") > LEAF).select("h", "rid", "root", "n", "par", "rare")
+        rare = large.where("rare").select("h", *(F.col(c).alias(f"{c}_b") for c in ("rid", "root", "n", "par")))
+        met = large.join(rare, "h").where((F.col("root") != F.col("root_b")) & self.may_link(F.col("n"), F.col("par"), F.col("n_b"), F.col("par_b")))
+        return found.unionByName(met.select(F.col("rid").alias("a"), F.col("rid_b").alias("b")))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""
