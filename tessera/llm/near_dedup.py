@@ -240,5 +240,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     return Join(spark, docs, shingle, percent).result()
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one with the smallest doc_id; all columns stay.
+
+    The documents that go are told by doc_id and text, so texts are moved only where those are too many
+    to broadcast. Of rows that repeat the doc_id and text of the document that
+    stays, any one stays.
+    """
+    run = Join(spark, docs, shingle, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
+    rows = run.docs.where("n > 0").select("doc_id", "th", "key").join(run.rooted(run.reps.select("rid", "key")).select("key", "root"), "key")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "root").where(order != F.col("first")).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct()
+    gone = written(spark, gone, "near-gone")
+    same = lambda keys: (F.xxhash64(docs["text"]) == keys["g_th"]) & docs["doc_id"].cast("bigint").eqNullSafe(keys["g_id"])
+    kept = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, same(gone), "left_anti")
+    again = written(spark, run.docs.where("n > 0").groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).count().where("count > 1").drop("count"), "near-again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, table(spark, sf_dir, "documents"), 3, 85)
