@@ -1,11 +1,297 @@
-"""All registered queries of the library and their DuckDB SQL."""
+"""All registered queries of the library with the DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import documents as dc
+from tessera.operators import gallery, logs, norms, policy, search
+from tessera.session import table
+from tessera.sources import files
+
+QUERY, K = "license und the", 20
+TERMS = ("license", "und", "the")
+NOW = "2024-01-31 00:00:00"
+POLICY = policy.Policy(approved=[f"src{i}" for i in range(10)], blocked=["/src3", "/src5/de", "/src0/en/0.txt"], ignored={"src7": ["/src7/fr"]}, patterns=["*99*"])
+IDS = [17, 3, 250, 42, 180, 5]
+#: The twelve photos (tile, stars, tags) of the worked example.
+PHOTOS = [(1, 3, ["Baustelle"]), (2, None, []), (3, 4, ["Fassade"]), (4, 4, ["Fassade"]), (5, None, []), (6, 4, ["Fassade", "Dach"]), (7, 1, []), (8, None, []), (9, 2, ["Fassade"]), (10, 2, []), (11, None, ["Dach"]), (12, None, [])]
+#: Licence lines stand in for standards: (publisher, number, newest edition).
+CATALOGUE = [("apache", "license", 2), ("gpl", "license", 2), ("gpl", "license", 3), ("cc", "by-nc", 5)]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return files.documents_view(table(spark, d, "documents"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events")
+
+
+def search_topk(spark, d):
+    docs = _docs(spark, d)
+    return search.search(search.build_index(docs), QUERY, k=K).join(docs.drop("text"), "id").select("id", "score", "name", "path", "project")
+
+
+def search_all_terms(spark, d):
+    return search.search(search.build_index(_docs(spark, d)), QUERY, "all", K)
+
+
+def search_hit_count(spark, d):
+    return search.hit_count(search.build_index(_docs(spark, d)), QUERY)
+
+
+def search_snippet(spark, d):
+    docs = _docs(spark, d)
+    return search.with_excerpts(search.search(search.build_index(docs), QUERY, k=K), docs, QUERY)
+
+
+def search_highlight(spark, d):
+    docs = _docs(spark, d)
+    return search.with_excerpts(search.search(search.build_index(docs), QUERY, k=K), docs, QUERY, marked=True)
+
+
+def search_in_project(spark, d):
+    docs = _docs(spark, d).where(F.col("project") == "src4")
+    return search.search(search.build_index(docs), QUERY, k=K)
+
+
+def search_names(spark, d):
+    """Search over file and folder names instead of contents."""
+    docs = _docs(spark, d).withColumn("text", F.col("path"))
+    return search.search(search.build_index(docs), "src4 fr", "all", None)
+
+
+def filter_type(spark, d):
+    return files.pages_view(table(spark, d, "pages")).where(F.col("ext").isin("html"))
+
+
+def filter_date(spark, d):
+    return _events(spark, d).where((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz"))).select("event_id", "ts")
+
+
+def exclude_wildcard(spark, d):
+    return policy.excluded(_docs(spark, d), ["*99*", "*SRC1?*", "d*"]).select("id", "path")
+
+
+def exclude_folder(spark, d):
+    return policy.without_ignored(_docs(spark, d), POLICY.ignored).select("id", "path")
+
+
+def allow_folder(spark, d):
+    return policy.allowed(_docs(spark, d), ["/src1", "/src2/en/"]).select("id", "path")
+
+
+def ai_visible(spark, d):
+    return policy.visible(_docs(spark, d), POLICY).select("id", "name", "path", "project")
+
+
+def ai_search(spark, d):
+    docs = policy.visible(_docs(spark, d), POLICY)
+    return search.with_excerpts(search.search(search.build_index(docs), QUERY, k=K), docs, QUERY)
+
+
+def ai_projects(spark, d):
+    """Projects that may be named at all, with their visible documents."""
+    return policy.visible(_docs(spark, d), POLICY).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+
+
+def log_block_count(spark, d):
+    return policy.blocked_count(_docs(spark, d), POLICY)
+
+
+def read_blocks(spark, d):
+    return dc.read_blocks(_docs(spark, d))
+
+
+def list_folder(spark, d):
+    docs = policy.visible(_docs(spark, d), POLICY)
+    docs = docs.where(~norms.is_norm(F.coalesce("text", F.lit(""))))
+    return dc.list_folder(docs, "/src5").unionByName(dc.list_folder(docs, "/src4/en"))
+
+
+def resolve_id(spark, d):
+    return dc.resolve_ids(policy.visible(_docs(spark, d), POLICY), IDS)
+
+
+def copy_selection(spark, d):
+    return dc.copy_selection(_docs(spark, d), IDS)
+
+
+def merge_selection(spark, d):
+    return dc.merge_selection(files.pages_view(table(spark, d, "pages")), list(range(0, 60, 7)), "html")
+
+
+def top1_per_project(spark, d):
+    return dc.top_per_project(_docs(spark, d).withColumn("n", F.length("text")), F.desc("n"), "id").select("project", "id", "n")
+
+
+def norm_detect(spark, d):
+    return _docs(spark, d).where(norms.is_norm(F.col("text"))).select("id", "path")
+
+
+def norm_redacted_search(spark, d):
+    docs = _docs(spark, d)
+    hits = search.with_excerpts(search.search(search.build_index(docs), QUERY, k=K), docs, QUERY, ("name", "text"))
+    return norms.redacted(hits, norms.is_norm(F.col("text"))).drop("text")
+
+
+def _licences(spark, d):
+    t = F.col("text")
+    kind = F.when(F.contains(t, F.lit("Apache License")), "apache").when(F.contains(t, F.lit("General Public License")), "gpl").when(F.contains(t, F.lit("CC BY-NC")), "cc").when(F.contains(t, F.lit("MIT License")), "mit")
+    number = F.when(kind == "cc", "by-nc").otherwise("license")
+    year = F.nullif(F.regexp_extract(t, r"(?i)(?:License, version |CC BY-NC )([0-9]+)", 1), F.lit("")).cast("int")
+    return _docs(spark, d).where(norms.is_norm(t)).select("id", kind.alias("publisher"), number.alias("number"), year.alias("year"))
+
+
+def norm_validity(spark, d):
+    return norms.validity(_licences(spark, d), norms.catalogue_of(spark, CATALOGUE), ("apache", "gpl", "cc"))
+
+
+def norm_summary(spark, d):
+    return norms.summary(norm_validity(spark, d))
+
+
+def log_retention(spark, d):
+    return logs.retained(logs.anonymous(_events(spark, d)), NOW, 14).select("event_id", "ts", "event_type")
+
+
+def log_chars_sent(spark, d):
+    return logs.access_totals(_events(spark, d), F.col("props"))
+
+
+def daily_counts(spark, d):
+    return logs.daily_counts(_events(spark, d))
+
+
+def daily_counts_by_kind(spark, d):
+    return logs.daily_counts(_events(spark, d), "event_type")
+
+
+def expire_idle(spark, d):
+    return logs.idle(_events(spark, d), "user_id", NOW, 5)
+
+
+def min_group_publish(spark, d):
+    return logs.published(_events(spark, d), "user_id")
+
+
+def _photos(spark):
+    return spark.createDataFrame(PHOTOS, "id int, rating int, tags array<string>")
+
+
+def gallery_filter(spark, d):
+    return gallery.filtered(_photos(spark), 3, "Fassade").select("id", "rating")
+
+
+def gallery_tag(spark, d):
+    photos = _photos(spark)
+    return gallery.filtered(gallery.tagged(photos, gallery.filtered(photos, 2), "Auswahl"), 0, "Auswahl").select("id", F.size("tags").alias("n_tags"))
+
+
+def postings_build(spark, d):
+    return search.build_index(_docs(spark, d)).postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+def mail_threads(spark, d):
+    """Exported mail: conversations as threads, with their first and last sender."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("mails"), F.min_by("role", "turn").alias("first_sender"), F.max_by("role", "turn").alias("last_sender"))
+    return c
+
+
+_RUNS = (
+    search_topk, search_all_terms, search_hit_count, search_snippet, search_highlight, search_in_project, search_names, filter_type, filter_date,
+    exclude_wildcard, exclude_folder, allow_folder, ai_visible, ai_search, ai_projects, log_block_count, read_blocks, list_folder, resolve_id,
+    copy_selection, merge_selection, top1_per_project, norm_detect, norm_redacted_search, norm_validity, norm_summary, log_retention, log_chars_sent,
+    daily_counts, daily_counts_by_kind, expire_idle, min_group_publish, gallery_filter, gallery_tag, postings_build, mail_threads,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _RUNS}
+
+
+_VIEW = "v AS (SELECT doc_id AS id, doc_id || '.txt' AS name, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, source AS project, text FROM documents)"
+_BELOW = lambda *folders: "(" + " OR ".join(f"starts_with(path || '/', '{f.rstrip('/')}/')" for f in folders) + ")"
+_WILD = lambda *patterns: "(" + " OR ".join(f"len(list_filter(string_split(lower(path), '/'), lambda x: x LIKE '{tx.like_of(p)}' ESCAPE '\\')) > 0" for p in patterns) + ")"
+_SHOWN = (
+    f"w AS (SELECT * FROM v WHERE project IN ({', '.join(repr(p) for p in POLICY.approved)}) AND NOT {_BELOW(*POLICY.blocked)}"
+    f" AND NOT (project = 'src7' AND {_BELOW('/src7/fr')}) AND NOT {_WILD(*POLICY.patterns)})"
+)
+_NORM = "regexp_matches(left(text, 500) || chr(10) || right(text, 500), '(?i)licen[sc]e|copyright|©|all rights reserved')"
+
+
+def _bm25(source: str, having: str = "", terms=TERMS, limit: str = f"LIMIT {K}", text: str = "text") -> str:
+    names = ", ".join(f"'{t}'" for t in terms)
+    return f"""
+tok AS (SELECT id, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS t FROM {source}),
+len AS (SELECT id, len(t) AS dl FROM tok),
+tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+post AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tok) WHERE term IN ({names}) GROUP BY ALL),
+met AS (SELECT * FROM post WHERE id IN (SELECT id FROM post GROUP BY id {having})),
+df AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM met, tot GROUP BY term, n),
+hits AS (SELECT id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+         FROM met JOIN df USING (term) JOIN len USING (id), tot GROUP BY id ORDER BY score DESC, id {limit})"""
+
+
+def _excerpt(text: str = "text") -> str:
+    spaced = f"(' ' || regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g') || ' ')"
+    at = ", ".join(f"nullif(instr({spaced}, ' {t} '), 0)" for t in TERMS)
+    return f"substr({text}, greatest(1, coalesce(least({at}), 0) - 60), 220)"
+
+
+def _marked(text: str) -> str:
+    apart = f"regexp_replace({text}, '([^\\p{{L}}\\p{{N}}])', chr(1) || '\\1' || chr(1), 'g')"
+    return f"replace(regexp_replace({apart}, '(?i)(^|' || chr(1) || ')({'|'.join(TERMS)})($|' || chr(1) || ')', '\\1<mark>\\2</mark>\\3', 'g'), chr(1), '')"
+
+
+_VALID = """
+n AS (SELECT doc_id AS id, text, CASE WHEN contains(text, 'Apache License') THEN 'apache' WHEN contains(text, 'General Public License') THEN 'gpl' WHEN contains(text, 'CC BY-NC') THEN 'cc' WHEN contains(text, 'MIT License') THEN 'mit' END AS publisher FROM documents WHERE """ + _NORM + """),
+p AS (SELECT id, publisher, CASE WHEN publisher = 'cc' THEN 'by-nc' ELSE 'license' END AS number, CAST(nullif(regexp_extract(text, '(?i)(?:License, version |CC BY-NC )([0-9]+)', 1), '') AS INTEGER) AS year FROM n),
+c AS (SELECT * FROM (VALUES ('apache', 'license', 2), ('gpl', 'license', 3), ('cc', 'by-nc', 5)) t(publisher, number, newest)),
+s AS (SELECT publisher, number, id, year, CASE WHEN newest IS NULL OR year IS NULL THEN 'unchecked' WHEN year < newest THEN 'outdated' ELSE 'current' END AS status FROM p LEFT JOIN c USING (publisher, number))"""
+_PAGES = "v AS (SELECT page_id AS id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS project FROM pages), w AS (SELECT *, lower(regexp_extract(path, '\\.([^./?#]+)$', 1)) AS ext FROM v)"
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    ids = ", ".join(map(str, IDS))
+    return {
+        "search_topk": f"WITH {_VIEW}, {_bm25('v')} SELECT id, score, name, path, project FROM hits JOIN v USING (id)",
+        "search_all_terms": f"WITH {_VIEW}, {_bm25('v', 'HAVING count(*) = 3')} SELECT * FROM hits",
+        "search_hit_count": f"WITH {_VIEW}, {_bm25('v')} SELECT count(DISTINCT id) AS hits FROM met",
+        "search_snippet": f"WITH {_VIEW}, {_bm25('v')} SELECT id, score, name, path, project, {_excerpt()} AS excerpt FROM hits JOIN v USING (id)",
+        "search_highlight": f"WITH {_VIEW}, {_bm25('v')} SELECT id, score, name, path, project, {_marked(_excerpt())} AS excerpt FROM hits JOIN v USING (id)",
+        "search_in_project": f"WITH {_VIEW}, w AS (SELECT * FROM v WHERE project = 'src4'), {_bm25('w')} SELECT * FROM hits",
+        "search_names": f"WITH {_VIEW}, {_bm25('v', 'HAVING count(*) = 2', ('src4', 'fr'), '', 'path')} SELECT * FROM hits",
+        "filter_type": f"WITH {_PAGES} SELECT * FROM w WHERE ext = 'html'",
+        "filter_date": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'",
+        "exclude_wildcard": f"WITH {_VIEW} SELECT id, path FROM v WHERE NOT {_WILD('*99*', '*SRC1?*', 'd*')}",
+        "exclude_folder": f"WITH {_VIEW} SELECT id, path FROM v WHERE NOT (project = 'src7' AND {_BELOW('/src7/fr')})",
+        "allow_folder": f"WITH {_VIEW} SELECT id, path FROM v WHERE {_BELOW('/src1', '/src2/en')}",
+        "ai_visible": f"WITH {_VIEW}, {_SHOWN} SELECT id, name, path, project FROM w",
+        "ai_search": f"WITH {_VIEW}, {_SHOWN}, {_bm25('w')} SELECT id, score, name, path, project, {_excerpt()} AS excerpt FROM hits JOIN w USING (id)",
+        "ai_projects": f"WITH {_VIEW}, {_SHOWN} SELECT project, count(*) AS n FROM w GROUP BY project",
+        "log_block_count": f"WITH {_VIEW} SELECT count(*) AS blocked FROM v WHERE project IN ({', '.join(repr(p) for p in POLICY.approved)}) AND {_BELOW(*POLICY.blocked)}",
+        "read_blocks": f"WITH {_VIEW} SELECT id, CAST(b AS INTEGER) AS block_no, substr(text, b * 8000 + 1, 8000) AS text FROM (SELECT id, text, unnest(range(CAST(ceil(length(text) / 8000.0) AS BIGINT))) AS b FROM v)",
+        "list_folder": f"WITH {_VIEW}, {_SHOWN}, x AS (SELECT * FROM w WHERE NOT {_NORM}), y AS (SELECT substr(path, 7) AS r FROM x WHERE starts_with(path, '/src5/') UNION ALL SELECT substr(path, 10) FROM x WHERE starts_with(path, '/src4/en/')) SELECT DISTINCT split_part(r, '/', 1) AS name, CASE WHEN contains(r, '/') THEN 'folder' ELSE 'file' END AS kind FROM y",
+        "resolve_id": f"WITH {_VIEW}, {_SHOWN} SELECT id, path FROM w WHERE id IN ({ids})",
+        "copy_selection": f"WITH {_VIEW} SELECT CAST(list_position([{ids}], id) AS BIGINT) AS position, id, path FROM v WHERE id IN ({ids})",
+        "merge_selection": f"WITH {_PAGES} SELECT row_number() OVER (ORDER BY id) AS position, id, path FROM w WHERE ext = 'html' AND id IN ({', '.join(map(str, range(0, 60, 7)))})",
+        "top1_per_project": f"WITH {_VIEW} SELECT project, id, CAST(length(text) AS INTEGER) AS n FROM v QUALIFY row_number() OVER (PARTITION BY project ORDER BY length(text) DESC, id) = 1",
+        "norm_detect": f"WITH {_VIEW} SELECT id, path FROM v WHERE {_NORM}",
+        "norm_redacted_search": f"WITH {_VIEW}, {_bm25('v')} SELECT id, score, name, CASE WHEN NOT {_NORM} THEN {_excerpt()} END AS excerpt FROM hits JOIN v USING (id)",
+        "norm_validity": f"WITH {_VALID} SELECT * FROM s",
+        "norm_summary": f"WITH {_VALID} SELECT status, count(*) AS n FROM s GROUP BY status",
+        "log_retention": f"SELECT event_id, ts, event_type FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY",
+        "log_chars_sent": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS tool, count(*) AS calls, CAST(sum(length(props)) AS BIGINT) AS chars, CAST(sum(ceil(length(props) / 8000.0)) AS BIGINT) AS blocks FROM events GROUP BY ALL",
+        "daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL",
+        "daily_counts_by_kind": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+        "expire_idle": f"SELECT user_id, max(ts) AS last FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '{NOW}' - INTERVAL 5 HOUR",
+        "min_group_publish": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 5",
+        "gallery_filter": "SELECT * FROM (VALUES (3, 4), (4, 4), (6, 4)) t(id, rating)",
+        "gallery_tag": "SELECT * FROM (VALUES (1, 2), (3, 2), (4, 2), (6, 3), (9, 2), (10, 1)) t(id, n_tags)",
+        "postings_build": f"WITH {_VIEW}, p AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM v) GROUP BY ALL) SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY term",
+        "mail_threads": "SELECT conv_id, count(*) AS mails, arg_min(role, turn) AS first_sender, arg_max(role, turn) AS last_sender FROM conversations GROUP BY conv_id",
+    }
