@@ -188,4 +188,25 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    made = report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Windows of ten words by a moving string_agg; items of fewer words meet any position by comparing prefixes of that string.
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS r, {_WORDS} AS w FROM benchmark),
+dw AS (SELECT doc_id, j, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) || ' ' AS s
+       FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d)),
+bw AS (SELECT item_id, n, j, string_agg(x, ' ') OVER (PARTITION BY r ORDER BY j ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) || ' ' AS s
+       FROM (SELECT item_id, r, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM b)),
+win AS (SELECT DISTINCT item_id, least(n, {WINDOW}) AS k, s FROM bw WHERE j = 1 OR j <= n - {WINDOW - 1}),
+ks AS (SELECT DISTINCT k FROM win),
+occ AS (SELECT doc_id, j, k, CASE WHEN k = {WINDOW} THEN s ELSE array_to_string(list_slice(string_split(s, ' '), 1, k), ' ') || ' ' END AS s FROM dw, ks),
+hit AS (SELECT doc_id, j, k, item_id FROM occ JOIN win USING (k, s)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -20,4 +20,5 @@ ORACLES = {
     "op2_mix_sources": mix_sources.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_warc": warc.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
