@@ -201,11 +201,62 @@ def mail_threads(spark, d):
     return c
 
 
+def search_everything(spark, d):
+    """One search over documents and mails."""
+    docs, mails = _docs(spark, d), files.mails_view(table(spark, d, "conversations"))
+    both = docs.select("id", "path", "text", F.lit(None).cast("string").alias("sender")).unionByName(mails.select("id", "path", "text", "sender"))
+    return search.search(search.build_index(both), QUERY, k=K).join(both.drop("text"), "id").select("id", "score", "path", "sender")
+
+
+def format_tags(spark, d):
+    return files.pages_view(table(spark, d, "pages")).groupBy("ext").agg(F.count(F.lit(1)).alias("n"))
+
+
+def html_plain_text(spark, d):
+    text = files.html_text(F.coalesce("html", F.lit("")))
+    return table(spark, d, "pages").select("page_id", text.alias("text")).select("page_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+SHEETS = [(1, "text", 210, 297), (2, " ", 210, 297), (3, None, 841, 594), (4, None, 840, 593), (5, "", 1189, 841)]
+
+
+def ocr_route(spark, d):
+    return files.ocr_route(spark.createDataFrame(SHEETS, "id int, text string, width_mm int, height_mm int")).select("id", "route")
+
+
+DESIGNATIONS = ["SIA 118:2013", "Norm SIA 261/1:2014 Tragwerke", "VSS 40050:2019", "SN EN 1992:2004", "DIN 276", "Plan"]
+
+
+def norm_designation(spark, d):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(DESIGNATIONS)], "id int, text string")
+    return norms.designations(rows).drop("text")
+
+
+def log_anonymous(spark, d):
+    """What an access log keeps: time and tool, nobody and no device."""
+    return logs.anonymous(_events(spark, d)).select("event_id", "ts", "event_type", "value", "props")
+
+
+def log_access_retention(spark, d):
+    return logs.retained(_events(spark, d), "2025-01-15 00:00:00", logs.ACCESS_DAYS).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gallery_rate(spark, d):
+    """All visible photos chosen and given five stars."""
+    photos = _photos(spark)
+    return gallery.rated(photos, gallery.filtered(photos, 4), 5).select("id", "rating")
+
+
+def gallery_tags(spark, d):
+    return _photos(spark).select("id", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 _RUNS = (
     search_topk, search_all_terms, search_hit_count, search_snippet, search_highlight, search_in_project, search_names, filter_type, filter_date,
     exclude_wildcard, exclude_folder, allow_folder, ai_visible, ai_search, ai_projects, log_block_count, read_blocks, list_folder, resolve_id,
     copy_selection, merge_selection, top1_per_project, norm_detect, norm_redacted_search, norm_validity, norm_summary, log_retention, log_chars_sent,
     daily_counts, daily_counts_by_kind, expire_idle, min_group_publish, gallery_filter, gallery_tag, postings_build, mail_threads,
+    search_everything, format_tags, html_plain_text, ocr_route, norm_designation, log_anonymous, log_access_retention, gallery_rate, gallery_tags,
 )
 
 
@@ -293,5 +344,14 @@ def oracle_sql() -> dict[str, str]:
         "gallery_filter": "SELECT * FROM (VALUES (3, 4), (4, 4), (6, 4)) t(id, rating)",
         "gallery_tag": "SELECT * FROM (VALUES (1, 2), (3, 2), (4, 2), (6, 3), (9, 2), (10, 1)) t(id, n_tags)",
         "postings_build": f"WITH {_VIEW}, p AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM v) GROUP BY ALL) SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY term",
+        "search_everything": f"WITH {_VIEW}, e AS (SELECT id, path, text, NULL AS sender FROM v UNION ALL SELECT -1 - conv_id * 1000 - turn, '/mail/' || conv_id || '/' || conv_id || '-' || turn || '.eml', text, role FROM conversations), {_bm25('e')} SELECT id, score, path, sender FROM hits JOIN e USING (id)",
+        "format_tags": f"WITH {_PAGES} SELECT ext, count(*) AS n FROM w GROUP BY ext",
+        "html_plain_text": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS x FROM pages) SELECT page_id, CAST(length(x) AS INTEGER) AS n_chars, md5(x) AS digest FROM t",
+        "ocr_route": "SELECT * FROM (VALUES (1, 'text'), (2, 'ocr'), (3, 'name_only'), (4, 'ocr'), (5, 'name_only')) t(id, route)",
+        "norm_designation": "SELECT * FROM (VALUES (0, 'SIA', '118', 2013), (1, 'SIA', '261/1', 2014), (2, 'VSS', '40050', 2019), (3, 'SN EN', '1992', 2004), (4, 'DIN', '276', NULL), (5, NULL, NULL, NULL)) t(id, publisher, number, year)",
+        "log_anonymous": "SELECT event_id, ts, event_type, value, props FROM events",
+        "log_access_retention": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2025-01-15' - INTERVAL 365 DAY GROUP BY event_type",
+        "gallery_rate": "SELECT * FROM (VALUES (1, 3), (2, NULL), (3, 5), (4, 5), (5, NULL), (6, 5), (7, 1), (8, NULL), (9, 2), (10, 2), (11, NULL), (12, NULL)) t(id, rating)",
+        "gallery_tags": "SELECT * FROM (VALUES ('Baustelle', 1), ('Dach', 2), ('Fassade', 4)) t(tag, n)",
         "mail_threads": "SELECT conv_id, count(*) AS mails, arg_min(role, turn) AS first_sender, arg_max(role, turn) AS last_sender FROM conversations GROUP BY conv_id",
     }

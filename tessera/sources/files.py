@@ -49,6 +49,18 @@ def plain_text(files: DataFrame) -> DataFrame:
     return files.where(F.col("ext").isin("txt", "md", "csv", "html")).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def html_text(html: Column) -> Column:
+    """Searchable text of a page: no scripts, styles and comments, a blank for each run of tags and white space."""
+    bare = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
+
+
+def mails_view(conversations: DataFrame) -> DataFrame:
+    """id, name, path, project, sender, text: turns of conversations seen as mails of a thread; ids follow those of no document."""
+    name = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return conversations.select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("id"), F.concat(name, F.lit(".eml")).alias("name"), F.concat(F.lit("/mail/"), F.col("conv_id").cast("string"), F.lit("/"), name, F.lit(".eml")).alias("path"), F.lit("mail").alias("project"), F.col("role").alias("sender"), "text")
+
+
 def ocr_route(files: DataFrame) -> DataFrame:
     """Adds route: text (has a text layer), name_only (A1 or larger, at least 594 x 841 mm), ocr (the rest). Columns text, width_mm, height_mm."""
     short, long = F.least("width_mm", "height_mm"), F.greatest("width_mm", "height_mm")
