@@ -5,7 +5,7 @@ class, and classes are joined. In each of TREES independent trees a node holds t
 on the minwise tokens chosen so far; the tokens of a tree are coordinates of its own. A node of at
 most LEAF classes is compared exhaustively, a larger one branches by the next tokens (DEPTHS). A pair
 of similarity s meets at depth d of one tree with probability s**d, so 16 trees miss a pair at 0.85
-with probability 3e-9 at depth 2 and 7e-6 at depth 4.
+with probability 1e-9 at depth 2 and 7e-6 at depth 4.
 
 Only connectivity is asked for, so no node is expanded into all pairs while that can be avoided: each
 node first compares its classes with one hub; links found are joined into components, and from then on
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import small_batches, written
+from tessera.llm.shared import forget, small_batches, written
 from tessera.llm.textarrays import NONBLANK, mixed, text_blocks, words
 from tessera.session import table
 
@@ -129,10 +129,13 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y"))).distinct()
-        e = written(spark, small, "edges")
+        old, e = e, written(spark, small, "edges")
+        forget(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
         if now == before:
-            return e.groupBy("x").agg(F.min("y").alias("root")).select(F.col("x").alias("rid"), "root")
+            out = written(spark, e.groupBy("x").agg(F.min("y").alias("root")).select(F.col("x").alias("rid"), "root"), "components")
+            forget(e)
+            return out
         before = now
 
 
@@ -153,14 +156,17 @@ class Join:
             if self.comps is None:
                 self.make_sets(rows, nodes, shingle)
             self.confirm(nodes.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
-            nodes = self.open_nodes(nodes)
+            members, nodes = nodes, self.open_nodes(nodes)
+            forget(members)
             last = depth == DEPTHS[-1]
             settled = F.lit(last) | (F.col("c") <= LEAF) | (F.col("minor") <= MINOR)
             self.confirm(self.across(nodes.where(settled)))
             large = nodes.where(~settled)
             if last or large.isEmpty():
+                forget(nodes)
                 break
             active = written(spark, large.select("rid", "t").join(self.reps.select("rid", "n", "sig"), "rid"), "active")
+            forget(nodes)
 
     def nodes(self, active: DataFrame, depth: int) -> DataFrame:
         """(h, t, rid, n, c, hub): members of the nodes that hold two classes or more."""
@@ -179,6 +185,7 @@ class Join:
         texts = rows.join(keys, "th", "left_semi").select("th", "text").dropDuplicates(["th"]).select("text")
         made = texts.mapInArrow(_sets(shingle), "key binary, members array<bigint>")
         self.sets = written(self.spark, made.join(wanted.select("rid", "key"), "key").select("rid", "members"), "sets")
+        forget(wanted)
 
     def may_link(self, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
         """False only for pairs that cannot reach the similarity: 100 * common >= percent * (n1 + n2 - common)."""
@@ -192,14 +199,23 @@ class Join:
         short = lambda x: self.reps.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("par").alias(f"p_{x}"))
         pairs = pairs.join(short("a"), "a").join(short("b"), "b").where(self.may_link(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))).select("a", "b")
         pairs = written(self.spark, pairs, "pairs")
-        side = lambda x: self.sets.select(F.col("rid").alias(x), F.col("members").alias(f"m_{x}"))
+        count = pairs.count()
+        if not count and self.comps is not None:
+            forget(pairs)
+            return
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+        sets = self.sets.join(F.broadcast(ends) if count <= SMALL else ends, "rid", "left_semi")
+        side = lambda x: sets.select(F.col("rid").alias(x), F.col("members").alias(f"m_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         common, total = F.size(F.array_intersect("m_a", "m_b")).cast("bigint"), (F.size("m_a") + F.size("m_b")).cast("bigint")
         found = written(self.spark, both.select("a", "b", common.alias("c"), total.alias("n")).where(100 * F.col("c") >= self.percent * (F.col("n") - F.col("c"))).select("a", "b"), "links")
-        if self.comps is None:
-            self.comps = written(self.spark, components(self.spark, found), "components")
+        old = self.comps
+        if old is None:
+            self.comps = components(self.spark, found)
         elif not found.isEmpty():
-            self.comps = written(self.spark, components(self.spark, found.unionByName(self.comps.select(F.col("rid").alias("a"), F.col("root").alias("b")))), "components")
+            self.comps = components(self.spark, found.unionByName(old.select(F.col("rid").alias("a"), F.col("root").alias("b"))))
+            forget(old)
+        forget(pairs, found)
 
     def rooted(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.comps, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
@@ -253,9 +269,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     gone = rows.join(first, "root").where(order != F.col("first")).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct()
     gone = written(spark, gone, "near-gone")
+    again = written(spark, run.docs.where("n > 0").groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).count().where("count > 1").drop("count"), "near-again")
+    forget(run.docs, run.reps, run.sets, run.comps)
     same = lambda keys: (F.xxhash64(docs["text"]) == keys["g_th"]) & docs["doc_id"].cast("bigint").eqNullSafe(keys["g_id"])
     kept = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, same(gone), "left_anti")
-    again = written(spark, run.docs.where("n > 0").groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).count().where("count > 1").drop("count"), "near-again")
     if again.isEmpty():
         return kept
     return kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -23,8 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    for _ in range(3):  # shuffle files that fed the table are deleted once the driver's JVM finds that nothing refers to them, which takes it two or three collections
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        session = df.sparkSession
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
