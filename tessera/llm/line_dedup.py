@@ -9,13 +9,13 @@ the counts of 2**20 hash buckets over the whole corpus (a table of fixed size; t
 order is total and the join exact whatever the counts). Of a class with n words the first
 n - ceil(t * n) + 1 are its prefix; a shorter partner needs n - ceil(2t / (1 + t) * n) + 1 of them. Two
 classes meet where prefixes share a word, and go on if their lengths, the words' positions and the
-parity of their 64-bit bitmaps allow the similarity. Only then words are fetched, and Jaccard is
+parity of their 128-bit bitmaps allow the similarity. Only then words are fetched, and Jaccard is
 verified exactly.
 
 Large groups of variants of one line would give all their pairs. So each class first meets the
 earliest class of its groups by two minwise words; the classes found to be later matches there are settled,
-and the join asks only for pairs whose later class is open. No pair is lost: a settled class still
-serves as the earlier one. The join is a sort-merge join on the word, which Spark can split.
+and the join asks only for pairs with an open class. No decision is lost: a settled class still serves
+as the earlier one. The join is a sort-merge join on the word, which Spark can split.
 
 Defined results: null text has one empty line; lines without words are never removed. Rows that repeat
 doc_id and text are one document and give equal results. Further columns are ignored by the report
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.native import let
-from tessera.llm.shared import small_batches, written
+from tessera.llm.shared import forget, small_batches, written
 from tessera.llm.textarrays import ALNUM, mixed, spread, text_blocks, words
 from tessera.session import table
 
@@ -41,7 +41,7 @@ BUCKETS = 1 << 20
 #: Rows that may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-LINES = "doc_id bigint, th bigint, line int, n int, key bigint, sig bigint, prefix array<int>, near array<bigint>"
+LINES = "doc_id bigint, th bigint, line int, n int, key bigint, sig bigint, sig2 bigint, prefix array<int>, near array<bigint>"
 
 
 class Lines:
@@ -57,7 +57,12 @@ class Lines:
         if rarity is None:
             self.buckets = bucket
             return
-        order = np.lexsort((h, rarity[bucket], line))
+        # one sort by line, rank of the bucket and the hash's next bits; two words of a line that agree in all of them are so rare that a full sort may follow
+        packed = (line.astype(np.uint64) << np.uint64(44)) | (rarity[bucket] << np.uint64(24)) | ((h >> np.uint64(20)) & np.uint64(0xFFFFFF))
+        order = np.argsort(packed) if len(edges) <= BUCKETS else np.lexsort((h, rarity[bucket], line))
+        packed = packed[order]
+        if len(edges) <= BUCKETS and ((packed[1:] == packed[:-1]) & (h[order[1:]] != h[order[:-1]])).any():
+            order = np.lexsort((h, rarity[bucket], line))
         h, line = h[order], line[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1]))) if len(h) else np.zeros(0, bool)
         self.h, line = h[new], line[new]
@@ -83,13 +88,13 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def rarity(spark: SparkSession, docs: DataFrame) -> np.ndarray:
-    """Counts of words by hash bucket over all documents: BUCKETS numbers come to the driver, however large the corpus."""
+    """Rank of each hash bucket of words by its count over all documents: BUCKETS numbers come to the driver, however large the corpus."""
     small_batches(spark)
     counts = docs.select("text").mapInArrow(_bucket_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
     for r in counts.toLocalIterator():
         out[r["bucket"]] = r["n"]
-    return out
+    return np.argsort(np.argsort(out, kind="stable"), kind="stable").astype(np.uint64)
 
 
 def _lines(rare: Broadcast, percent: int):
@@ -101,21 +106,23 @@ def _lines(rare: Broadcast, percent: int):
                 # a row for each text with its count of lines as n, in place of line -1
                 texts = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, texts), th.slice(a, texts), pa.array(np.full(texts, -1, np.int32)), pa.array(x.n_lines.astype(np.int32)), pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.list_(pa.int32())), pa.nulls(texts, pa.list_(pa.int64()))],
+                    [ids.slice(a, texts), th.slice(a, texts), pa.array(np.full(texts, -1, np.int32)), pa.array(x.n_lines.astype(np.int32)), *[pa.nulls(texts, pa.int64())] * 3, pa.nulls(texts, pa.list_(pa.int32())), pa.nulls(texts, pa.list_(pa.int64()))],
                     NAMES,
                 )
                 if not len(x.h):
                     continue
                 size = x.sizes
                 key = mixed(np.add.reduceat(mixed(x.h), x.starts) + size.astype(np.uint64))
-                sig = np.bitwise_xor.reduceat(np.uint64(1) << (x.h >> np.uint64(58)), x.starts)
+                bit = np.uint64(1) << ((x.h >> np.uint64(57)) & np.uint64(63))
+                upper = (x.h >> np.uint64(63)).astype(bool)
+                sig, sig2 = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), x.starts) for half in (upper, ~upper))
                 near = np.stack([np.minimum.reduceat(mixed(x.h ^ s), x.starts) for s in _SEEDS], 1)
                 near[:, 1] ^= _SEEDS[0]
                 p = size - (percent * size + 99) // 100 + 1
                 prefix = (x.h[spread(x.starts, p)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 rows = pa.array(a + x.text)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), th.take(rows), pa.array(x.number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(sig.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))).astype(np.int32)), pa.array(prefix)), pa.ListArray.from_arrays(pa.array((np.arange(len(size) + 1) * 2).astype(np.int32)), pa.array(near.ravel().view(np.int64)))],
+                    [ids.take(rows), th.take(rows), pa.array(x.number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))).astype(np.int32)), pa.array(prefix)), pa.ListArray.from_arrays(pa.array((np.arange(len(size) + 1) * 2).astype(np.int32)), pa.array(near.ravel().view(np.int64)))],
                     NAMES,
                 )
 
@@ -155,41 +162,42 @@ class LineJoin:
         self.rare = spark.sparkContext.broadcast(rarity(spark, docs))
         self.lines = written(spark, self.docs.mapInArrow(_lines(self.rare, percent), LINES), "lines")
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
-        classes = self.lines.where("line >= 0").groupBy("key", "sig", "n").agg(F.min(order).alias("first"), F.first("prefix").alias("prefix"), F.first("near").alias("near"))
+        classes = self.lines.where("line >= 0").groupBy("key", "sig", "sig2", "n").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c"), F.first("prefix").alias("prefix"), F.first("near").alias("near"))
         self.classes = written(spark, classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes")
         stars = self.verified(self.stars())
         self.removed = written(spark, stars.unionByName(self.verified(self.pairs(stars))).distinct(), "line-removed")
 
-    def may_match(self, n1: Column, s1: Column, n2: Column, s2: Column) -> Column:
+    def may_match(self, x: dict[str, Column], y: dict[str, Column]) -> Column:
         """Length and bitmap filter: the bits where parities differ are at most the words not shared."""
-        p, least, most = self.percent, F.least(n1, n2), F.greatest(n1, n2)
-        return (100 * least >= p * most) & (F.bit_count(s1.bitwiseXOR(s2)) <= n1 + n2 - 2 * self.overlap(n1, n2))
+        p, least, most = self.percent, F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+        bits = F.bit_count(x["sig"].bitwiseXOR(y["sig"])) + F.bit_count(x["sig2"].bitwiseXOR(y["sig2"]))
+        return (100 * least >= p * most) & (bits <= x["n"] + y["n"] - 2 * self.overlap(x["n"], y["n"]))
 
     def overlap(self, n1: Column, n2: Column) -> Column:
         return F.ceil(self.percent * (n1 + n2) / (100 + self.percent) - 1e-9).cast("int")
 
     def stars(self) -> DataFrame:
         """(a, b): each class and the earliest class with one of its minwise words, where the filters let them pass."""
-        rows = self.classes.select(F.explode("near").alias("w"), "cid", "n", "sig", "first")
-        hubs = rows.groupBy("w").agg(F.min(F.struct("first", "cid", "n", "sig")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w", F.col("h.cid").alias("b"), F.col("h.n").alias("n_b"), F.col("h.sig").alias("sig_b"))
-        met = rows.drop("first").join(hubs, "w").where(F.col("cid") != F.col("b"))
-        return met.where(self.may_match(F.col("n"), F.col("sig"), F.col("n_b"), F.col("sig_b"))).select(F.col("cid").alias("a"), "b")
+        rows = self.classes.select(F.explode("near").alias("w"), F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("d"), "cid", "n", "sig", "sig2")
+        hubs = rows.groupBy("w").agg(F.min(F.struct("d", "cid", "n", "sig", "sig2")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w", "h")
+        met = rows.drop("d").join(hubs, "w").where(F.col("cid") != F.col("h.cid"))
+        one, two = ({c: F.col(f"{at}{c}") for c in ("n", "sig", "sig2")} for at in ("", "h."))
+        return met.where(self.may_match(one, two)).select(F.col("cid").alias("a"), F.col("h.cid").alias("b"))
 
     def pairs(self, settled: DataFrame) -> DataFrame:
-        """(a, b): pairs that share a prefix word and pass the filters, unless the later one is settled."""
-        settled = written(self.spark, settled.distinct(), "line-settled")
-        flags = settled.withColumn("settled", F.lit(True))
+        """(a, b): pairs that share a prefix word and pass the filters, unless both are settled."""
+        flags = settled.withColumn("settled", F.lit(1))
         flags = F.broadcast(flags) if settled.count() <= SMALL else flags
-        rows = self.classes.select("cid", "n", "sig", "prefix", F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("d")).join(flags, "cid", "left")
-        t = rows.select(F.posexplode("prefix").alias("pos", "w"), "cid", "n", "sig", "d", F.col("settled").isNull().alias("open"))
-        y, x = t.alias("y"), t.alias("x")
-        c = lambda name: F.col(name)
-        shorter = (c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.cid") < c("y.cid")))
-        index = c("x.pos") <= c("x.n") - F.ceil(2 * self.percent * c("x.n") / (100 + self.percent) - 1e-9)
-        position = 1 + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) - 1 >= self.overlap(c("x.n"), c("y.n"))
-        is_open = (c("y.open") & (c("y.d") >= c("x.d"))) | (c("x.open") & (c("x.d") >= c("y.d")))
-        met = y.join(x, (c("x.w") == c("y.w")) & is_open & shorter & index & position & self.may_match(c("x.n"), c("x.sig"), c("y.n"), c("y.sig")))
-        return met.select(c("x.cid").alias("a"), c("y.cid").alias("b"))
+        rows = self.classes.select("cid", "n", "sig", "sig2", "prefix").join(flags, "cid", "left")
+        t = rows.select(F.posexplode("prefix").alias("pos", "w"), "cid", "n", "sig", "sig2", F.coalesce("settled", F.lit(0)).alias("settled"))
+        # n, pos and settled in one number: rows of the exchange stay narrow
+        t = t.select("w", "cid", "sig", "sig2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("bigint"), 1)).bitwiseOR(F.col("settled").cast("bigint")).alias("meta"))
+        y, x = ({"w": F.col(f"{at}.w"), "cid": F.col(f"{at}.cid"), "sig": F.col(f"{at}.sig"), "sig2": F.col(f"{at}.sig2"), "n": F.shiftright(f"{at}.meta", 32).cast("int"), "pos": F.shiftright(f"{at}.meta", 1).bitwiseAND(2**31 - 1).cast("int"), "open": F.col(f"{at}.meta").bitwiseAND(1) == 0} for at in "yx")
+        shorter = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["cid"] < y["cid"]))
+        index = x["pos"] <= x["n"] - F.ceil(2 * self.percent * x["n"] / (100 + self.percent) - 1e-9)
+        position = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= self.overlap(x["n"], y["n"])
+        met = t.alias("y").join(t.alias("x"), (x["w"] == y["w"]) & (x["open"] | y["open"]) & shorter & index & position & self.may_match(x, y))
+        return met.select(x["cid"].alias("a"), y["cid"].alias("b"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """cid of the later class of each pair whose Jaccard similarity, on full sets, is high enough."""
@@ -198,23 +206,32 @@ class LineJoin:
         met = written(self.spark, met.join(self.classes.select("cid", "first"), "cid").select("cid", "first", F.col("first.th").alias("th"), F.col("first.line").alias("line")), "line-met")
         wanted = met.groupBy("th").agg(F.collect_set("line").alias("lines"))
         wanted = F.broadcast(wanted) if met.count() <= SMALL else wanted
-        texts = self.docs.select("th", "text").join(wanted, "th").dropDuplicates(["th"]).select("th", "text", "lines")
-        made = texts.mapInArrow(_members(self.rare), "th bigint, line int, members array<bigint>")
-        sets = written(self.spark, made.join(met, ["th", "line"]).select("cid", "first", "members"), "line-sets")
+        made = self.docs.select("th", "text").join(wanted, "th").select("th", "text", "lines").mapInArrow(_members(self.rare), "th bigint, line int, members array<bigint>")
+        sets = written(self.spark, made.dropDuplicates(["th", "line"]).join(met, ["th", "line"]).select("cid", "first", "members"), "line-sets")
         side = lambda s: sets.select(F.col("cid").alias(s), F.col("first").alias(f"f_{s}"), F.col("members").alias(f"m_{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("m_a", "m_b"))
         similar = 100 * common >= self.percent * (F.size("m_a") + F.size("m_b") - common)
-        return both.where(similar).select(F.when(F.col("f_a") > F.col("f_b"), F.col("a")).otherwise(F.col("b")).alias("cid")).distinct()
+        later = both.where(similar).select(F.when(F.col("f_a") > F.col("f_b"), F.col("a")).otherwise(F.col("b")).alias("cid")).distinct()
+        later = written(self.spark, later, "line-later")
+        forget(pairs, met, sets)
+        return later
 
     def removed_lines(self) -> DataFrame:
-        """doc_id, th, lines: the numbers of a document's removed lines, ascending; only documents with any."""
+        """doc_id, th, lines: the numbers of a document's removed lines, ascending; only documents with any.
+
+        A class of one line goes or stays by itself; only classes of several lines are joined with the lines.
+        """
         flags = self.removed.withColumn("gone", F.lit(True))
         flags = F.broadcast(flags) if self.removed.count() <= SMALL else flags
-        classes = self.classes.select("cid", "key", "sig", "n", "first").join(flags, "cid", "left").select("key", "sig", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-        rows = self.lines.where("line >= 0").select("doc_id", "th", "line", "key", "sig", "n").join(classes, ["key", "sig", "n"])
+        classes = self.classes.select("cid", "key", "sig", "sig2", "n", "c", "first").join(flags, "cid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+        alone = classes.where("gone AND c = 1").select("first.doc_id", "first.th", "first.line")
+        several = written(self.spark, classes.where("c > 1").select("key", "sig", "sig2", "n", "first", "gone"), "line-several")
+        rows = self.lines.where("line >= 0").select("doc_id", "th", "line", "key", "sig", "sig2", "n")
+        rows = rows.join(F.broadcast(several) if several.count() <= SMALL else several, ["key", "sig", "sig2", "n"])
         here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
-        return rows.where(F.col("gone") | (here != F.col("first"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+        rows = rows.where(F.col("gone") | (here != F.col("first"))).select("doc_id", "th", "line")
+        return rows.unionByName(alone).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def _joined(left: DataFrame, removed: DataFrame) -> DataFrame:
@@ -234,7 +251,9 @@ def line_report(spark: SparkSession, docs: DataFrame, percent: int = 80) -> Data
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with the removed lines taken out of text; documents that lose all their lines go. All columns stay; n_chars follows the text where there is one."""
     columns = docs.columns
-    removed = written(spark, LineJoin(spark, docs, percent).removed_lines(), "line-lists")
+    run = LineJoin(spark, docs, percent)
+    removed = written(spark, run.removed_lines(), "line-lists")
+    forget(run.lines, run.classes, run.removed)
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"))
     out = _joined(rows, F.broadcast(removed) if removed.count() <= SMALL else removed)
     kept = let(F.split(F.col("row.text"), "\n", -1), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("r_lines")), lambda i: x[i]))
