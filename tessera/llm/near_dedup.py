@@ -280,3 +280,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, table(spark, sf_dir, "documents"), 3, 85)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT doc_id, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS s
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY j)
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM t WHERE s IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.x, r.m FROM r JOIN e ON e.y = r.doc_id)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
