@@ -25,6 +25,7 @@ and kept by without_repeated_lines(). An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from tessera.session import table
 BUCKETS = 1 << 20
 #: Rows that may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
+#: Parts of the words that are joined one after the other; more parts take less disk and read the classes more often.
+PASSES = 2
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 LINES = "doc_id bigint, th bigint, line int, n int, key bigint, sig bigint, sig2 bigint, prefix array<int>, near array<bigint>"
 
@@ -82,7 +85,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for _, _, data, bounds in text_blocks(batch.column(0)):
             total += np.bincount(Lines(data, bounds, None).buckets, minlength=BUCKETS)
-    at = np.flatnonzero(total)
+    at = np.flatnonzero(total > 1)  # what a task met once is rare anyway
     for k in range(0, len(at), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000].astype(np.int32)), pa.array(total[at[k : k + 100_000]])], ["bucket", "n"])
 
@@ -92,8 +95,8 @@ def rarity(spark: SparkSession, docs: DataFrame) -> np.ndarray:
     small_batches(spark)
     counts = docs.select("text").mapInArrow(_bucket_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
-    for r in counts.toLocalIterator():
-        out[r["bucket"]] = r["n"]
+    found = counts.toArrow()
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return np.argsort(np.argsort(out, kind="stable"), kind="stable").astype(np.uint64)
 
 
@@ -164,40 +167,52 @@ class LineJoin:
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
         classes = self.lines.where("line >= 0").groupBy("key", "sig", "sig2", "n").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c"), F.first("prefix").alias("prefix"), F.first("near").alias("near"))
         self.classes = written(spark, classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes")
+        self.spent: list[DataFrame] = []
         stars = self.verified(self.stars())
         self.removed = written(spark, stars.unionByName(self.verified(self.pairs(stars))).distinct(), "line-removed")
 
     def may_match(self, x: dict[str, Column], y: dict[str, Column]) -> Column:
         """Length and bitmap filter: the bits where parities differ are at most the words not shared."""
-        p, least, most = self.percent, F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
-        bits = F.bit_count(x["sig"].bitwiseXOR(y["sig"])) + F.bit_count(x["sig2"].bitwiseXOR(y["sig2"]))
-        return (100 * least >= p * most) & (bits <= x["n"] + y["n"] - 2 * self.overlap(x["n"], y["n"]))
+        return (100 * F.least(x["n"], y["n"]) >= self.percent * F.greatest(x["n"], y["n"])) & self.near_bits(x, y)
 
-    def overlap(self, n1: Column, n2: Column) -> Column:
-        return F.ceil(self.percent * (n1 + n2) / (100 + self.percent) - 1e-9).cast("int")
+    def near_bits(self, x: dict[str, Column], y: dict[str, Column]) -> Column:
+        """2 * overlap <= n + n - bits, where similarity asks for (100 + percent) * overlap >= percent * (n + n); all in whole numbers."""
+        bits = F.bit_count(x["sig"].bitwiseXOR(y["sig"])) + F.bit_count(x["sig2"].bitwiseXOR(y["sig2"]))
+        return (100 + self.percent) * (x["n"] + y["n"] - bits) >= 2 * self.percent * (x["n"] + y["n"])
 
     def stars(self) -> DataFrame:
         """(a, b): each class and the earliest class with one of its minwise words, where the filters let them pass."""
-        rows = self.classes.select(F.explode("near").alias("w"), F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("d"), "cid", "n", "sig", "sig2")
-        hubs = rows.groupBy("w").agg(F.min(F.struct("d", "cid", "n", "sig", "sig2")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w", "h")
-        met = rows.drop("d").join(hubs, "w").where(F.col("cid") != F.col("h.cid"))
+        rows = self.classes.select(F.explode("near").alias("w"), F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("d"), "cid", F.col("n").cast("bigint").alias("n"), "sig", "sig2")
+        groups = rows.groupBy("w").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        met = written(self.spark, rows.join(groups, "w"), "line-near")
+        self.spent.append(met)
+        hubs = met.where("d = least").groupBy("w").agg(F.min(F.struct("cid", "n", "sig", "sig2")).alias("h"))
+        met = met.select("w", "cid", "n", "sig", "sig2").join(hubs, "w").where(F.col("cid") != F.col("h.cid"))
         one, two = ({c: F.col(f"{at}{c}") for c in ("n", "sig", "sig2")} for at in ("", "h."))
         return met.where(self.may_match(one, two)).select(F.col("cid").alias("a"), F.col("h.cid").alias("b"))
 
     def pairs(self, settled: DataFrame) -> DataFrame:
-        """(a, b): pairs that share a prefix word and pass the filters, unless both are settled."""
+        """(a, b): pairs that share a prefix word and pass the filters, unless both are settled. In PASSES parts of the words, so that the exchange of one part is gone before the next."""
         flags = settled.withColumn("settled", F.lit(1))
         flags = F.broadcast(flags) if settled.count() <= SMALL else flags
         rows = self.classes.select("cid", "n", "sig", "sig2", "prefix").join(flags, "cid", "left")
         t = rows.select(F.posexplode("prefix").alias("pos", "w"), "cid", "n", "sig", "sig2", F.coalesce("settled", F.lit(0)).alias("settled"))
         # n, pos and settled in one number: rows of the exchange stay narrow
         t = t.select("w", "cid", "sig", "sig2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("bigint"), 1)).bitwiseOR(F.col("settled").cast("bigint")).alias("meta"))
-        y, x = ({"w": F.col(f"{at}.w"), "cid": F.col(f"{at}.cid"), "sig": F.col(f"{at}.sig"), "sig2": F.col(f"{at}.sig2"), "n": F.shiftright(f"{at}.meta", 32).cast("int"), "pos": F.shiftright(f"{at}.meta", 1).bitwiseAND(2**31 - 1).cast("int"), "open": F.col(f"{at}.meta").bitwiseAND(1) == 0} for at in "yx")
+        y, x = ({"w": F.col(f"{at}.w"), "cid": F.col(f"{at}.cid"), "sig": F.col(f"{at}.sig"), "sig2": F.col(f"{at}.sig2"), "n": F.shiftright(f"{at}.meta", 32), "pos": F.shiftright(f"{at}.meta", 1).bitwiseAND(2**31 - 1), "open": F.col(f"{at}.meta").bitwiseAND(1) == 0} for at in "yx")
+        p, q = self.percent, 100 + self.percent
         shorter = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["cid"] < y["cid"]))
-        index = x["pos"] <= x["n"] - F.ceil(2 * self.percent * x["n"] / (100 + self.percent) - 1e-9)
-        position = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= self.overlap(x["n"], y["n"])
-        met = t.alias("y").join(t.alias("x"), (x["w"] == y["w"]) & (x["open"] | y["open"]) & shorter & index & position & self.may_match(x, y))
-        return met.select(x["cid"].alias("a"), y["cid"].alias("b"))
+        lengths = 100 * x["n"] >= p * y["n"]
+        index = q * (x["n"] - x["pos"]) >= 2 * p * x["n"]
+        position = q * F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= p * (x["n"] + y["n"])
+        on = (x["w"] == y["w"]) & shorter & lengths & (x["open"] | y["open"]) & index & position & self.near_bits(x, y)
+        parts = []
+        for k in range(PASSES):
+            part = t.where(F.pmod("w", F.lit(PASSES)) == k)
+            met = part.alias("y").join(part.alias("x"), on)
+            parts.append(written(self.spark, met.select(x["cid"].alias("a"), y["cid"].alias("b")), "line-part"))
+        self.spent += parts
+        return reduce(DataFrame.unionByName, parts)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """cid of the later class of each pair whose Jaccard similarity, on full sets, is high enough."""
@@ -214,7 +229,8 @@ class LineJoin:
         similar = 100 * common >= self.percent * (F.size("m_a") + F.size("m_b") - common)
         later = both.where(similar).select(F.when(F.col("f_a") > F.col("f_b"), F.col("a")).otherwise(F.col("b")).alias("cid")).distinct()
         later = written(self.spark, later, "line-later")
-        forget(pairs, met, sets)
+        forget(pairs, met, sets, *self.spent)
+        self.spent.clear()
         return later
 
     def removed_lines(self) -> DataFrame:
@@ -265,3 +281,27 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int =
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(spark, table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+li AS (
+  SELECT doc_id, j - 1 AS line, list_distinct(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS j FROM d)
+), ne AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, line) AS r FROM li WHERE len(w) > 0),
+x AS (SELECT r, n, unnest(w) AS t FROM ne),
+f AS (SELECT t, count(*) AS c FROM x GROUP BY t),
+p AS (
+  SELECT r, n, t FROM (SELECT r, n, t, row_number() OVER (PARTITION BY r ORDER BY c, t) AS k FROM x JOIN f USING (t))
+  WHERE k <= n - (80 * n + 99) // 100 + 1
+), c AS (
+  SELECT DISTINCT a.r AS late, b.r AS early FROM p a JOIN p b USING (t)
+  WHERE a.r > b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), v AS (
+  SELECT late, a.n + b.n AS n, len(list_intersect(a.w, b.w)) AS k FROM c JOIN ne a ON a.r = late JOIN ne b ON b.r = early
+), g AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, ',' ORDER BY line) AS lines
+  FROM ne WHERE r IN (SELECT late FROM v WHERE 100 * k >= 80 * (n - k)) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(lines, '') AS removed_lines FROM d LEFT JOIN g USING (doc_id)
+"""
