@@ -5,17 +5,18 @@ earlier one, itself removed or not, has a Jaccard similarity of at least percent
 are in the order of doc_id (null last), then of the text's hash, then of their place in the text.
 
 Equal sets form a class whose first line stands for it. Words are ordered by rarity, estimated from
-the counts of 2**20 hash buckets over the whole corpus (a table of fixed size; ties by hash, so the
+the counts of 2**BITS hash buckets over the whole corpus (a table of fixed size; ties by hash, so the
 order is total and the join exact whatever the counts). Of a class with n words the first
 n - ceil(t * n) + 1 are its prefix; a shorter partner needs n - ceil(2t / (1 + t) * n) + 1 of them. Two
 classes meet where prefixes share a word, and go on if their lengths, the words' positions and the
 parity of their 128-bit bitmaps allow the similarity. Only then words are fetched, and Jaccard is
 verified exactly.
 
-Large groups of variants of one line would give all their pairs. So each class first meets the
-earliest class of its groups by two minwise words; the classes found to be later matches there are settled,
-and the join asks only for pairs with an open class. No decision is lost: a settled class still serves
-as the earlier one. The join is a sort-merge join on the word, which Spark can split.
+Large groups of variants of one line would give all their pairs. So in groups of
+CROWD classes or more by one of two minwise words each class first meets the earliest one; the classes
+found to be later matches there are settled, and the join asks only for pairs with an open class. No
+decision is lost: a settled class still serves as the earlier one. The join is a sort-merge join on the
+word, which Spark can split.
 
 Defined results: null text has one empty line; lines without words are never removed. Rows that repeat
 doc_id and text are one document and give equal results. Further columns are ignored by the report
@@ -38,9 +39,14 @@ from tessera.llm.shared import forget, small_batches, written
 from tessera.llm.textarrays import ALNUM, mixed, spread, text_blocks, words
 from tessera.session import table
 
-BUCKETS = 1 << 20
+BITS = 21
+BUCKETS = 1 << BITS
+#: Most lines of a block that are sorted by one packed number.
+PACKED_LINES = 1 << 20
 #: Rows that may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
+#: From this many classes with one minwise word on, the earliest of them meets the others before the join.
+CROWD = 16
 #: Parts of the words that are joined one after the other; more parts take less disk and read the classes more often.
 PASSES = 2
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -56,15 +62,16 @@ class Lines:
         edges = edges if len(edges) and edges[0] == 0 else np.concatenate(([0], edges))
         h, _, _, first = words(data, edges, ALNUM)
         line = np.repeat(np.arange(len(edges) - 1), np.diff(first))
-        bucket = (h >> np.uint64(44)).astype(np.int64)
+        bucket = (h >> np.uint64(64 - BITS)).astype(np.int64)
         if rarity is None:
             self.buckets = bucket
             return
         # one sort by line, rank of the bucket and the hash's next bits; two words of a line that agree in all of them are so rare that a full sort may follow
-        packed = (line.astype(np.uint64) << np.uint64(44)) | (rarity[bucket] << np.uint64(24)) | ((h >> np.uint64(20)) & np.uint64(0xFFFFFF))
-        order = np.argsort(packed) if len(edges) <= BUCKETS else np.lexsort((h, rarity[bucket], line))
+        rest = np.uint64(44 - BITS)
+        packed = (line.astype(np.uint64) << np.uint64(44)) | (rarity[bucket].astype(np.uint64) << rest) | ((h >> np.uint64(20)) & ((np.uint64(1) << rest) - np.uint64(1)))
+        order = np.argsort(packed) if len(edges) <= PACKED_LINES else np.lexsort((h, rarity[bucket], line))
         packed = packed[order]
-        if len(edges) <= BUCKETS and ((packed[1:] == packed[:-1]) & (h[order[1:]] != h[order[:-1]])).any():
+        if len(edges) <= PACKED_LINES and ((packed[1:] == packed[:-1]) & (h[order[1:]] != h[order[:-1]])).any():
             order = np.lexsort((h, rarity[bucket], line))
         h, line = h[order], line[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1]))) if len(h) else np.zeros(0, bool)
@@ -84,7 +91,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for _, _, data, bounds in text_blocks(batch.column(0)):
-            total += np.bincount(Lines(data, bounds, None).buckets, minlength=BUCKETS)
+            np.add.at(total, Lines(data, bounds, None).buckets, 1)
     at = np.flatnonzero(total > 1)  # what a task met once is rare anyway
     for k in range(0, len(at), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000].astype(np.int32)), pa.array(total[at[k : k + 100_000]])], ["bucket", "n"])
@@ -97,7 +104,7 @@ def rarity(spark: SparkSession, docs: DataFrame) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     found = counts.toArrow()
     out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return np.argsort(np.argsort(out, kind="stable"), kind="stable").astype(np.uint64)
+    return np.argsort(np.argsort(out, kind="stable"), kind="stable").astype(np.uint32)
 
 
 def _lines(rare: Broadcast, percent: int):
@@ -181,11 +188,12 @@ class LineJoin:
         return (100 + self.percent) * (x["n"] + y["n"] - bits) >= 2 * self.percent * (x["n"] + y["n"])
 
     def stars(self) -> DataFrame:
-        """(a, b): each class and the earliest class with one of its minwise words, where the filters let them pass."""
+        """(a, b): each class and the earliest class with one of its minwise words, where CROWD classes or more share it and the filters let them pass."""
         rows = self.classes.select(F.explode("near").alias("w"), F.coalesce("first.doc_id", F.lit(2**63 - 1)).alias("d"), "cid", F.col("n").cast("bigint").alias("n"), "sig", "sig2")
-        groups = rows.groupBy("w").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        met = written(self.spark, rows.join(groups, "w"), "line-near")
-        self.spent.append(met)
+        groups = rows.groupBy("w").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= CROWD).drop("c")
+        groups = written(self.spark, groups, "line-crowds")
+        met = written(self.spark, rows.join(F.broadcast(groups) if groups.count() <= SMALL else groups, "w"), "line-near")
+        self.spent += [groups, met]
         hubs = met.where("d = least").groupBy("w").agg(F.min(F.struct("cid", "n", "sig", "sig2")).alias("h"))
         met = met.select("w", "cid", "n", "sig", "sig2").join(hubs, "w").where(F.col("cid") != F.col("h.cid"))
         one, two = ({c: F.col(f"{at}{c}") for c in ("n", "sig", "sig2")} for at in ("", "h."))
@@ -208,7 +216,7 @@ class LineJoin:
         on = (x["w"] == y["w"]) & shorter & lengths & (x["open"] | y["open"]) & index & position & self.near_bits(x, y)
         parts = []
         for k in range(PASSES):
-            part = t.where(F.pmod("w", F.lit(PASSES)) == k)
+            part = t.where(F.pmod("w", F.lit(PASSES)) == k) if PASSES > 1 else t
             met = part.alias("y").join(part.alias("x"), on)
             parts.append(written(self.spark, met.select(x["cid"].alias("a"), y["cid"].alias("b")), "line-part"))
         self.spent += parts

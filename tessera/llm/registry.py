@@ -18,7 +18,9 @@ QUERIES = {
 }
 ORACLES = {
     "op2_mix_sources": mix_sources.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op6_near_dedup": near_dedup.SQL,
     "op8_warc": warc.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }

@@ -26,7 +26,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     began = time.monotonic()
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # most columns are hashes and ids
     # shuffle files that fed the table are deleted once the driver's JVM finds that nothing refers to them, which takes it two or three collections; after short writes there is little to delete
     for _ in range(3 * (time.monotonic() - began > LONG_S)):
         spark.sparkContext._jvm.System.gc()
