@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over shards of the training documents.
 
-A shard is one Arrow batch of documents (about a megabyte of text). Its words become ids of the
+A shard is a run of documents of about SHARD bytes. Its words become ids of the
 benchmark's vocabulary, 0 for words the benchmark lacks; a suffix that meets a 0 or the text's end
 before the shortest window is full cannot match and is left out. The others are sorted into a suffix
 array on their first WINDOW words, and every benchmark suffix of a window's length is looked up in it
@@ -30,7 +30,7 @@ from tessera.llm.shared import small_batches
 from tessera.llm.textarrays import ALNUM, spread, text_blocks, words
 from tessera.session import table
 
-WINDOW, BLOCK_WORDS = 10, 1_000_000
+WINDOW, BLOCK_WORDS, SHARD = 10, 1_000_000, 1 << 20
 REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest_match bigint, longest_item string, longest_at bigint"
 
 
@@ -144,7 +144,7 @@ class Found:
 
 def shard_report(column: pa.Array, held: list[Broadcast]) -> Iterator[tuple]:
     """REPORT's values but doc_id for each text of a column."""
-    for _, _, data, bounds in text_blocks(column):
+    for _, _, data, bounds in text_blocks(column, SHARD):
         h, _, _, first = words(data, bounds, ALNUM)
         found = Found(len(h), len(bounds) - 1)
         for b in held:

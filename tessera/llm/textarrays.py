@@ -19,7 +19,7 @@ ALNUM = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)]
 #: Bytes of a word in [^\x20\x09-\x0D]+.
 NONBLANK = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 #: Texts are joined up to about this many bytes; a longer text stands alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -57,8 +57,8 @@ def words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np
     return h, starts, ends, np.searchsorted(starts, bounds)
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, bounds) of a string column, null as empty, in blocks of about BLOCK_BYTES."""
+def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, bounds) of a string column, null as empty, in blocks of about `size` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -71,7 +71,7 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         last = min(last, len(column))
         yield first, last, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
