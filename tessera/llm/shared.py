@@ -44,6 +44,6 @@ def forget(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most about 4 MB, so that long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Arrow batches of at most about 2 MB, so that long texts do not pile up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
