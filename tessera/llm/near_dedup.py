@@ -3,16 +3,17 @@
 Every document is a set of word shingles with COORDINATES minwise values. Equal sets become one
 class, and classes are joined. In each of TREES independent trees a node holds the classes that agree
 on the minwise tokens chosen so far; the tokens of a tree are coordinates of its own. A node of at
-most LEAF classes is compared exhaustively, a larger one branches by the next tokens (DEPTHS). A pair
-of similarity s meets at depth d of one tree with probability s**d, so 16 trees miss a pair at 0.85
-with probability 1e-9 at depth 2 and 7e-6 at depth 4.
+most LEAF classes is compared exhaustively. A pair of similarity s meets at depth d of one tree with
+probability s**d, so 16 trees miss a pair at DEPTH 2 with probability 1e-9 at 0.85 and 8e-8 at 0.80.
 
 Only connectivity is asked for, so no node is expanded into all pairs while that can be avoided: each
 node first compares its classes with one hub; links found are joined into components, and from then on
 only pairs across components count. Nodes of one component are done; in a node with at most MINOR
-members outside its largest component these are compared with all others; any other large node
-branches. What is left at the last depth has all pairs across components compared, so nothing is
-capped.
+members outside its largest component these are compared with all others. The classes of any other
+large node go through an exact prefix-filter join: in the order of rising frequency among them, two
+similar sets share one of the first n - ceil(percent * n / 100) + 1 shingles. Classes with such a
+shingle in common make a node again, and there all pairs across components are compared, so nothing
+is capped and no large node adds to the miss probability.
 
 Comparing a pair starts with sizes and with parities, a bitmap of PARITY bits that holds whether an odd
 number of shingles fell on each bit: two sets differ in at least as many shingles as their parities
@@ -43,7 +44,7 @@ from tessera.session import table
 
 COORDINATES, TREES, LEAF = 64, 16, 32
 MINOR, PARITY = 2048, 1024
-DEPTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
+DEPTH = 2
 #: Classes whose keys may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
 _RNG = np.random.default_rng(7)
@@ -151,30 +152,48 @@ class Join:
         self.reps = written(spark, reps.select(F.monotonically_increasing_id().alias("rid"), "*"), "classes")
         self.comps = None
         active = self.reps.select("rid", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
-        for depth in DEPTHS:
-            nodes = self.nodes(active, depth)
-            if self.comps is None:
-                self.make_sets(rows, nodes, shingle)
-            self.confirm(nodes.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
-            members, nodes = nodes, self.open_nodes(nodes)
-            forget(members)
-            last = depth == DEPTHS[-1]
-            settled = F.lit(last) | (F.col("c") <= LEAF) | (F.col("minor") <= MINOR)
-            self.confirm(self.across(nodes.where(settled)))
-            large = nodes.where(~settled)
-            if last or large.isEmpty():
-                forget(nodes)
-                break
-            active = written(spark, large.select("rid", "t").join(self.reps.select("rid", "n", "sig"), "rid"), "active")
-            forget(nodes)
-
-    def nodes(self, active: DataFrame, depth: int) -> DataFrame:
-        """(h, t, rid, n, c, hub): members of the nodes that hold two classes or more."""
+        nodes = self.nodes(active)
+        self.make_sets(rows, nodes, shingle)
+        large = self.settle(nodes, (F.col("c") <= LEAF) | (F.col("minor") <= MINOR))
+        if large is not None:
+            self.settle(self.sharing(large.select("rid").distinct()), F.lit(True))
+            forget(large)
+
+    def settle(self, nodes: DataFrame, settled: Column) -> DataFrame | None:
+        """Links hubs and, in settled nodes, all pairs across components; the members of the other nodes, if there are any."""
+        self.confirm(nodes.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
+        members, nodes = nodes, self.open_nodes(nodes)
+        forget(members)
+        self.confirm(self.across(nodes.where(settled)))
+        large = written(self.spark, nodes.where(~settled).select("rid"), "active")
+        forget(nodes)
+        if large.isEmpty():
+            forget(large)
+            return None
+        return large
+
+    def nodes(self, active: DataFrame) -> DataFrame:
+        """(h, rid, n, c, hub): members of the trees' nodes that hold two classes or more."""
         step = COORDINATES // TREES * 4
-        path = F.expr(f"xxhash64(t, substring(concat(sig, sig), t * {step} + 1, {4 * depth}))")
-        rows = active.select(path.alias("h"), "t", "rid", "n")
-        sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("t", "rid").alias("x"), "rid"))["rid"].alias("hub")).where("c > 1")
-        return written(self.spark, rows.join(sizes, "h"), "nodes")
+        path = F.expr(f"xxhash64(t, substring(sig, t * {step} + 1, {4 * DEPTH}))")
+        return self.gathered(active.select(path.alias("h"), "rid", "n"))
+
+    def sharing(self, active: DataFrame) -> DataFrame:
+        """(h, rid, n, c, hub): classes of active that share a shingle of their prefixes; every similar pair of them meets. Shingles of one class only come first and never meet."""
+        sets = self.sets.join(active, "rid", "left_semi")
+        each = sets.select("rid", F.size("members").cast("bigint").alias("n"), F.explode("members").alias("h"))
+        often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        ordered = each.join(often, "h").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("m"))
+        length = F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("m"))
+        prefix = F.slice("m", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+        return self.gathered(ordered.select(F.explode(prefix).alias("x"), "rid", "n").select("x.h", "rid", "n"))
+
+    def gathered(self, rows: DataFrame) -> DataFrame:
+        rows = written(self.spark, rows, "paths")
+        sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("h", "rid").alias("x"), "rid"))["rid"].alias("hub")).where("c > 1")
+        out = written(self.spark, rows.join(sizes, "h"), "nodes")
+        forget(rows)
+        return out
 
     def make_sets(self, rows: DataFrame, nodes: DataFrame, shingle: int) -> None:
         """Full sets of the classes that share a node, from one text of each."""

@@ -69,6 +69,26 @@ def test_large_groups_branch(spark):
     check(spark, rows, 3, 85)
 
 
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_large_nodes_lose_no_pair(spark, monkeypatch, k, percent):
+    """Pairs just above the threshold within a crowd that shares most of its words, with nodes too large to settle."""
+    monkeypatch.setattr(nd, "LEAF", 2)
+    monkeypatch.setattr(nd, "MINOR", 0)
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(343)]
+    rows = []
+    for i in range(60):
+        w = common + [f"o{i}x{j}" for j in range(57)]
+        v = list(w)
+        for j in range(10 if percent == 85 else 8):
+            v[345 + (5 if percent == 85 else 6) * j] = f"n{i}y{j}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    rng.shuffle(rows)
+    want = brute(rows, k, percent)
+    assert sum(r[3] for r in want) == 60
+    check(spark, rows, k, percent)
+
+
 def test_edges(spark):
     long_text = " ".join(f"t{i % 977}x{i % 31}" for i in range(60000))
     rows = [(7, None), (8, ""), (9, " \n"), (1, "one"), (2, "ONE"), (3, "one two"), (4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (None, "zz y"), (5, long_text), (6, long_text + " end"), (10, "É é x"), (11, "é É x")]
