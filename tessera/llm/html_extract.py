@@ -3,7 +3,7 @@
 A page is cut into blocks (paragraphs, headings, list items ...) with the containers they stand in.
 Blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments go, told by
 element, role, class and id; scripts, styles and markup are no text. If the page names its article
-(article, main or role=main), the remaining blocks inside it are the text.
+(article, main or role=main, outside such parts), the remaining blocks inside it are the text.
 
 Where it does not, differencing decides: each page is paired with a page of its host that shares the
 longest run of path segments, both pages' lines are aligned by longest common subsequence, and the
@@ -232,7 +232,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named, lines, hashes = [], [], []
         for raw in batch.column(2).to_pylist():
             found = blocks(raw or "")
-            has = any(main for _, _, main in found)
+            has = any(content and main for _, content, main in found)
             named.append(has)
             lines.append([text for text, content, main in found if content and (main or not has)])
             hashes.append([line_hash(text) for text, _, _ in found])

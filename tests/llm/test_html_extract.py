@@ -2,6 +2,8 @@ import html
 import random
 import re
 
+import pyarrow as pa
+
 from tessera.llm import html_extract as hx
 
 
@@ -71,3 +73,15 @@ def test_differencing_and_edges(spark):
     assert got[4] == "Home of things\n\nShared line\n\nAlone on its host\n\nImprint" and got[5] == got[6] == "Copy"
     assert got[7] == got[8] == "" and got[9] == "plain < text > & more" and len(got[None]) == 499999
     assert hx.extract(spark, pages.where("false")).collect() == []
+
+
+def texts(*pages):
+    """The text of each page as if alone on its host."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages)), pa.int64()), pa.array(["u"] * len(pages)), pa.array(pages)], ["page_id", "url", "html"])
+    return ["\n\n".join(x) for x in next(hx._parse([batch])).column("lines").to_pylist()]
+
+
+def test_articles_in_dropped_parts_name_no_page():
+    real, teaser = "<div><p>Real text</p></div>", "<article><p>Teaser</p></article>"
+    pages = [real + x for x in (f"<aside>{teaser}</aside>", f'<div class="related">{teaser}</div>', f'<section class="comments">{teaser}</section>')]
+    assert texts(*pages) == ["Real text"] * 3
