@@ -85,3 +85,11 @@ def test_articles_in_dropped_parts_name_no_page():
     real, teaser = "<div><p>Real text</p></div>", "<article><p>Teaser</p></article>"
     pages = [real + x for x in (f"<aside>{teaser}</aside>", f'<div class="related">{teaser}</div>', f'<section class="comments">{teaser}</section>')]
     assert texts(*pages) == ["Real text"] * 3
+
+
+def test_whole_attributes_only():
+    attributes = ('style="overflow:hidden"', 'title="The hidden valley"', "href=/hidden-gems", 'href="/p?id=search"', 'data-id="menu"', "data-role='search'", 'aria-hidden="false"')
+    for x in attributes:
+        assert texts(f"<article {x}><p>One</p></article>", f"<article><p>T <a {x}>link</a></p></article>") == ["One", "T link"], x
+    for x in ("hidden", "HIDDEN", 'hidden=""', "aria-hidden = 'true'", 'title="a" Role=navigation', "id='menu'", 'data-x="a>b" class=ad'):
+        assert texts(f"<article><p>One</p><div {x}>Two</div></article>") == ["One"], x
