@@ -2,7 +2,7 @@
 
 A page is cut into blocks (paragraphs, headings, list items ...) with the containers they stand in.
 Blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments go, told by
-element, role, class and id; scripts, styles and markup are no text. If the page names its article
+element, role, and whole tokens of class and id; scripts, styles and markup are no text. If the page names its article
 (article, main or role=main, outside such parts), the remaining blocks inside it are the text.
 
 Where it does not, differencing decides: each page is paired with a page of its host that shares the
@@ -50,34 +50,58 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead banner cookie cookies consent gdpr notice notices notification notifications alert comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe signup login search popup modal toolbar pagination pager".split()
 )
+#: Words that may stand beside one of NAMES in a compound such as share-bar; with any other word (entry-header, no-sidebar) it is no known compound.
+PARTS = frozenset("bar box area list wrapper wrap container section block widget widgets link links button buttons form site top bottom main primary secondary global inner item items slot unit panel icon icons overlay body meta posts articles stories".split())
+#: The same for header, which names titles too.
+SITE = frozenset("site global top main bar wrapper wrap inner container".split())
+#: Parts that list other articles: an article in them is not the page's.
+AREAS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar comment comments commentlist disqus reply replies respond related recommended newsletter".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How firmly an element is no content: by a word (an article or main in it is content still), by a word of AREAS (only main is), by element, role or hidden.
+WORDED, AREA, FIRM = 1, 2, 3
 #: Bits that an alignment's rows may hold; longer alignments are split.
 ALIGN_BITS = 1 << 28
 
 
-def _dropped(tag: str, rest: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is no content, and whether it names the article. A header within the article is its heading."""
+def _worded(value: str, inside: bool) -> int:
+    """Whether a whole token of class or id names a part that is no content."""
+    level = 0
+    for token in value.split():
+        said = set(WORD.findall(token))
+        names = said & NAMES
+        if names and not (inside and "header" in names):
+            beside = SITE if "header" in names else PARTS
+            if all(x in names or x in beside or x[0].isdigit() for x in said):
+                level = max(level, WORDED if names.isdisjoint(AREAS) else AREA)
+    return level
+
+
+def _dropped(tag: str, rest: str, inside: bool, nested: bool) -> tuple[int, bool]:
+    """How firmly an element is no content, and whether it names the article. Within the article, a header is its heading and headings stay whatever their class; words drop no main, and articles only if nested in an article."""
     if tag in GONE and not (tag == "header" and inside):
-        return True, False
-    main = tag in MAIN
+        return FIRM, False
+    main, level = tag in MAIN, 0
     if len(rest) > 3:
         for name, value in ATTRIBUTE.findall(rest):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "role":
                 if value in ROLES:
-                    return True, False
+                    return FIRM, False
                 main = main or value == "main"
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True, False
-            elif name in ("class", "id") and not NAMES.isdisjoint(WORD.findall(value)) and tag not in ("body", "html"):
-                return True, False
-    return False, main
+                return FIRM, False
+            elif name in ("class", "id") and tag not in ("body", "html"):
+                level = max(level, _worded(value, inside))
+    if (main and not (tag == "article" and nested)) or (inside and tag in HEADINGS):
+        level = 0
+    return level, main and not level
 
 
 def blocks(html: str) -> list[tuple[str, bool, bool]]:
     """(text, content, inside the named article) of each block in page order."""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
     pieces: list[str] = []
     at, n = 0, len(html)
 
@@ -134,10 +158,13 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
                 del stack[k:]
         if tag in VOID:
             continue
-        gone, main = _dropped(tag, m[3], stack[-1][2])
-        if gone != stack[-1][1] and gone:
+        outer = stack[-1][1]
+        gone, main = _dropped(tag, m[3], stack[-1][2], tag == "article" and any(x[0] == "article" for x in stack))
+        if main and outer and outer <= (WORDED if tag == "article" else AREA):
+            outer = 0
+        if gone and not outer:
             flush()
-        stack.append((tag, stack[-1][1] or gone, stack[-1][2] or main))
+        stack.append((tag, max(outer, gone), stack[-1][2] or main))
     flush()
     return out
 

@@ -93,3 +93,18 @@ def test_whole_attributes_only():
         assert texts(f"<article {x}><p>One</p></article>", f"<article><p>T <a {x}>link</a></p></article>") == ["One", "T link"], x
     for x in ("hidden", "HIDDEN", 'hidden=""', "aria-hidden = 'true'", 'title="a" Role=navigation', "id='menu'", 'data-x="a>b" class=ad'):
         assert texts(f"<article><p>One</p><div {x}>Two</div></article>") == ["One"], x
+
+
+def test_class_words():
+    for x in ("entry-header", "article-header", "post-header", "header", "post-related-work", "search-results", "social-history"):
+        assert texts(f'<article><header class="{x}"><h1>T</h1></header><p>One</p></article>', f'<article><div class="{x}"><h1>T</h1></div><p>One</p></article>') == ["T\n\nOne"] * 2, x
+    assert texts('<article><h1 class="page-header">T</h1><h2 id="comments">U</h2></article>') == ["T\n\nU"]
+    for tag in ("article", "main"):
+        for x in ("has-sidebar", "no-sidebar", "sidebar", "comments-open", "post promo"):
+            assert texts(f'<{tag} class="{x}"><p>One</p></{tag}>') == ["One"], x
+    for x in ("content-with-sidebar", "header", "page search", "site-header"):
+        assert texts(f'<div class="{x}"><p>Bar</p><article><p>One</p></article></div>') == ["One"], x
+    assert texts('<div class="sidebar"><p>Bar</p><main><p>One</p></main></div>') == ["One"]
+    for x in ("ad", "ad-300x250", "share-bar", "wide social-links", "comments-area", "related-posts", "main-nav", "cookie-banner"):
+        assert texts(f'<article><p>One</p><div class="{x}"><h2>No</h2><p>no</p></div></article>') == ["One"], x
+    assert texts('<p>One</p><div class="site-header">no</div>', '<article><p>One</p><article class="comment">no</article></article>') == ["One"] * 2
