@@ -122,12 +122,12 @@ proprietary | 3 | unauthorized copying of this file | unauthorized copying of th
 proprietary | 3 | proprietary and confidential | (?:is )?proprietary and confidential
 all-rights-reserved | 3 | no part of this publication may be reproduced | no part of this publication may be reproduced
 apache-2.0 | 2 | under the apache license | licen[cs]ed under the apache license(?: version)? 2(?: 0)?
-apache-2.0 | 2 | under apache | (?:licen[cs]ed|released|distributed|available) under (?:the )?apache(?: license)?(?: version)? 2 0
+apache-2.0 | 2 | apache | (?:licen[cs]ed|released|distributed|available) under (?:the )?apache(?: license)?(?: version)? 2 0
 apache-2.0 | 2 | under the apache 2 0 licen | under the apache 2 0 licen[cs]e
 apache | 2 | under the apache license | (?:licen[cs]ed|released|distributed|available) under the apache license
 mit | 2 | under the mit licen | (?:licen[cs]ed|released|distributed|available|published) under the mit licen[cs]e
 mit | 2 | mit licen | under the terms of the mit licen[cs]e
-mit | 2 | mit licensed | (?:is|are) mit licen[cs]ed
+mit | 2 | mit licen | (?:is|are) mit licen[cs]ed
 bsd-3-clause | 2 | bsd 3 clause | under the bsd 3 clause licen[cs]e
 bsd-3-clause | 2 | 3 clause bsd | under (?:the|a) 3 clause bsd licen[cs]e
 bsd-2-clause | 2 | bsd 2 clause | under the bsd 2 clause licen[cs]e
@@ -138,7 +138,7 @@ gpl-3.0 | 2 | under the gnu general public license | (?:licen[cs]ed|released|dis
 gpl-2.0 | 2 | under the gnu general public license | (?:licen[cs]ed|released|distributed|available) under the gnu general public license version 2(?: 0)?
 gpl-3.0 | 2 | under the gpl | (?:licen[cs]ed|released|distributed|available) under the gpl(?: version)? v?3(?: 0)?
 gpl-2.0 | 2 | under the gpl | (?:licen[cs]ed|released|distributed|available) under the gpl(?: version)? v?2(?: 0)?
-gpl | 2 | under the gnu general public license | (?:licen[cs]ed|released|distributed|available) under the (?:terms of the )?gnu general public license
+gpl | 2 | gnu general public license | (?:licen[cs]ed|released|distributed|available) under the (?:terms of the )?gnu general public license
 gpl | 2 | under the terms of the gpl | under the terms of the gpl
 lgpl-3.0 | 2 | under the gnu lesser general public license | under the gnu lesser general public license version 3(?: 0)?
 lgpl-2.1 | 2 | under the gnu lesser general public license | under the gnu lesser general public license version 2 1
@@ -150,7 +150,7 @@ mpl | 2 | under the mpl | under the mpl(?: 2 0)?
 epl | 2 | under the eclipse public license | under the eclipse public license
 cddl | 2 | under the cddl | under the cddl
 isc | 2 | under the isc licen | under the isc licen[cs]e
-zlib | 2 | under the zlib licen | under the zlib(?: libpng)? licen[cs]e
+zlib | 2 | under the zlib | under the zlib(?: libpng)? licen[cs]e
 unlicense | 2 | under the unlicense | under the unlicense
 cc-by-nc-4.0 | 2 | under cc by nc 4 0 | licen[cs]ed under cc by nc 4 0
 cc-by-nc-sa-4.0 | 2 | under cc by nc sa 4 0 | licen[cs]ed under cc by nc sa 4 0
@@ -194,7 +194,7 @@ wtfpl | 2 | under the wtfpl | under the wtfpl
 copyright-notice | 2 | all rights reserved | copyright (?:c )?(?:[0-9]{4} )+(?:[^ ]+ ){1,8}all rights reserved
 apache-2.0 | 1 | apache license | apache license(?: version)? 2 0
 apache-2.0 | 1 | apache 2 0 | apache 2 0
-apache-1.1 | 1 | apache license | apache (?:software )?license(?: version)? 1 1
+apache-1.1 | 1 | apache | apache (?:software )?license(?: version)? 1 1
 apache | 1 | apache license | apache license
 mit | 1 | mit licen | mit licen[cs]e
 mit | 1 | expat licen | expat licen[cs]e
@@ -240,7 +240,7 @@ qpl-1.0 | 1 | q public license | q public license
 w3c | 1 | w3c software | w3c software (?:notice and )?license
 ncsa | 1 | university of illinois | university of illinois ncsa open source license
 odbl | 1 | open database license | open database license
-pddl-1.0 | 1 | public domain dedication and license | public domain dedication and licen[cs]e
+pddl-1.0 | 1 | public domain dedication | public domain dedication and licen[cs]e
 odc-by-1.0 | 1 | open data commons attribution | open data commons attribution licen[cs]e
 ogl | 1 | open government licen | open government licen[cs]e
 etalab-2.0 | 1 | licence ouverte | licence ouverte
@@ -279,5 +279,5 @@ GATES = (
     "vorbehalten", "droits r", "derechos", "lizenz", "neither the name", "advertising", "applicable law", "this file except", "merchantab",
     "altered source", "without any express", "do what the", "perl itself", "openssl", "deal with the software", "unauthorized", "proprietary",
     "of this publication", "under the mpl", "cddl", "under cc0", "mozilla org", "wtfpl", "cecill", "w3c software", "university of illinois",
-    "openrail", "polyform", "subject to the following",
+    "openrail", "polyform", "zlib", "subject to the following",
 )

@@ -1,4 +1,5 @@
 import re
+from re import _parser
 
 from tessera.llm.license_rules import GATES, RULES
 from tessera.llm.licenses import BASE, CONFIDENCE, license_scan
@@ -55,3 +56,42 @@ def test_rules_are_gated():
 
 def test_empty(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def examples(items):
+    """An example of each alternative of a parsed regex."""
+    out = [""]
+    for op, x in items:
+        op = str(op)
+        if op == "LITERAL":
+            new = [chr(x)]
+        elif op == "SUBPATTERN":
+            new = examples(x[3])
+        elif op == "BRANCH":
+            new = [e for branch in x[1] for e in examples(branch)]
+        elif op == "IN":
+            new = [chr(v if str(kind) == "LITERAL" else v[0]) for kind, v in x]
+        elif op == "NOT_LITERAL":
+            new = ["x"]
+        elif op == "MAX_REPEAT":
+            new = [e * n for n in sorted({x[0], min(max(x[0], 1), x[1])}) for e in examples(x[2])]
+        else:
+            assert op == "ASSERT_NOT"
+            new = [""]
+        out = [a + b for a in out for b in new]
+    return out
+
+
+def test_keywords_are_in_every_alternative():
+    for label, _, keyword, rx in RULES:
+        for text in examples(_parser.parse(rx)):
+            assert re.fullmatch(rx, text) and keyword in text, (label, keyword, text)
+
+
+def test_alternatives_beyond_the_first(spark):
+    texts = ["under the zlib/libpng license", "Apache Software License 1.1", "Public Domain Dedication and Licence", "It is MIT licenced", "available under the Apache 2.0", "licensed under the terms of the GNU General Public License"]
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert tuple(r)[1:] == brute(texts[r.doc_id]), r
+    said = {r.doc_id: set(r.labels.split(",")) for r in got}
+    assert all(x in said[i] for i, x in enumerate(("zlib", "apache-1.1", "pddl-1.0", "mit", "apache-2.0", "gpl")))
