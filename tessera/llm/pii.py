@@ -1,20 +1,22 @@
 """Personal data by patterns and by information-theoretic disclosure, in DataFrame operations only.
 
 Base: four patterns over whole texts. Every value found is a protected entity. The method then asks
-which neighbouring words give an entity away once it is masked. Over the corpus, for entity e and
-term t within CONTEXT code points of a mention,
+which other words of a document give an entity away once it is masked. Over the corpus, for entity e
+and term t,
 
     PMI(t, e) = log(n_te * N / (n_t * n_e)),   IC(e) = log(N / n_e),
 
-with document counts: n_te documents where t stands next to e, n_t documents that hold t anywhere,
-n_e documents that mention e, N all documents. PMI / IC is 1 where t occurs nowhere but next to e.
+with document counts: n_te documents that mention e and hold t outside base spans, n_t documents that
+hold t anywhere, n_e documents that mention e, N all documents. PMI / IC is 1 where t occurs nowhere
+but with e.
 Terms at GENERALISE or more are generalised to their kind, at REMOVE or more they are removed; fewer
-than SUPPORT common documents are no evidence. Only words next to a mention of that entity are
-touched, so texts without personal data stay as they are.
+than SUPPORT common documents are no evidence. A flagged term is touched everywhere in the documents
+that mention its entity; texts without personal data stay as they are.
 
-Data flow: one pass over the texts finds spans and contexts and writes them (no text moves); pairs
-and document counts are aggregated map-side before their shuffle; the flagged terms are broadcast
-only if counted to be at most SMALL, and joined by shuffle otherwise.
+Data flow: one pass over the texts finds spans and writes them, with the texts that have any; pairs of
+entities in SUPPORT documents or more (others cannot be evidence) and document counts are aggregated
+map-side before their shuffle; entities and flagged terms are broadcast only if counted to be at most
+SMALL, and joined by shuffle otherwise.
 
 Defined results: null text counts as empty, without spans ('' and its SHA-256). Every row gives a
 row, repeated rows and null doc_ids too. An empty table gives an empty result. Further columns are
@@ -38,6 +40,7 @@ CARD = r"[0-9](?:[0-9]|[\x20-][0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 WORD = r"[\p{L}\p{N}]+"
+#: CONTEXT is read by a test's model only: terms are counted over whole documents.
 CONTEXT, SUPPORT, GENERALISE, REMOVE, SMALL = 120, 3, 0.8, 0.95, 200_000
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
@@ -72,12 +75,12 @@ def _kinds(text: Column) -> list[tuple[Column, Column, Column]]:
 
 
 def mentions(text: Column) -> Column:
-    """Base spans with their contexts: array of (start, kind, end, value, before, after), sorted."""
+    """Base spans: array of (start, kind, end, value), sorted."""
     parts = []
     for n, (present, pattern, valid) in enumerate(_kinds(text)):
         value = F.lower if n < 2 else _digits
-        kept = F.transform(_filtered(matches(text, pattern, CONTEXT), valid), _row(n, value))
-        none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,value:string,before:string,after:string>>)")
+        kept = F.transform(_filtered(matches(text, pattern), valid), _row(n, value))
+        none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,value:string>>)")
         parts.append(F.when(present, kept).otherwise(none))
     return F.sort_array(F.concat(*parts))
 
@@ -87,43 +90,59 @@ def _filtered(found: Column, valid) -> Column:
 
 
 def _row(n: int, value):
-    return lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), x["end"].alias("end"), value(x["m"]).alias("value"), x["before"].alias("before"), x["after"].alias("after"))
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), x["end"].alias("end"), value(x["m"]).alias("value"))
 
 
-def _terms(m: Column) -> Column:
-    """Whole words in a mention's contexts: array of (entity, term, start, end). Words cut by the context's edge are left out."""
+def _is_term(w: Column) -> Column:
+    return (F.length(w) > 2) & ~F.rlike(w, F.lit("^[0-9]+$"))
 
-    def inside(side: str, offset: Column, edge) -> Column:
-        near = m[side]
-        words = F.filter(matches(near, WORD), lambda w: edge(w, F.length(near)))
-        return F.transform(words, lambda w: F.struct(F.concat(m["kind"].cast("string"), F.lit(":"), m["value"]).alias("entity"), F.lower(w["m"]).alias("term"), (offset + w["start"]).alias("start"), (offset + w["end"]).alias("end")))
 
-    left = inside("before", m["start"] - F.length(m["before"]), lambda w, n: (w["start"] > 0) | (n < CONTEXT))
-    right = inside("after", m["end"], lambda w, n: (w["end"] < n) | (n < CONTEXT))
-    return F.filter(F.concat(left, right), lambda t: (F.length(t["term"]) > 2) & ~F.rlike(t["term"], F.lit("^[0-9]+$")))
+def _entities() -> Column:
+    return F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["value"])))
+
+
+def _evidence() -> Column:
+    """Distinct terms of a text outside its base spans."""
+    text = F.col("around")
+    step = lambda acc, s: F.struct(
+        F.when(s["start"] > acc["pos"], F.concat(acc["out"], F.array(F.substr(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))))).otherwise(acc["out"]).alias("out"),
+        F.greatest(acc["pos"], s["end"]).alias("pos"),
+    )
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).cast("long").alias("pos"))
+    rest = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], " "), F.lit(" "), F.substr(text, (acc["pos"] + 1).cast("int"), F.length(text))))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0)), _is_term))
+
+
+def _places() -> Column:
+    """Terms of a text: array of (term, start, end)."""
+    words = F.transform(matches(F.col("around"), WORD), lambda w: F.struct(F.lower(w["m"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+    return F.filter(words, lambda w: _is_term(w["term"]))
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """rid, doc_id, spans (base), near (terms next to mentions), and the columns in keep."""
-    found = docs.select(F.monotonically_increasing_id().alias("rid"), *dict.fromkeys(("doc_id", *keep)), mentions(whole(F.col("text"))).alias("found"))
-    span = lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["value"].alias("value"))
-    return found.select("rid", *dict.fromkeys(("doc_id", *keep)), F.transform("found", span).alias("spans"), F.flatten(F.transform("found", _terms)).alias("near"))
+    """rid, doc_id, the columns in keep, spans (base), and around: the text where it has spans."""
+    columns = dict.fromkeys(("doc_id", *keep))
+    found = docs.select(F.monotonically_increasing_id().alias("rid"), *columns, whole(F.col("text")).alias("around"), mentions(whole(F.col("text"))).alias("spans"))
+    return found.select("rid", *columns, "spans", F.when(F.size("spans") > 0, F.col("around")).alias("around"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
 def disclosing(spark: SparkSession, docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, term, share): terms that reveal an entity, with share = PMI / IC >= GENERALISE."""
-    pairs = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    n = scanned.count()
+    mentioned = scanned.where(F.size("spans") > 0)
+    entities = mentioned.select(F.explode(_entities()).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n))
+    entities = written(spark, entities, "pii-entities")
+    both = mentioned.select(F.explode(_entities()).alias("entity"), "spans", "around").join(_small(entities.select("entity")), "entity", "left_semi")
+    pairs = both.select("entity", F.explode(_evidence()).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
     pairs = written(spark, pairs, "pii-pairs")
-    terms = written(spark, pairs.select("term").distinct(), "pii-terms")
-    entity = F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["value"]))
-    entities = scanned.select(F.explode(F.array_distinct(entity)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole(F.col("text"))), F.lit(WORD), F.lit(0)))).alias("term"))
-    wanted = F.broadcast(terms) if terms.count() <= SMALL else None
-    words = words.join(wanted, "term", "left_semi") if wanted is not None else words
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = scanned.count()
     share = F.log(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    return pairs.join(counts, "term").join(entities, "entity").where(F.col("n_e") < n).select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    return pairs.join(counts, "term").join(entities, "entity").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def pii_scan(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -131,14 +150,15 @@ def pii_scan(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] = ()) -
     docs = docs.select(*dict.fromkeys(("doc_id", "text", *keep)))
     scanned = written(spark, scan(docs, keep), "pii-scan")
     flagged = written(spark, disclosing(spark, docs, scanned), "pii-flagged")
-    near = scanned.select("rid", F.explode("near").alias("t")).select("rid", "t.*")
-    hit = (F.broadcast(flagged) if flagged.count() <= SMALL else flagged).withColumnsRenamed({"entity": "f_entity", "term": "f_term"})
+    near = scanned.where(F.size("spans") > 0).select("rid", "around", F.explode(_entities()).alias("entity")).join(_small(flagged.select("entity").distinct()), "entity", "left_semi")
+    near = near.select("rid", "entity", F.explode(_places()).alias("t")).select("rid", "entity", "t.*")
+    hit = _small(flagged).withColumnsRenamed({"entity": "f_entity", "term": "f_term"})
     near = near.join(hit, (F.col("entity") == F.col("f_entity")) & (F.col("term") == F.col("f_term")))
     action = F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise")
     spans = near.groupBy("rid", "start", "end").agg(action.alias("action"))
     per_row = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action"))).alias("terms"))
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,action:string>>)")
-    out = scanned.drop("near").withColumnRenamed("spans", "base").join(per_row, "rid", "left").withColumn("terms", F.coalesce("terms", none))
+    out = scanned.drop("around").withColumnRenamed("spans", "base").join(per_row, "rid", "left").withColumn("terms", F.coalesce("terms", none))
     outside = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return out.withColumn("terms", F.when((F.size("base") > 0) & (F.size("terms") > 0), outside).otherwise(none))
 

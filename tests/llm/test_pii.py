@@ -111,5 +111,14 @@ def test_sanitise(spark):
     assert got[5].text == "clean words stay" and got[34].text is None and got[3].rid == 3
 
 
+def test_terms_of_whole_documents(spark):
+    """A name behind an invalid number, and words far from the mention, in every place."""
+    filler = " ".join(["the plan of the day"] * 20)
+    texts = [f"Zebulon opens. card 4111 1111 1111 1111 exp 12/27 Quilliam {filler} Quilliam and Zebulon close" for _ in range(4)] + [filler + " card exp opens and close"] * 30
+    got = {r.doc_id: r.text for r in pii.sanitise(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "<CARD>" in got[0] and "Quilliam" not in got[0] and "Zebulon" not in got[0] and filler in got[0]
+    assert got[10] == texts[10]
+
+
 def test_empty(spark):
     assert pii.digests(pii.pii_scan(spark, spark.createDataFrame([], "doc_id long, text string"))).collect() == []
