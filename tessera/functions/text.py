@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
-SEPARATOR = r"[^\p{L}\p{N}]"
 EXCERPT, LEAD = 220, 60
 
 
@@ -18,17 +18,21 @@ def tokens(text: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """The distinct tokens of a query, in order."""
-    import regex
+    """The distinct tokens of a query, in order; none for a query without letters and digits."""
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
-    return list(dict.fromkeys(regex.findall(TOKEN, query.lower())))
+
+def _any_token(terms: Sequence[str]) -> str:
+    """A pattern of whole tokens among terms, in any case."""
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
 
 
 def first_match(text: Column, terms: Sequence[str]) -> Column:
-    """Code point (from 1) of the first token among terms, 0 if there is none."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), SEPARATOR, " "), F.lit(" "))
-    at = [F.nullif(F.instr(spaced, f" {t} "), F.lit(0)) for t in terms]
-    return F.coalesce(F.least(*at) if len(at) > 1 else at[0], F.lit(0))
+    """Code point (from 1) of the first token among terms, 0 if there is none. Counted in the text as it is, as lower-casing may change its length."""
+    if not terms:
+        return F.lit(0)
+    pieces = F.split(text, _any_token(terms), 2)
+    return F.when(F.size(pieces) > 1, F.length(pieces[0]) + 1).otherwise(F.lit(0))
 
 
 def excerpt(text: Column, terms: Sequence[str], size: int = EXCERPT, lead: int = LEAD) -> Column:
@@ -38,9 +42,7 @@ def excerpt(text: Column, terms: Sequence[str], size: int = EXCERPT, lead: int =
 
 def highlight(text: Column, terms: Sequence[str]) -> Column:
     """text with <mark> around every token among terms, in any case."""
-    apart = F.regexp_replace(text, f"({SEPARATOR})", "\x01$1\x01")
-    marked = F.regexp_replace(apart, f"(?i)(^|\x01)({'|'.join(terms)})($|\x01)", "$1<mark>$2</mark>$3")
-    return F.regexp_replace(marked, "\x01", "")
+    return F.regexp_replace(text, _any_token(terms), "<mark>$0</mark>") if terms else text
 
 
 def like_of(pattern: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STARS = 5
@@ -16,7 +16,7 @@ def filtered(photos: DataFrame, least: int = 0, tag: str | None = None) -> DataF
 
 def tagged(photos: DataFrame, chosen: DataFrame, tag: str) -> DataFrame:
     """photos with the tag added to the chosen ones (id)."""
-    hit = photos.join(chosen.select("id", F.lit(True).alias("chosen")), "id", "left")
+    hit = photos.join(chosen.select("id", F.lit(True).alias("chosen")).distinct(), "id", "left")
     new = F.array_union(F.coalesce("tags", F.expr("cast(array() as array<string>)")), F.array(F.lit(tag)))
     return hit.withColumn("tags", F.when(F.col("chosen"), new).otherwise(F.col("tags"))).drop("chosen")
 
@@ -25,5 +25,12 @@ def rated(photos: DataFrame, chosen: DataFrame, stars: int) -> DataFrame:
     """photos with `stars` (0 to 5) given to the chosen ones (id)."""
     if not 0 <= stars <= STARS:
         raise ValueError("stars are 0 to 5")
-    hit = photos.join(chosen.select("id", F.lit(stars).alias("new")), "id", "left")
+    hit = photos.join(chosen.select("id", F.lit(stars).alias("new")).distinct(), "id", "left")
     return hit.withColumn("rating", F.coalesce("new", "rating")).drop("new")
+
+
+def contact_sheet(chosen: DataFrame, columns: int = 3, rows: int = 4) -> DataFrame:
+    """id, sheet, row, place (from 1) of chosen photos, by id. One window, as a choice made by hand is small."""
+    n = F.row_number().over(Window.orderBy("id")) - 1
+    cell = lambda x: x.cast("int") + 1
+    return chosen.select("id", n.alias("n")).select("id", cell(F.floor(F.col("n") / (columns * rows))).alias("sheet"), cell(F.floor(F.col("n") / columns) % rows).alias("row"), cell(F.col("n") % columns).alias("place"))

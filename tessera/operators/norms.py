@@ -13,7 +13,10 @@ PUBLISHERS = ("SIA", "VSS", "EN", "DIN", "ISO")
 NOTICE = r"(?i)licen[sc]e|copyright|©|all rights reserved"
 #: Publishers whose catalogues are checked.
 CHECKED = ("SIA", "VSS")
-DESIGNATION = r"\b(SN EN|SIA|VSS|EN|DIN|ISO)\s?([0-9]+(?:[./-][0-9]+)*)(?::([0-9]{4}))?"
+#: A number may be written in groups of three digits (40 050).
+DESIGNATION = r"\b(SN EN|SIA|VSS|EN|DIN|ISO)\s?([0-9]+(?:[./-][0-9]+|\x20[0-9]{3}\b)*)(?::([0-9]{4}))?"
+#: Days between two change-checks of a catalogue.
+CHECK_DAYS = 7
 
 
 def is_norm(text: Column, notice: str = NOTICE, window: int = WINDOW) -> Column:
@@ -53,5 +56,10 @@ def summary(checked: DataFrame) -> DataFrame:
     return checked.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def due(checks: DataFrame, now: str, days: int = CHECK_DAYS) -> DataFrame:
+    """Catalogues (publisher, ts of a check) whose last change-check is `days` or more ago: publisher, last."""
+    return checks.groupBy("publisher").agg(F.max("ts").alias("last")).where(F.col("last") <= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))
+
+
 def catalogue_of(spark: SparkSession, rows: Sequence[tuple[str, str, int]]) -> DataFrame:
     return spark.createDataFrame(list(rows), "publisher string, number string, year int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,23 +15,34 @@ K1, B, HITS = 1.2, 0.75, 20
 
 @dataclass
 class Index:
-    """postings (term, id, tf) and lengths (id, dl)."""
+    """postings (term, id, tf, dl), entries (id, dl and all columns of the documents but text), totals (one row: n_docs, avgdl)."""
 
     postings: DataFrame
-    lengths: DataFrame
+    entries: DataFrame
+    totals: DataFrame
 
+    def restricted(self, keep: Callable[[DataFrame], DataFrame]) -> Index:
+        """The index of some of its documents, as if no others were there: keep filters the entries, and hits, counts and weights follow."""
+        entries = keep(self.entries)
+        return Index(self.postings.join(entries.select("id"), "id", "left_semi"), entries, totals(entries))
 
-def build_index(docs: DataFrame) -> Index:
-    """From documents (id, text). Counting terms is map-side first; nothing is collected."""
-    rows = docs.select("id", tokens(F.col("text")).alias("t"))
-    postings = rows.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, rows.select("id", F.size("t").cast("bigint").alias("dl")))
+
+def totals(entries: DataFrame) -> DataFrame:
+    return entries.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def build_index(docs: DataFrame, text: str = "text") -> Index:
+    """From documents (id, text, more). Counting terms is map-side first; nothing is collected. A null text has no terms."""
+    rows = docs.withColumn("t", tokens(F.coalesce(text, F.lit("")))).withColumn("dl", F.size("t").cast("bigint"))
+    postings = rows.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
+    entries = rows.drop("t", *dict.fromkeys(("text", text)))
+    return Index(postings, entries, totals(entries))
 
 
 def matches(index: Index, query: str, mode: str = "any") -> DataFrame:
-    """id, tf by term of the documents with any or all of the query's terms."""
+    """Postings of the query's terms in documents with any or all of them. The terms are literals, so a stored index is read at their places only."""
     terms = query_terms(query)
-    found = index.postings.where(F.col("term").isin(terms))
+    found = index.postings.where(F.col("term").isin(terms) if terms else F.lit(False))
     if mode == "all":
         full = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("id")
         found = found.join(full, "id", "left_semi")
@@ -44,22 +55,32 @@ def search(index: Index, query: str, mode: str = "any", k: int | None = HITS) ->
     The corpus enters through one row of totals and the query's postings; both come before the join.
     """
     found = matches(index, query, mode)
-    totals = index.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # one row of totals and one a term: both sides are bounded by the query
-    weights = df.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").select("term", idf.alias("idf"), "avgdl")
-    rows = found.join(F.broadcast(weights), "term").join(index.lengths, "id")
+    weights = df.withColumn("one", F.lit(1)).join(F.broadcast(index.totals.withColumn("one", F.lit(1))), "one").select("term", idf.alias("idf"), "avgdl")
+    rows = found.join(F.broadcast(weights), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = rows.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
     return hits.orderBy(F.desc("score"), "id").limit(k) if k else hits
 
 
-def with_excerpts(hits: DataFrame, docs: DataFrame, query: str, columns: Sequence[str] = ("name", "path", "project"), marked: bool = False) -> DataFrame:
-    """hits with columns of their documents and an excerpt."""
+def described(hits: DataFrame, index: Index, *columns: str) -> DataFrame:
+    """hits with columns of their entries. A top-k page of hits is small, so it is what moves."""
+    return F.broadcast(hits).join(index.entries.select("id", *columns), "id").select(*hits.columns, *columns)
+
+
+def with_excerpts(hits: DataFrame, docs: DataFrame, query: str, columns: Sequence[str] = ("name", "path", "project"), marked: bool = False, k: int = HITS) -> DataFrame:
+    """The first k hits with columns of their documents and an excerpt.
+
+    A page of hits comes to the driver, so that the texts are asked for by id: the ids reach the scan,
+    which skips the row groups that hold none of them.
+    """
     terms = query_terms(query)
+    page = hits.orderBy(F.desc("score"), "id").limit(k).collect()
     short = excerpt(F.col("text"), terms)
-    return hits.join(docs, "id").select(*hits.columns, *columns, (highlight(short, terms) if marked else short).alias("excerpt"))
+    found = docs.where(F.col("id").isin([r["id"] for r in page]) if page else F.lit(False))
+    return F.broadcast(docs.sparkSession.createDataFrame(page, hits.schema)).join(found, "id").select(*hits.columns, *columns, (highlight(short, terms) if marked else short).alias("excerpt"))
 
 
 def hit_count(index: Index, query: str, mode: str = "any") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +49,38 @@ def plain_text(files: DataFrame) -> DataFrame:
     return files.where(F.col("ext").isin("txt", "md", "csv", "html")).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def sheet_text(content: bytes) -> str:
+    """The strings of a spreadsheet (xlsx), in the order of its shared strings and then of its sheets' own ones."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        parts = sorted(n for n in z.namelist() if n == "xl/sharedStrings.xml" or (n.startswith("xl/worksheets/") and n.endswith(".xml")))
+        return "\n".join(e.text for n in parts for e in ElementTree.fromstring(z.read(n)).iter() if e.tag.endswith("}t") and e.text)
+
+
+#: Extractors by extension; callers add their own for further formats, such as pdf.
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {"xlsx": sheet_text}
+
+
+def extracted_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """path, text of files (path, ext, content) in formats that need an extractor; text is null where it fails."""
+    by_ext = EXTRACTORS if extractors is None else extractors
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for ext, content in zip(batch["ext"], batch["content"], strict=True):
+                try:
+                    texts.append(by_ext[ext](bytes(content or b"")))
+                except Exception:  # a broken file must not end the scan of the others
+                    texts.append(None)
+            yield pd.DataFrame({"path": batch["path"], "text": texts})
+
+    return files.where(F.col("ext").isin(list(by_ext))).select("path", "ext", "content").mapInPandas(run, "path string, text string")
+
+
 def html_text(html: Column) -> Column:
     """Searchable text of a page: no scripts, styles and comments, a blank for each run of tags and white space."""
     bare = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<[^>]*>", " ")
@@ -56,9 +88,17 @@ def html_text(html: Column) -> Column:
 
 
 def mails_view(conversations: DataFrame) -> DataFrame:
-    """id, name, path, project, sender, text: turns of conversations seen as mails of a thread; ids follow those of no document."""
+    """id, name, path, project, sender, sent_at, text: turns of conversations seen as mails of a thread.
+
+    Ids are negative, so no document has them, and a pairing of conv_id and turn (both not negative, their
+    sum below 2**32) gives every mail its own. The table has no dates; a day for each thread and a minute
+    for each turn stand in.
+    """
     name = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return conversations.select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("id"), F.concat(name, F.lit(".eml")).alias("name"), F.concat(F.lit("/mail/"), F.col("conv_id").cast("string"), F.lit("/"), name, F.lit(".eml")).alias("path"), F.lit("mail").alias("project"), F.col("role").alias("sender"), "text")
+    both = F.col("conv_id") + F.col("turn")
+    key = F.expr("-1 - (((conv_id + turn) * (conv_id + turn + 1)) div 2 + turn)")
+    sent = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("conv_id") % 365).cast("int"), mins=F.col("turn").cast("int"))
+    return conversations.where(both.isNotNull()).select(key.alias("id"), F.concat(name, F.lit(".eml")).alias("name"), F.concat(F.lit("/mail/"), F.col("conv_id").cast("string"), F.lit("/"), name, F.lit(".eml")).alias("path"), F.lit("mail").alias("project"), F.col("role").alias("sender"), sent.alias("sent_at"), "text")
 
 
 def ocr_route(files: DataFrame) -> DataFrame:
@@ -69,12 +109,27 @@ def ocr_route(files: DataFrame) -> DataFrame:
 
 
 def documents_view(documents: DataFrame) -> DataFrame:
-    """id, name, path, project, ext, text: the documents table seen as files /source/lang/id.txt."""
+    """id, name, path, project, ext, text: the documents table seen as files /source/lang/id.txt. A null source or lang is the folder "(none)", which policies can name like any other."""
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
-    return documents.select(F.col("doc_id").alias("id"), name.alias("name"), F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), name).alias("path"), F.col("source").alias("project"), F.lit("txt").alias("ext"), "text")
+    source, lang = (F.coalesce(c, F.lit("(none)")) for c in ("source", "lang"))
+    return documents.select(F.col("doc_id").alias("id"), name.alias("name"), F.concat(F.lit("/"), source, F.lit("/"), lang, F.lit("/"), name).alias("path"), source.alias("project"), F.lit("txt").alias("ext"), "text")
 
 
 def pages_view(pages: DataFrame) -> DataFrame:
     """id, path, project, ext: the pages table seen as files below their host."""
     path = F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1)
     return pages.select(F.col("page_id").alias("id"), path.alias("path"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("project"), file_type(path).alias("ext"))
+
+
+def photos_view(pages: DataFrame) -> DataFrame:
+    """id, rating, tags: pages seen as photos; the id gives the stars (none where it leaves 6), the first folder and a feed mark are the tags."""
+    stars = F.col("page_id") % 7
+    folder = F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?#]+)", 1)
+    tags = F.filter(F.array(F.nullif(folder, F.lit("")), F.when(F.contains("url", F.lit("source=feed")), "feed")), lambda t: t.isNotNull())
+    return pages.select(F.col("page_id").alias("id"), F.when(stars < 6, stars.cast("int")).alias("rating"), tags.alias("tags"))
+
+
+def sheets_view(documents: DataFrame) -> DataFrame:
+    """id, text, width_mm, height_mm: documents seen as scanned sheets of many sizes; each third has no text layer."""
+    n = F.col("doc_id")
+    return documents.select(n.alias("id"), F.when(n % 3 != 0, F.col("text")).alias("text"), (210 + 105 * (n % 7)).cast("int").alias("width_mm"), (297 + 136 * (n % 5)).cast("int").alias("height_mm"))

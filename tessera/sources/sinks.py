@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.search import Index
 
+_LOCAL: dict[str, str] = {}
+
+
+def home(spark: SparkSession) -> str:
+    """A new folder name that driver and executors share: below spark.checkpoint.dir, or on a local master that has none below a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        found = _LOCAL.setdefault(app, _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="tessera-index-"))
+    return f"{found.rstrip('/')}/index-{uuid.uuid4().hex}"
+
 
 def write_index(index: Index, path: str) -> None:
-    """Postings sorted by term within range partitions, so that a query reads the row groups of its terms only."""
+    """Postings sorted by term within range partitions, so that a query reads the row groups of its terms only. Entries are written once, and the totals come from what was written."""
+    spark = index.entries.sparkSession
     index.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    index.entries.write.mode("overwrite").parquet(f"{path}/entries")
+    spark.read.parquet(f"{path}/entries").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "entries", "totals")))
 
 
 def append_log(log: DataFrame, path: str, ts: str = "ts") -> None:
@@ -24,5 +42,5 @@ def append_log(log: DataFrame, path: str, ts: str = "ts") -> None:
 
 
 def write_copies(selection: DataFrame, path: str) -> None:
-    """The list of files to copy; the copying itself belongs to the file server."""
+    """The list of files (or photos) to copy; the copying itself belongs to the file server."""
     selection.write.mode("overwrite").json(path)

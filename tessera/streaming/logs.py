@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def read_events(spark: SparkSession, glob: str, schema) -> DataFrame:
@@ -16,6 +15,3 @@ def hourly_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour"
     """Tumbling windows by event type; state older than the watermark is dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
-
-def into_memory(stream: DataFrame, name: str) -> StreamingQuery:
-    return stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()

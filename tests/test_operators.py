@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import documents as dc
-from tessera.operators import gallery, logs, norms, policy, search
-from tessera.plans import catalog
+from tessera.operators import gallery, logs, norms, policy, search, tools
+from tessera.plans import catalog, scan
 from tessera.sources import files, sinks
 from tessera.streaming import logs as stream
 
@@ -67,12 +67,12 @@ def test_selections(spark):
 
 
 def test_norms(spark):
-    rows = [("SIA 118:2013", "current"), ("SIA 261:2014", "outdated"), ("VSS 40 050:2019", None), ("DIN 276:2018", "unchecked"), ("SIA 999:2001", "unchecked"), ("SIA 118", "unchecked"), ("none", "unchecked")]
-    cat = norms.catalogue_of(spark, [("SIA", "118", 2013), ("SIA", "118", 1991), ("SIA", "261", 2014), ("SIA", "261", 2020), ("DIN", "276", 2018)])
+    rows = [("SIA 118:2013", "current"), ("SIA 261:2014", "outdated"), ("VSS 40 050:2019", "current"), ("DIN 276:2018", "unchecked"), ("SIA 999:2001", "unchecked"), ("SIA 118", "unchecked"), ("none", "unchecked")]
+    cat = norms.catalogue_of(spark, [("VSS", "40 050", 2019), ("SIA", "118", 2013), ("SIA", "118", 1991), ("SIA", "261", 2014), ("SIA", "261", 2020), ("DIN", "276", 2018)])
     d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id int, text string")
     got = {r.id: r.status for r in norms.validity(norms.designations(d), cat).collect()}
     assert all(got[i] == s for i, (_, s) in enumerate(rows) if s)
-    assert {r.status: r.n for r in norms.summary(norms.validity(norms.designations(d), cat)).collect()}["current"] == 1
+    assert {r.status: r.n for r in norms.summary(norms.validity(norms.designations(d), cat)).collect()}["current"] == 2
 
 
 def test_norms_that_are_missed_on_purpose(spark):
@@ -85,7 +85,7 @@ def test_norms_that_are_missed_on_purpose(spark):
 
 
 def test_gallery(spark):
-    photos = catalog._photos(spark)
+    photos = spark.createDataFrame(catalog.PHOTOS, "id int, rating int, tags array<string>")
     assert {r.id for r in gallery.filtered(photos, 3).collect()} == {1, 3, 4, 6}
     assert {r.id for r in gallery.filtered(photos, 3, "Fassade").collect()} == {3, 4, 6} and gallery.filtered(photos).count() == 12
     assert {r.id for r in gallery.filtered(gallery.rated(photos, gallery.filtered(photos, tag="Dach"), 5), 5).collect()} == {6, 11}
@@ -106,7 +106,8 @@ def test_logs(spark, tmp_path):
 
 def test_stream(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
-    q = stream.into_memory(stream.hourly_counts(stream.read_events(spark, f"{SF}/event*.parquet", events.schema)), "hourly")
+    counts = stream.hourly_counts(stream.read_events(spark, f"{SF}/event*.parquet", events.schema))
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("hourly").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r.start, r.event_type): r.n for r in spark.table("hourly").collect()}
     want = {(r.start, r.event_type): r["count"] for r in events.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start"), "event_type").count().collect()}
@@ -141,3 +142,82 @@ def test_entry_without_the_removable_part():
     import __spark_entry__ as e
 
     assert set(catalog.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_queries_without_a_token_and_letters_that_change_length(spark):
+    d = docs(spark, [(1, "/1", "a", "İİİ Wand und wand"), (2, "/2", "a", "!!!")])
+    index = search.build_index(d)
+    assert tx.query_terms("!!! _") == [] and search.search(index, "!!!").count() == 0 and search.hit_count(index, "").first().hits == 0
+    assert search.with_excerpts(search.search(index, "!!!"), d.withColumn("name", F.lit("n")), "!!!", marked=True).count() == 0
+    r = d.where("id = 1").select(tx.first_match(F.col("text"), ["wand"]).alias("at"), tx.highlight(F.col("text"), []).alias("same"), tx.first_match(F.col("text"), []).alias("none"), tx.first_match(F.col("text"), ["und"]).alias("und")).first()
+    assert (r["at"], r["none"], r["und"]) == (5, 0, 10) and r["same"] == "İİİ Wand und wand"
+
+
+def test_ai_tools_keep_policy_and_standards(spark):
+    p = policy.Policy(approved=["a"], blocked=["/a/secret"])
+    rows = [(1, "/a/x.txt", "a", "wand " * 3), (2, "/a/secret/y.txt", "a", "wand"), (3, "/b/z.txt", "b", "wand"), (4, "/a/n.txt", "a", "© SIA wand"), (5, "/a/t.txt", "a", None), (6, "/a/u.txt", None, "wand")]
+    d = docs(spark, rows).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).withColumn("ext", F.lit("txt"))
+    entries = d.withColumn("norm", norms.is_norm(F.coalesce("text", F.lit("")))).withColumn("status", F.when(F.col("norm"), "outdated"))
+    index = search.build_index(entries)
+    found = {r.id: r for r in tools.find(index, d, p, "wand").collect()}
+    assert set(found) == {1, 4} and found[4].excerpt is None and found[4].status == "outdated" and found[1].excerpt.startswith("wand")
+    opted = {r.id: r for r in tools.find(index, d, p, "wand", norm_search=True).collect()}
+    assert set(opted) == {1, 4} and "SIA" in opted[4].excerpt
+    alone = search.build_index(entries.where("id IN (1, 4, 5)"))
+    assert found[1].score == search.search(alone, "wand").where("id = 1").first().score
+    for got in (tools.read_document(d, p), tools.merge(d, p, [4, 3, 2, 1], "txt"), tools.copy(d, p, [4, 3, 2, 1])):
+        assert {r.id for r in got.collect()} == {1}
+    assert {r.name for r in tools.list_folder(d, p, "/a").collect()} == {"x.txt", "t.txt"}
+    assert {r.id for r in tools.resolve(d, p, [1, 2, 3, 4, 6]).collect()} == {1, 4}
+
+
+def test_stored_index_is_read_by_term(spark):
+    index = catalog._index(spark, SF)
+    assert catalog._index(spark, SF).postings.inputFiles() == index.postings.inputFiles()
+    plan = search.search(index, "license")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,license)" in plan or "PushedFilters: [In(term" in plan
+    assert "documents.parquet" not in plan
+
+
+def test_mails_keep_apart(spark):
+    c = spark.createDataFrame([(0, 1000, "u", "x"), (1, 0, "u", "x"), (2**31, 5, "u", "x"), (7, None, "u", "x")], "conv_id long, turn long, role string, text string")
+    got = files.mails_view(c).collect()
+    assert len({r.id for r in got}) == 3 == len(got) and all(r.id < 0 for r in got)
+
+
+def test_documents_without_source(spark):
+    d = spark.createDataFrame([(1, "x", None, None), (2, "x", "de", "a")], "doc_id long, text string, lang string, source string")
+    assert {r.path for r in files.documents_view(d).collect()} == {"/(none)/(none)/1.txt", "/a/de/2.txt"}
+    assert policy.visible(files.documents_view(d), policy.Policy(approved=["(none)"])).count() == 1
+
+
+def test_scan(spark, tmp_path):
+    import io
+    import zipfile
+
+    root = tmp_path / "office"
+    (root / "P1/Privat").mkdir(parents=True)
+    (root / "P1/plan.txt").write_text("Beton Wand")
+    (root / "P1/Privat/lohn.txt").write_text("Wand")
+    (root / "P1/norm.txt").write_text("© SIA Zürich. Wand")
+    (root / "P1/seite.html").write_text("<p>Wand</p><script>x</script>")
+    (root / "P1/foto.jpg").write_bytes(b"\xff\xd8")
+    (root / "P1/kaputt.xlsx").write_bytes(b"no archive")
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://x"><si><t>Wand</t></si></sst>')
+    (root / "P1/liste.xlsx").write_bytes(raw.getvalue())
+    (root / "P1/brief.eml").write_bytes(b"From: a@b.c\r\nSubject: Wand\r\nContent-Type: text/plain\r\n\r\nHallo\r\n")
+    index = scan.scan(spark, [str(root)], str(tmp_path / "index"), patterns=["*privat*"])
+    hits = {r.path: r for r in search.described(search.search(index, "wand"), index, "path", "project", "norm", "sender").collect()}
+    assert set(hits) == {f"/P1/{n}" for n in ("plan.txt", "norm.txt", "seite.html", "liste.xlsx", "brief.eml")}
+    assert hits["/P1/norm.txt"].norm and hits["/P1/plan.txt"].project == "P1" and hits["/P1/brief.eml"].sender == "a@b.c"
+    assert search.search(index, "foto").count() == 1 and search.search(index, "kaputt").count() == 1
+
+
+def test_choices_by_hand(spark):
+    photos = spark.createDataFrame(catalog.PHOTOS, "id int, rating int, tags array<string>")
+    twice = spark.createDataFrame([(3,), (3,)], "id int")
+    assert gallery.tagged(photos, twice, "x").count() == 12 and gallery.rated(photos, twice, 1).count() == 12
+    sheet = {r.id: (r.sheet, r.row, r.place) for r in gallery.contact_sheet(photos, 3, 2).collect()}
+    assert sheet[1] == (1, 1, 1) and sheet[6] == (1, 2, 3) and sheet[7] == (2, 1, 1)
