@@ -1,35 +1,39 @@
-"""Main text of web pages: structure first, then differencing against the nearest URL of the host.
-
-A page is cut into blocks (paragraphs, headings, list items ...) with the containers they stand in.
-Blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments go, told by
-element, role, and whole tokens of class and id; scripts, styles and markup are no text. If the page names its article
-(article, main or role=main, outside such parts), the remaining blocks inside it are the text.
-
-Where it does not, differencing decides: each page is paired with a page of its host that shares the
-longest run of path segments, both pages' lines are aligned by longest common subsequence, and the
-shared lines are deleted. Differencing alone would be wrong on named articles: copies of an article
-under a near URL would delete it, and menus that differ from page to page would stay. So a named
-article is never cut.
-
-Pairing is by equal path prefixes: each prefix keeps its first and last page (aggregated map-side, so a
-host with a third of all pages is no hot group), and the deepest prefix with another page gives the
-partner. What moves are ids and line hashes; html is parsed once where it is read.
-
-Defined results: null html has an empty text; a null url makes a host of its own; pages without partner
-delete nothing; equal pages under different ids and repeated rows are paired like others and so lose
-what they share if neither names its article. Further columns are ignored. An empty table gives an
-empty result.
+"""Main text of web pages: differencing against the nearest URL of the host, confirmed by structure.
+
+A page is cut into lines, its blocks (paragraphs, headings, list items ...), with the containers they
+stand in. Every page is paired by URL path with a page of its host, the lines of both are aligned by
+longest common subsequence, and the shared lines are deleted. Structure follows as a check in both
+directions. Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader comments go
+although no other page has them, told by element, role, and whole tokens of class and id; scripts,
+styles and markup are no text. If the page names its article (article, main or role=main, outside such
+parts), its text is the lines inside it, shared ones too: pages quote the same passages, and a copy
+under a near URL would delete the whole article.
+
+Pairing: the levels of a page are its host and each longer run of path segments but the last. Of the
+pages of a level CANDIDATES at most stand for it, the one with the smallest digest of its lines in each
+part of the digests (aggregated map-side, so a host with a third of all pages is no hot group). A
+page takes the first candidate of its deepest level, and further ones up to the host, as long as it is
+refused: pages of equal lines are, and, where no article is named, pages that share NEARLY of the
+text left by structure, which are copies and would delete it. Lines travel as hashes. The candidates'
+hashes go to the tasks as a broadcast if they are at most NUMBERS, and by a join beyond it; texts do not
+move in the first case and move once in the second.
+
+Defined results: null html has an empty text; a null url makes a host of its own; a page without partner
+loses nothing by differencing; equal pages under different ids and repeated rows are no partners of each
+other. Further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +46,8 @@ TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]++))?""")
 WORD = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe xmp noframes template svg math object".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title iframe xmp noframes template svg".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var object math mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mfenced semantics annotation".split())
 CELL = frozenset("td th br img wbr".split())
 GONE = frozenset("nav header footer aside form menu dialog button select option fieldset noscript head audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
@@ -62,6 +66,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDED, AREA, FIRM = 1, 2, 3
 #: Bits that an alignment's rows may hold; longer alignments are split.
 ALIGN_BITS = 1 << 28
+#: Pages that stand for a level; the share of a page's text that makes a partner its copy; line hashes that may be broadcast.
+CANDIDATES, NEARLY, NUMBERS = 4, 0.9, 1 << 20
 
 
 def _worded(value: str, inside: bool) -> int:
@@ -237,78 +243,102 @@ def shared_lines(a: list, b: list) -> list[bool]:
     return [True] * lo + middle + [True] * hi
 
 
-def url_levels(url: str | None) -> list[str]:
-    """Host, then host with one more path segment each, without the last segment."""
+def url_levels(url: str | None) -> list[bytes]:
+    """Digests of the host, then of the host with one more path segment each, without the last segment."""
     if url is None:
-        return ["\0"]
+        return [b"\0" * 16]
     try:
         parts = urlsplit(url)
         host, path = (parts.netloc or "").lower(), parts.path
     except ValueError:
         host, path = url, ""
-    segments = [s for s in path.split("/") if s]
-    return [f"{len(segments[:k])}:{host}/{'/'.join(segments[:k])}" for k in range(len(segments) or 1)]
+    segments = [x for x in path.split("/") if x]
+    made = hashlib.blake2b(host.encode("utf-8", "replace"), digest_size=16)
+    out = [made.digest()]
+    for x in segments[:-1]:
+        made.update(b"/" + x.encode("utf-8", "replace"))
+        out.append(made.digest())
+    return out
 
 
-PARSED = "page_id bigint, url string, named boolean, lines array<string>, hashes array<bigint>, levels array<string>"
+#: flags: for each hash 0 if structure drops the line, 1 if it stays unless differencing deletes it, 2 if it stays; lines: those of the last two.
+PARSED = "page_id bigint, url string, named boolean, lines array<string>, flags array<tinyint>, hashes array<bigint>, digest binary, levels array<binary>"
+RESULT = "page_id bigint, url string, text string, n_chars bigint, named boolean, n_shared bigint"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in PARSED.split(", ")]
+    kinds = [pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
     for batch in batches:
-        urls = batch.column(1).to_pylist()
-        named, lines, hashes = [], [], []
-        for raw in batch.column(2).to_pylist():
+        rows = []
+        for url, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             found = blocks(raw or "")
             has = any(content and main for _, content, main in found)
-            named.append(has)
-            lines.append([text for text, content, main in found if content and (main or not has)])
-            hashes.append([line_hash(text) for text, _, _ in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(named, pa.bool_()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array([url_levels(u) for u in urls], pa.list_(pa.string()))], names)
+            flags = [0 if not content or (has and not main) else 2 if has else 1 for _, content, main in found]
+            hashes = [line_hash(text) for text, _, _ in found]
+            digest = hashlib.blake2b(np.array(hashes, np.int64).tobytes(), digest_size=16).digest()
+            rows.append((has, [x[0] for x, f in zip(found, flags, strict=True) if f], flags, hashes, digest, url_levels(url)))
+        made = zip(*rows, strict=True) if rows else ([] for _ in kinds)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names)
+
+
+def difference(lines: list[str], flags: list[int], hashes: list[int], digest: bytes, others: Iterable[tuple[bytes, list[int]]]) -> tuple[list[str], int]:
+    """(lines that stay, number of shared lines deleted) by the first of others (digest, hashes; nearest first) that is no copy."""
+    same = [False] * len(hashes)
+    total = sum(map(len, lines))
+    for their_digest, their_hashes in others:
+        if their_digest == digest:
+            continue
+        same = shared_lines(hashes, their_hashes)
+        kept = iter(lines)
+        alike = sum(len(next(kept)) * s for f, s in zip(flags, same, strict=True) if f == 1)
+        if not alike or alike < NEARLY * total:
+            break
+        same = [False] * len(hashes)
+    kept = iter(lines)
+    return [x for x, f, s in ((next(kept), f, s) for f, s in zip(flags, same, strict=True) if f) if f == 2 or not s], sum(s and f != 2 for f, s in zip(flags, same, strict=True))
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for lines, hashes, other in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            gone: dict[int, int] = {}
-            for h, same in zip(hashes, shared_lines(hashes, other), strict=True):
-                if same:
-                    gone[h] = gone.get(h, 0) + 1
-            kept = []
-            for text in lines:
-                h = line_hash(text)
-                if gone.get(h):
-                    gone[h] -= 1
-                else:
-                    kept.append(text)
-            out.append(kept)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["rid", "kept"])
-
-
-def partners(parsed: DataFrame) -> DataFrame:
-    """(rid, other): for each page a page that shares the longest run of path segments, if its host has another one."""
-    rows = parsed.select("rid", "url", F.posexplode("levels").alias("depth", "level"))
-    ends = rows.groupBy("level").agg(F.min(F.struct("url", "rid")).alias("lo"), F.max(F.struct("url", "rid")).alias("hi"), F.count(F.lit(1)).alias("c")).where("c > 1").select("level", F.col("lo.rid").alias("lo"), F.col("hi.rid").alias("hi"))
-    met = rows.join(ends, "level").select("rid", "depth", F.when(F.col("lo") == F.col("rid"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
-    return met.groupBy("rid").agg(F.max(F.struct("depth", "other"))["other"].alias("other"))
-
-
-def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, named (whether the page names its article); a row for each page."""
+def _difference(held: Broadcast | None):
+    """RESULT from PARSED rows; candidates by level from a broadcast, or else from a further column others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
+            made = []
+            for k, levels in enumerate(column["levels"]):
+                others = [o for level in reversed(levels) for o in held.value.get(level, ())] if held else [(o["digest"], o["hashes"]) for o in column["others"][k] or ()]
+                lines, n_shared = difference(*(column[c][k] for c in ("lines", "flags", "hashes", "digest")), others)
+                text = "\n\n".join(lines)
+                made.append((column["page_id"][k], column["url"][k], text, len(text), column["named"][k], n_shared))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else ([] for _ in kinds), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
+
+    return run
+
+
+def candidates(parsed: DataFrame) -> DataFrame:
+    """(level, digest, hashes): at most CANDIDATES pages of different lines for each level, the smallest digest in each part of them."""
+    part = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int") % CANDIDATES
+    rows = parsed.select(F.explode("levels").alias("level"), part.alias("part"), F.struct("digest", "hashes").alias("page"))
+    return rows.groupBy("level", "part").agg(F.min("page").alias("page")).select("level", "page.digest", "page.hashes")
+
+
+def extract(spark: SparkSession, pages: DataFrame, numbers: int = NUMBERS) -> DataFrame:
+    """RESULT: text, n_chars, named (whether the page names its article) and n_shared (lines that differencing deletes); a row for each page."""
     small_batches(spark)
     made = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(_parse, PARSED)
-    parsed = written(spark, made.select(F.monotonically_increasing_id().alias("rid"), "*"), "pages")
-    unnamed = parsed.where(~F.col("named") & (F.size("lines") > 0))
-    out = parsed.select("rid", "page_id", "url", "named", "lines")
-    if not unnamed.isEmpty():
-        pairs = unnamed.select("rid").join(partners(parsed), "rid")
-        left = pairs.join(unnamed.select("rid", "lines", "hashes"), "rid")
-        both = left.join(parsed.select(F.col("rid").alias("other"), F.col("hashes").alias("other_hashes")), "other").select("rid", "lines", "hashes", "other_hashes")
-        kept = written(spark, both.mapInArrow(_difference, "rid bigint, kept array<string>"), "pages-kept")
-        out = out.join(kept, "rid", "left").withColumn("lines", F.coalesce("kept", "lines"))
-    text = F.array_join("lines", "\n\n")
-    return out.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), "named")
+    parsed = written(spark, made, "pages")
+    met = written(spark, candidates(parsed), "pages-candidates")
+    if (met.agg(F.sum(F.size("hashes") + 16)).first()[0] or 0) <= numbers:
+        by_level: dict[bytes, list[tuple[bytes, list[int]]]] = {}
+        for r in sorted(met.toArrow().to_pylist(), key=lambda r: (r["level"], r["digest"])):
+            by_level.setdefault(r["level"], []).append((r["digest"], r["hashes"]))
+        return parsed.mapInArrow(_difference(spark.sparkContext.broadcast(by_level)), RESULT)
+    keyed = written(spark, parsed.select(F.monotonically_increasing_id().alias("rid"), "*"), "pages-keyed")
+    asked = keyed.select("rid", F.posexplode("levels").alias("depth", "level")).join(met, "level")
+    others = asked.groupBy("rid").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("up"), "digest", "hashes"))), lambda o: F.struct(o["digest"].alias("digest"), o["hashes"].alias("hashes"))).alias("others"))
+    return keyed.join(others, "rid", "left").drop("rid").mapInArrow(_difference(None), RESULT)
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

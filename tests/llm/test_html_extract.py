@@ -1,11 +1,16 @@
+import hashlib
 import html
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessera.llm import html_extract as hx
 
+SITE = [f"Site line {k}" for k in range(8)]
+
 
 def lcs(a, b):
     p = [0] * (len(b) + 1)
@@ -108,3 +113,88 @@ def test_class_words():
     for x in ("ad", "ad-300x250", "share-bar", "wide social-links", "comments-area", "related-posts", "main-nav", "cookie-banner"):
         assert texts(f'<article><p>One</p><div class="{x}"><h2>No</h2><p>no</p></div></article>') == ["One"], x
     assert texts('<p>One</p><div class="site-header">no</div>', '<article><p>One</p><article class="comment">no</article></article>') == ["One"] * 2
+
+
+def test_text_in_formulas_and_objects():
+    assert texts("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><object><p>Fallback</p></object><svg><title>no</title></svg></article>") == ["Let x=1 be\n\nFallback"]
+
+
+def random_pages(rng):
+    """(page_id, url, [(line, in the article)]): site lines always in one order, so that shared lines are a plain intersection."""
+    rows = []
+    for n in range(160):
+        host, folder = rng.choice(["a.x", "a.x", "b.x"]), rng.choice(["", "n/", "n/2024/", "m/"])
+        mine = [f"Own {n} {k} " + "word " * rng.randrange(30) for k in range(rng.randrange(4))]
+        lines = [(x, False) for x in SITE if rng.random() < 0.6]
+        named = rng.random() < 0.4
+        body = [(x.strip(), named) for x in mine]
+        if named and rng.random() < 0.5 and lines:
+            body.append((lines.pop()[0], True))
+        cut = rng.randrange(len(lines) + 1)
+        if named and body and body[-1][0] in SITE:
+            cut = len(lines)
+        rows.append((n, f"http://{host}/{folder}p{n}", lines[:cut] + body + lines[cut:]))
+        if n % 9 == 0:
+            rows.append((n + 1000, f"http://{host}/{folder}copy{n}", rows[-1][2]))
+    return rows
+
+
+def page(lines):
+    out, inside = "", False
+    for x, named in lines:
+        out += ("<article>" if named and not inside else "</article>" if inside and not named else "") + f"<p>{x}</p>"
+        inside = named
+    return out
+
+
+def expected(rows):
+    """By page: its text and how many lines differencing deletes, from the definition: sets for alignment, lists for pairing."""
+    digest = {n: hashlib.blake2b(np.array([hx.line_hash(x) for x, _ in lines], np.int64).tobytes(), digest_size=16).digest() for n, _, lines in rows}
+    content = {n: [x for x, _ in lines] for n, _, lines in rows}
+    folders = {n: ["/".join(url.split("/")[:k]) for k in range(3, url.count("/") + 1)] for n, url, _ in rows}
+    groups = {}
+    for n in digest:
+        for f in folders[n]:
+            part = int.from_bytes(digest[n][:2], "big") % hx.CANDIDATES
+            groups[f, part] = min(groups.get((f, part), n), n, key=lambda k: digest[k])
+    out = {}
+    for n, _, lines in rows:
+        named = any(a for _, a in lines)
+        partner = set()
+        for f in reversed(folders[n]):
+            for m in sorted({groups[f, p] for p in range(hx.CANDIDATES) if (f, p) in groups}, key=lambda k: digest[k]):
+                common = set(content[m]) & set(content[n])
+                if digest[m] != digest[n] and not partner:
+                    share = sum(len(x) for x in content[n] if x in common) / max(1, sum(map(len, content[n])))
+                    if named or not common or share < hx.NEARLY:
+                        partner = common or {None}
+        stays = [x for x, a in lines if a or (not named and x not in partner)]
+        out[n] = "\n\n".join(stays), sum(x in partner and not a for x, a in lines)
+    return out
+
+
+@pytest.mark.parametrize("numbers", [hx.NUMBERS, 0])
+def test_pairing_against_brute_force(spark, numbers):
+    rows = random_pages(random.Random(5))
+    pages = spark.createDataFrame([(n, url, page(lines)) for n, url, lines in rows], "page_id long, url string, html string").repartition(7)
+    want = expected(rows)
+    got = hx.extract(spark, pages, numbers).collect()
+    assert len(got) == len(rows) and sum(r.n_shared > 0 for r in got) > 100
+    for r in got:
+        assert (r.text, r.n_shared) == want[r.page_id], r
+    plan = hx.extract(spark, pages, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_copies_under_near_urls_stay(spark):
+    article = "<p>" + "A long article of its own. " * 20 + "</p><p>Second part.</p>"
+    rows = [(k, f"http://h.x/d/{k}", f"<p>Menu</p>{article}<p>Copy {k}</p>") for k in range(5)] + [(9, "http://h.x/d/9", "<p>Menu</p><p>" + "Another one. " * 30 + "</p>")]
+    got = {r.page_id: r.text for r in hx.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("A long article" in got[k] and f"Copy {k}" in got[k] for k in range(5)) and got[9].startswith("Another one.")
+
+
+def test_long_pages_are_aligned(spark):
+    lines = "".join(f"<p>line {k}</p>" for k in range(20000))
+    rows = [(1, "http://h.x/1", f"<p>{'own text one ' * 40000}</p>{lines}"), (2, "http://h.x/2", f"{lines}<p>{'own text two ' * 40000}</p>")]
+    got = {r.page_id: r for r in hx.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), 1 << 30).collect()}
+    assert got[1].n_shared == got[2].n_shared == 20000 and got[1].text.startswith("own text one") and "line" not in got[2].text
