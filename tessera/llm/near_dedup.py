@@ -1,6 +1,6 @@
 """Near-duplicate components by a chosen-path set similarity join.
 
-Every document is a set of word shingles with COORDINATES minwise values. Equal sets become one
+Every document is a set of word shingles with COORDINATES minwise values, DEPTH for each tree. Equal sets become one
 class, and classes are joined. In each of TREES independent trees a node holds the classes that agree
 on the minwise tokens chosen so far; the tokens of a tree are coordinates of its own. A node of at
 most LEAF classes is compared exhaustively. A pair of similarity s meets at depth d of one tree with
@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import forget, small_batches, written
+from tessera.llm.shared import forget, small_batches, text_hash, written
 from tessera.llm.textarrays import NONBLANK, mixed, text_blocks, words
 from tessera.session import table
 
-COORDINATES, TREES, LEAF = 64, 16, 32
+TREES, DEPTH, LEAF = 16, 2, 32
+COORDINATES = TREES * DEPTH
 MINOR, PARITY = 2048, 1024
-DEPTH = 2
 #: Classes whose keys may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
 _RNG = np.random.default_rng(7)
@@ -146,9 +146,10 @@ class Join:
     def __init__(self, spark: SparkSession, docs: DataFrame, shingle: int, percent: int):
         small_batches(spark)
         self.spark, self.percent = spark, percent
-        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+        # a row's text is named by doc_id and a 64-bit hash, so a clash of hashes matters only within one doc_id
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash("text").alias("th"), "text")
         self.docs = written(spark, rows.mapInArrow(_sketch(shingle), "doc_id bigint, th bigint, n bigint, key binary, sig binary, par array<bigint>"), "sketches")
-        reps = self.docs.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("par").alias("par"), F.min("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("doc_id"))
+        reps = self.docs.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("par").alias("par"), F.min("n").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"), F.min("doc_id").alias("doc_id"))
         self.reps = written(spark, reps.select(F.monotonically_increasing_id().alias("rid"), "*"), "classes")
         self.comps = None
         active = self.reps.select("rid", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
@@ -174,8 +175,7 @@ class Join:
 
     def nodes(self, active: DataFrame) -> DataFrame:
         """(h, rid, n, c, hub): members of the trees' nodes that hold two classes or more."""
-        step = COORDINATES // TREES * 4
-        path = F.expr(f"xxhash64(t, substring(sig, t * {step} + 1, {4 * DEPTH}))")
+        path = F.expr(f"xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * DEPTH}))")
         return self.gathered(active.select(path.alias("h"), "rid", "n"))
 
     def sharing(self, active: DataFrame) -> DataFrame:
@@ -198,10 +198,10 @@ class Join:
     def make_sets(self, rows: DataFrame, nodes: DataFrame, shingle: int) -> None:
         """Full sets of the classes that share a node, from one text of each."""
         met = nodes.select("rid").distinct()
-        wanted = written(self.spark, self.reps.join(met, "rid", "left_semi").select("rid", "key", "th"), "met")
-        keys = wanted.select("th").distinct()
+        wanted = written(self.spark, self.reps.join(met, "rid", "left_semi").select("rid", "key", "doc_id", "th"), "met")
+        keys = wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
         keys = F.broadcast(keys) if wanted.count() <= SMALL else keys
-        texts = rows.join(keys, "th", "left_semi").select("th", "text").dropDuplicates(["th"]).select("text")
+        texts = rows.join(keys, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").dropDuplicates(["doc_id", "th"]).select("text")
         made = texts.mapInArrow(_sets(shingle), "key binary, members array<bigint>")
         self.sets = written(self.spark, made.join(wanted.select("rid", "key"), "key").select("rid", "members"), "sets")
         forget(wanted)
@@ -290,7 +290,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     gone = written(spark, gone, "near-gone")
     again = written(spark, run.docs.where("n > 0").groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).count().where("count > 1").drop("count"), "near-again")
     forget(run.docs, run.reps, run.sets, run.comps)
-    same = lambda keys: (F.xxhash64(docs["text"]) == keys["g_th"]) & docs["doc_id"].cast("bigint").eqNullSafe(keys["g_id"])
+    same = lambda keys: (text_hash(docs["text"]) == keys["g_th"]) & docs["doc_id"].cast("bigint").eqNullSafe(keys["g_id"])
     kept = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, same(gone), "left_anti")
     if again.isEmpty():
         return kept

@@ -6,16 +6,19 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LONG_S = 2.0
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset, a folder of our own (local tests)."""
+    """The folder named by spark.checkpoint.dir. Only where that is unset and the master is local, a folder of our own (tests)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -43,6 +46,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def text_hash(text: Column | str) -> Column:
+    """A 64-bit name of a text within the rows of one doc_id, which together name a document."""
+    return F.xxhash64(text)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most about 2 MB, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")

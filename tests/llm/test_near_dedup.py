@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup as nd
 
@@ -100,3 +101,10 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (50, 100)]
     got = {r.rid: r.root for r in nd.components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {got.get(i, i) for i in range(41)} == {0} and got[102] == got[101] == got[100] == 50
+
+
+def test_texts_of_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(nd, "text_hash", lambda text: F.lit(0).cast("bigint"))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i % 3 * 20 :] + [f"x{i}"])) for i in range(12)] + [(50, "a b c d e f"), (51, "a b c d e f")]
+    check(spark, rows, 3, 85)
