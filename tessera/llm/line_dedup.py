@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.native import let
-from tessera.llm.shared import forget, small_batches, written
+from tessera.llm.shared import forget, small_batches, text_hash, written
 from tessera.llm.textarrays import ALNUM, mixed, spread, text_blocks, words
 from tessera.session import table
 
@@ -143,12 +143,12 @@ NAMES = [x.split()[0] for x in LINES.split(", ")]
 
 
 def _members(rare: Broadcast):
-    """(th, line, members) of the wanted lines of each text."""
+    """(doc_id, th, line, members) of the wanted lines of each text (doc_id, th, text, lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2).to_pylist()
-            for a, _, data, bounds in text_blocks(batch.column(1)):
+            wanted = batch.column(3).to_pylist()
+            for a, _, data, bounds in text_blocks(batch.column(2)):
                 x = Lines(data, bounds, rare.value)
                 sets = {t: set(wanted[a + t]) for t in np.unique(x.text).tolist()}
                 keep = np.array([k for k, (t, n) in enumerate(zip(x.text.tolist(), x.number.tolist(), strict=True)) if n in sets[t]], np.int64)
@@ -157,7 +157,8 @@ def _members(rare: Broadcast):
                 size = x.sizes[keep]
                 flat = pa.array(x.h[spread(x.starts[keep], size)].view(np.int64))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + x.text[keep])), pa.array(x.number[keep].astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)], ["th", "line", "members"])
+                rows = pa.array(a + x.text[keep])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.number[keep].astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "th", "line", "members"])
 
     return run
 
@@ -168,7 +169,7 @@ class LineJoin:
     def __init__(self, spark: SparkSession, docs: DataFrame, percent: int = 80):
         small_batches(spark)
         self.spark, self.percent = spark, percent
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash("text").alias("th"), "text")
         self.rare = spark.sparkContext.broadcast(rarity(spark, docs))
         self.lines = written(spark, self.docs.mapInArrow(_lines(self.rare, percent), LINES), "lines")
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
@@ -226,11 +227,12 @@ class LineJoin:
         """cid of the later class of each pair whose Jaccard similarity, on full sets, is high enough."""
         pairs = written(self.spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
         met = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        met = written(self.spark, met.join(self.classes.select("cid", "first"), "cid").select("cid", "first", F.col("first.th").alias("th"), F.col("first.line").alias("line")), "line-met")
-        wanted = met.groupBy("th").agg(F.collect_set("line").alias("lines"))
+        met = written(self.spark, met.join(self.classes.select("cid", "first"), "cid").select("cid", "first", F.col("first.doc_id").alias("m_id"), F.col("first.th").alias("m_th"), F.col("first.line").alias("m_line")), "line-met")
+        wanted = met.groupBy("m_id", "m_th").agg(F.collect_set("m_line").alias("lines"))
         wanted = F.broadcast(wanted) if met.count() <= SMALL else wanted
-        made = self.docs.select("th", "text").join(wanted, "th").select("th", "text", "lines").mapInArrow(_members(self.rare), "th bigint, line int, members array<bigint>")
-        sets = written(self.spark, made.dropDuplicates(["th", "line"]).join(met, ["th", "line"]).select("cid", "first", "members"), "line-sets")
+        same = (F.col("th") == F.col("m_th")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
+        made = self.docs.join(wanted, same).select("doc_id", "th", "text", "lines").mapInArrow(_members(self.rare), "doc_id bigint, th bigint, line int, members array<bigint>")
+        sets = written(self.spark, made.dropDuplicates(["doc_id", "th", "line"]).join(met, same & (F.col("line") == F.col("m_line"))).select("cid", "first", "members"), "line-sets")
         side = lambda s: sets.select(F.col("cid").alias(s), F.col("first").alias(f"f_{s}"), F.col("members").alias(f"m_{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("m_a", "m_b"))
@@ -278,7 +280,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int =
     run = LineJoin(spark, docs, percent)
     removed = written(spark, run.removed_lines(), "line-lists")
     forget(run.lines, run.classes, run.removed)
-    rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"))
+    rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_hash("text").alias("th"))
     out = _joined(rows, F.broadcast(removed) if removed.count() <= SMALL else removed)
     kept = let(F.split(F.col("row.text"), "\n", -1), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("r_lines")), lambda i: x[i]))
     new = F.when(F.col("r_lines").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))

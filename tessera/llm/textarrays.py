@@ -52,7 +52,10 @@ def words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np
     after = np.concatenate((w[1:], [False])) & ~edge[1:]
     ends = np.flatnonzero(w & ~after) + 1
     power, inverse = _powers(n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[low] * power, dtype=np.uint64)))
+    sums = np.zeros(n + 1, np.uint64)  # in place, as arrays of a block's bytes are most of a worker's memory
+    np.take(_BYTE, low, out=sums[1:])
+    sums[1:] *= power
+    np.cumsum(sums[1:], out=sums[1:])
     h = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     return h, starts, ends, np.searchsorted(starts, bounds)
 

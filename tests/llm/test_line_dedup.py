@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup as ld
 
@@ -72,3 +73,10 @@ def test_edges(spark):
     kept = {(r.doc_id, r.text) for r in ld.without_repeated_lines(spark, docs).collect()}
     assert (2, "e d c b a") in kept and (None, "new line é") in kept and (5, None) in kept and (6, "") in kept and not any(i == 3 for i, _ in kept)
     assert ld.line_report(spark, docs.where("false")).collect() == [] and ld.without_repeated_lines(spark, docs.where("false")).collect() == []
+
+
+def test_texts_of_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(ld, "text_hash", lambda text: F.lit(0).cast("bigint"))
+    rows = [(i, f"line number {i % 4} of the text a b c\nanother one {i} x y z") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in ld.line_report(spark, docs).collect()), key=str) == brute(rows, [0] * len(rows), 80)
