@@ -15,7 +15,7 @@ similar sets share one of the first n - ceil(percent * n / 100) + 1 shingles. Cl
 shingle in common make a node again, and there all pairs across components are compared, so nothing
 is capped and no large node adds to the miss probability.
 
-Comparing a pair starts with sizes and with parities, a bitmap of PARITY bits that holds whether an odd
+A pair that shares nodes of several trees is compared in the first of them. Comparing a pair starts with sizes and with parities, a bitmap of PARITY bits that holds whether an odd
 number of shingles fell on each bit: two sets differ in at least as many shingles as their parities
 in bits, so this drops pairs without an error. What passes is confirmed on full shingle sets, which
 are made only for classes that share a node with another one.
@@ -174,19 +174,19 @@ class Join:
         return large
 
     def nodes(self, active: DataFrame) -> DataFrame:
-        """(h, rid, n, c, hub): members of the trees' nodes that hold two classes or more."""
+        """(h, rid, n, t, c, hub): members of the trees' nodes that hold two classes or more."""
         path = F.expr(f"xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * DEPTH}))")
-        return self.gathered(active.select(path.alias("h"), "rid", "n"))
+        return self.gathered(active.select(path.alias("h"), "rid", "n", "t"))
 
     def sharing(self, active: DataFrame) -> DataFrame:
-        """(h, rid, n, c, hub): classes of active that share a shingle of their prefixes; every similar pair of them meets. Shingles of one class only come first and never meet."""
+        """(h, rid, n, t (null), c, hub): classes of active that share a shingle of their prefixes; every similar pair of them meets. Shingles of one class only come first and never meet."""
         sets = self.sets.join(active, "rid", "left_semi")
         each = sets.select("rid", F.size("members").cast("bigint").alias("n"), F.explode("members").alias("h"))
         often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         ordered = each.join(often, "h").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("m"))
         length = F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("m"))
         prefix = F.slice("m", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
-        return self.gathered(ordered.select(F.explode(prefix).alias("x"), "rid", "n").select("x.h", "rid", "n"))
+        return self.gathered(ordered.select(F.explode(prefix).alias("x"), "rid", "n").select("x.h", "rid", "n", F.lit(None).cast("int").alias("t")))
 
     def gathered(self, rows: DataFrame) -> DataFrame:
         rows = written(self.spark, rows, "paths")
@@ -209,9 +209,14 @@ class Join:
     def may_link(self, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
         """False only for pairs that cannot reach the similarity: 100 * common >= percent * (n1 + n2 - common)."""
         common = F.ceil(self.percent * (n1 + n2) / (100 + self.percent) - 1e-9)
-        differing = F.aggregate(F.zip_with(p1, p2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        differing = sum((F.bit_count(p1[i].bitwiseXOR(p2[i])) for i in range(PARITY // 64)), F.lit(0))  # no lambda, so joins evaluate it in generated code
         return F.when(100 * F.least(n1, n2) < self.percent * F.greatest(n1, n2), F.lit(False)).otherwise(differing <= n1 + n2 - 2 * common)
 
+    def met_before(self, sig1: Column, sig2: Column, t: Column) -> Column:
+        """Whether two members of a node of tree t share a node of an earlier tree too: there they are compared, or handed to the prefix join, so a pair needs one row only."""
+        token = lambda sig, k: F.substring(sig, k * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
+        return F.when(t > 0, F.exists(F.sequence(F.lit(0), t - 1), lambda k: token(sig1, k) == token(sig2, k))).otherwise(F.lit(False))
+
     def confirm(self, pairs: DataFrame) -> None:
         """Finds the pairs (a, b) that are similar on their full sets, and joins components anew."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -246,17 +251,19 @@ class Join:
         most = sizes.groupBy("h").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         most = most.select("h", (F.col("all") - F.col("top.k")).alias("minor"), F.col("top.root").alias("major"))
         rows = rows.join(most, "h").withColumn("rare", F.col("root") != F.col("major")).drop("major")
-        return written(self.spark, rows.join(self.reps.select("rid", "par"), "rid"), "open")
+        return written(self.spark, rows.join(self.reps.select("rid", "par", "sig"), "rid"), "open")
 
     def across(self, nodes: DataFrame) -> DataFrame:
         """Pairs (a, b) across components within nodes that may link: leaves from their gathered members, larger nodes by joining the members outside the largest component with all."""
-        leaves = nodes.where(F.col("c") <= LEAF).groupBy("h").agg(F.collect_list(F.struct("rid", "root", "n", "par")).alias("m"))
-        later = lambda x, y: (y["rid"] > x["rid"]) & (y["root"] != x["root"]) & self.may_link(x["n"], x["par"], y["n"], y["par"])
+        leaves = nodes.where(F.col("c") <= LEAF).groupBy("h").agg(F.collect_list(F.struct("rid", "root", "n", "par", "sig")).alias("m"), F.first("t").alias("t"))
+        later = lambda x, y: (y["rid"] > x["rid"]) & (y["root"] != x["root"]) & self.may_link(x["n"], x["par"], y["n"], y["par"]) & ~self.met_before(x["sig"], y["sig"], F.col("t"))
         pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: later(x, y)), lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b")))))
         found = leaves.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-        large = nodes.where(F.col("c") > LEAF).select("h", "rid", "root", "n", "par", "rare")
-        rare = large.where("rare").select("h", *(F.col(c).alias(f"{c}_b") for c in ("rid", "root", "n", "par")))
-        met = large.join(rare, "h").where((F.col("root") != F.col("root_b")) & self.may_link(F.col("n"), F.col("par"), F.col("n_b"), F.col("par_b")))
+        large = nodes.where(F.col("c") > LEAF).select("h", "t", "rid", "root", "n", "par", "sig", "rare")
+        rare = large.where("rare").select("h", *(F.col(c).alias(f"{c}_b") for c in ("rid", "root", "n", "par", "sig")))
+        # a pair of two rare members needs one of its two rows only
+        once = ~F.col("rare") | (F.col("rid") < F.col("rid_b"))
+        met = large.join(rare, "h").where((F.col("root") != F.col("root_b")) & once & self.may_link(F.col("n"), F.col("par"), F.col("n_b"), F.col("par_b")) & ~self.met_before(F.col("sig"), F.col("sig_b"), F.col("t")))
         return found.unionByName(met.select(F.col("rid").alias("a"), F.col("rid_b").alias("b")))
 
     def result(self) -> DataFrame:
