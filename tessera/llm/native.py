@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ def whole(text: Column) -> Column:
 
 
 def spaced_words(text: Column) -> Column:
-    """' w1 w2 ... wn ': the lower-cased words of a text between single blanks; a lone blank where there are none."""
-    words = F.trim(F.regexp_replace(F.lower(whole(text)), SEPARATORS, " "))
+    """' w1 w2 ... wn ': the words of a text, A-Z lower-cased, between single blanks; a lone blank where there are none."""
+    words = F.trim(F.regexp_replace(F.translate(whole(text), ascii_uppercase, ascii_lowercase), SEPARATORS, " "))
     return let(words, lambda w: F.when(w == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), w, F.lit(" "))))
 
 

@@ -6,7 +6,7 @@ from tessera.llm.licenses import BASE, CONFIDENCE, license_scan
 
 
 def brute(text):
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()
     for phrase, label in BASE:
         p = phrase.split()
@@ -30,6 +30,7 @@ TEXTS = [
     "Released under the MIT License. " + "word " * 3000 + "SPDX-License-Identifier: GPL-2.0-or-later",
     "İstanbul ÉTÉ apache license apache license",
     "submit license; mit licenses",
+    "PUBLIC DOMAIN DEDICATION AND LICENſE, BlÄ Kelvin MIT LICENİSE, General Public Licenſe",
     "mit license " * 2000,
     "Copyright (c) 2020 Some Body. All rights reserved.",
 ]
@@ -95,3 +96,10 @@ def test_alternatives_beyond_the_first(spark):
         assert tuple(r)[1:] == brute(texts[r.doc_id]), r
     said = {r.doc_id: set(r.labels.split(",")) for r in got}
     assert all(x in said[i] for i, x in enumerate(("zlib", "apache-1.1", "pddl-1.0", "mit", "apache-2.0", "gpl")))
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "MIT License", "s"), (1, "MIT License", "s"), (None, "Apache License", "s"), (None, None, None)], "doc_id long, text string, score string")
+    got = sorted((tuple(r) for r in license_scan(docs).collect()), key=str)
+    assert got == sorted(((i, *brute(t)) for i, t in ((1, "MIT License"), (1, "MIT License"), (None, "Apache License"), (None, None))), key=str)
+    assert license_scan(docs.where("false")).collect() == []
