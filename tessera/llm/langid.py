@@ -22,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import small_batches, written
 from tessera.session import table
 
 PROFILE, SAMPLE, FOLDS = 300, 2000, 5
+#: Languages whose sampling shares may be broadcast, by a count made before; beyond it the join is a shuffle.
+SMALL = 100_000
 BLANK = 32
 _LETTER: list[np.ndarray] = []
 
@@ -108,18 +110,20 @@ def held_out() -> F.Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles from the training folds. Goes to the driver: a count and PROFILE n-grams a language."""
+    """Profiles from the training folds, in one ranked aggregation. Goes to the driver: PROFILE n-grams a language."""
     small_batches(spark)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return Profiles({})
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    sizes = written(spark, rows.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count(F.lit(1))).alias("share")), "langid-sizes")
+    shares = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
+    picked = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)).alias("at")).join(shares, "lang").where(F.col("at") < F.col("share") * 1_000_003)
     counts = picked.select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = written(spark, counts, "langid-grams")
-    top = {lang: counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(PROFILE).collect() for lang in sizes}
-    return Profiles({lang: np.array([r["gram"] for r in found], np.int64) for lang, found in top.items() if found})
+    # ties by gram; Spark keeps the first PROFILE of each language in each task before its shuffle
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "rank", "gram").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    by: dict[str, list[int]] = {}
+    for lang, gram in zip(top["lang"].to_pylist(), top["gram"].to_pylist(), strict=True):
+        by.setdefault(lang, []).append(gram)
+    return Profiles({lang: np.array(found, np.int64) for lang, found in by.items()})
 
 
 def _predict(profiles: Profiles):

@@ -63,3 +63,17 @@ def test_edges(spark):
     empty = docs.where("false")
     none = langid.train(spark, empty)
     assert langid.predict(spark, empty, none).collect() == [] and {r.lang_pred for r in langid.predict(spark, docs, none).collect()} == {"und"}
+
+
+def test_many_languages_and_ties(spark):
+    rows = [(5 * i + k, text, f"l{i:04d}") for i in range(1200) for k, text in enumerate(("abc def", "abc def", "ghi"))] + [(100_000, "zq zq", "b"), (100_001, "zq zq", "a"), (100_003, "zq zq", "b"), (100_004, "zq zq", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = langid.train(spark, docs)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert p.langs == sorted(learned) and p.predict("zq") == ("a", p.predict("zq")[1])
+    want = Counter()
+    for i, text, lang in rows:
+        if lang == "l0007" and zlib.crc32(str(i).encode()) % 5:
+            want += brute_grams(text)
+    k = p.langs.index("l0007")
+    assert [int(g) for g in sorted(p.grams[p.ranks[:, k] >= 0], key=lambda g: p.ranks[list(p.grams).index(g), k])] == brute_rank(want)
