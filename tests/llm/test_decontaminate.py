@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from tessera.llm import decontaminate as d
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +65,52 @@ def test_blocks_and_longest(spark):
 
     whole, parts = (list(d.shard_report(pa.array(TEXTS), d.blocks(spark, bench, n))) for n in (1000, 5))
     assert whole == parts
+
+
+def longest(text, items):
+    """(words, place, item) of the longest match that holds a window; ties by place, then item."""
+    w, best = tokens(text), (0, 0, "")
+    for name, t in items:
+        x = tokens(t)
+        for i in range(len(x)):
+            for p in range(len(w)):
+                n = 0
+                while i + n < len(x) and p + n < len(w) and x[i + n] == w[p + n]:
+                    n += 1
+                if n >= min(10, len(x)):
+                    best = min(best, (-n, p, str(name)))
+    return best
+
+
+def test_longest_match_against_brute_force():
+    """Random texts of few words, with copies, passages cut short and items that share passages; one block, several, and one for each item."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    seen = 0
+    for turn in range(25):
+        some = lambda n, k: " ".join(rng.choice("abcdef"[:k]) for _ in range(n))
+        stems = [some(rng.randint(8, 60), 3) for _ in range(4)]
+        items = [(i, rng.choice((rng.choice(stems), some(4, 2), rng.choice(stems) + " " + some(25, 3), some(30, 2), ""))) for i in range(8)]
+        pieces = lambda: rng.choice((some(5, 6), some(15, 2), rng.choice(stems), " ".join(rng.choice(stems).split()[rng.randint(0, 3) : rng.randint(10, 40)]), "zz"))
+        texts = [" ".join(pieces() for _ in range(rng.randint(0, 6))) for _ in range(9)] + [items[0][1], items[1][1] + " b", None, ""]
+        texts += texts[:4]
+        held = [(str(i), d.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), d.ALNUM)[0]) for i, t in items if t]
+        for size in (1, 3, 100):
+            blocks = [Held(d.Block(held[k : k + size])) for k in range(0, len(held), size)]
+            got = list(d.shard_report(pa.array(texts), blocks))
+            for text, row, want in zip(texts, got, brute(list(enumerate(texts)), items), strict=True):
+                assert row[:5] == want[1:], (turn, size, text)
+                n, at, item = longest(text, items)
+                assert row[5:] == ((-n, item, at) if n else (0, None, None)), (turn, size, text, items)
+                seen += -n > 20
+    assert seen > 100
+
+
+class Held:
+    """Stands in for a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
