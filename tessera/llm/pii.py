@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.native import let, matches, whole
+from tessera.llm.native import BLOCK, let, matches, whole
 from tessera.llm.shared import written
 from tessera.session import table
 
@@ -40,8 +40,7 @@ CARD = r"[0-9](?:[0-9]|[\x20-][0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 WORD = r"[\p{L}\p{N}]+"
-#: CONTEXT is read by a test's model only: terms are counted over whole documents.
-CONTEXT, SUPPORT, GENERALISE, REMOVE, SMALL = 120, 3, 0.8, 0.95, 200_000
+SUPPORT, GENERALISE, REMOVE, SMALL = 3, 0.8, 0.95, 200_000
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
@@ -101,16 +100,31 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["value"])))
 
 
+def _rewritten(text: Column, spans: Column) -> Column:
+    """text with sorted (start, end, by) replaced by `by`; of spans that overlap the first gives the replacement.
+
+    Runs of BLOCK spans are cut out of their own stretch of the text, so a text with n spans is read n/BLOCK times, not n times.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK)))
+    none, part = F.expr("cast(array() as array<string>)"), lambda t, a, n: F.substr(t, (a + 1).cast("int"), n.cast("int"))
+    state = lambda out, pos: F.struct(out.alias("out"), pos.alias("pos"))
+
+    def run(acc: Column, block: Column) -> Column:
+        stretch = part(text, acc["pos"], F.greatest(F.array_max(F.transform(block, lambda s: s["end"])) - acc["pos"], F.lit(0)))
+        return let(let(stretch, lambda t: F.aggregate(block, state(none, acc["pos"]), lambda a, s: one(t, acc["pos"], a, s))), lambda r: state(F.concat(acc["out"], F.array(F.array_join(r["out"], ""))), r["pos"]))
+
+    def one(t: Column, origin: Column, acc: Column, s: Column) -> Column:
+        fresh = F.concat(acc["out"], F.array(part(t, acc["pos"] - origin, s["start"] - acc["pos"]), s["by"]))
+        return state(F.when(s["start"] >= acc["pos"], fresh).otherwise(acc["out"]), F.greatest(acc["pos"], s["end"]))
+
+    whole_text = F.aggregate(blocks, state(none, F.lit(0).cast("long")), run, lambda acc: F.concat(F.array_join(acc["out"], ""), part(text, acc["pos"], F.length(text))))
+    return F.when(F.size(spans) > 0, whole_text).otherwise(text)
+
+
 def _evidence() -> Column:
     """Distinct terms of a text outside its base spans."""
-    text = F.col("around")
-    step = lambda acc, s: F.struct(
-        F.when(s["start"] > acc["pos"], F.concat(acc["out"], F.array(F.substr(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["pos"], s["end"]).alias("pos"),
-    )
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).cast("long").alias("pos"))
-    rest = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], " "), F.lit(" "), F.substr(text, (acc["pos"] + 1).cast("int"), F.length(text))))
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0)), _is_term))
+    gaps = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("by")))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(_rewritten(F.col("around"), gaps)), F.lit(WORD), F.lit(0)), _is_term))
 
 
 def _places() -> Column:
@@ -192,12 +206,7 @@ def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cut = lambda s: F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), said(s).alias("by")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").when(F.rlike(cut(s), F.lit(r"^\p{Lu}")), "<NAME>").otherwise("<WORD>").alias("by")))
-    step = lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.array(F.substr(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int")), s["by"]))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["pos"], s["end"]).alias("pos"),
-    )
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["pos"] + 1).cast("int"), F.length(text)))
-    new = let(F.aggregate(F.sort_array(F.concat(base, terms)), F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).cast("long").alias("pos")), step), rest)
+    new = let(F.sort_array(F.concat(base, terms)), lambda spans: _rewritten(text, spans))
     put = F.when(F.size("base") > 0, new).otherwise(F.col("row.text"))
     return scanned.select(*(put.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in columns))
 

@@ -49,46 +49,33 @@ def test_base_against_brute_force(spark):
 
 
 def brute_terms(texts):
-    """Per text the spans of disclosing terms."""
+    """Per text the spans of disclosing terms: counts over whole documents, patterns of this module only."""
     n = len(texts)
-    near, n_e, n_t, n_te = [], defaultdict(set), defaultdict(set), defaultdict(set)
+    n_e, n_t, n_te, held = defaultdict(set), defaultdict(set), defaultdict(set), []
     for i, t in enumerate(texts):
         t = t or ""
+        spans = base(t)
+        who = {(k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])) for a, k, b in spans}
+        rest = list(t)
+        for a, _, b in spans:
+            rest[a:b] = [" "] * (b - a)
+        outside = {w for w in re.findall(r"[^\W_]+", "".join(rest).lower()) if len(w) > 2 and not re.fullmatch("[0-9]+", w)}
         for w in re.findall(r"[^\W_]+", t.lower()):
             n_t[w].add(i)
-        by = defaultdict(list)
-        for a, k, b in base(t):
-            by[k].append((a, b))
-        rows = []
-        patterns = [pii.EMAIL, pii.IP, pii.CARD, pii.PHONE]
-        for k, spans in by.items():
-            import regex
-
-            every = [(m.start(), m.end()) for m in regex.finditer(patterns[k].replace(r"(?:\G|", "(?:(?<=x)(?<!x)|"), t)]
-            for a, b in spans:
-                at = every.index((a, b))
-                lo = max(every[at - 1][1] if at else 0, a - pii.CONTEXT)
-                hi = min(every[at + 1][0] if at + 1 < len(every) else len(t), b + pii.CONTEXT)
-                v = t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])
-                n_e[k, v].add(i)
-                for m in re.finditer(r"[^\W_]+", t[lo:a]):
-                    if (m.start() or a - lo < pii.CONTEXT) and len(m[0]) > 2 and not m[0].isdigit():
-                        rows.append(((k, v), m[0].lower(), lo + m.start(), lo + m.end()))
-                for m in re.finditer(r"[^\W_]+", t[b:hi]):
-                    if (m.end() < hi - b or hi - b < pii.CONTEXT) and len(m[0]) > 2 and not m[0].isdigit():
-                        rows.append(((k, v), m[0].lower(), b + m.start(), b + m.end()))
-        near.append(rows)
-        for e, w, _, _ in rows:
-            n_te[e, w].add(i)
+        for e in who:
+            n_e[e].add(i)
+            for w in outside:
+                n_te[e, w].add(i)
+        held.append((who, spans))
     out = []
-    for i, rows in enumerate(near):
-        spans = set()
-        for e, w, a, b in rows:
-            te, ne = len(n_te[e, w]), len(n_e[e])
-            if te >= pii.SUPPORT and ne < n and math.log(te * n / (len(n_t[w]) * ne)) / math.log(n / ne) >= pii.GENERALISE - 1e-12:
-                spans.add((a, 4, b))
-        cover = base(texts[i])
-        out.append(sorted(s for s in spans if not any(x < s[2] and s[0] < y for x, _, y in cover)))
+    for t, (who, cover) in zip(texts, held, strict=True):
+        found = set()
+        for m in re.finditer(r"[^\W_]+", t or ""):
+            for e in who:
+                te, ne = len(n_te.get((e, m[0].lower()), ())), len(n_e[e])
+                if te >= pii.SUPPORT and ne < n and math.log(te * n / (len(n_t[m[0].lower()]) * ne)) / math.log(n / ne) >= pii.GENERALISE:
+                    found.add((m.start(), 4, m.end()))
+        out.append(sorted(s for s in found if not any(x < s[2] and s[0] < y for x, _, y in cover)))
     return out
 
 
@@ -103,6 +90,40 @@ def test_terms_against_brute_force(spark):
     assert got[0].n_removed >= 2 and got[len(texts) - 3].spans == ""
 
 
+def test_random_corpora_against_brute_force(spark):
+    """Words that follow some entities more than others, overlapping kinds, repeated documents, nulls."""
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        entities = ["a.b@c.example", "10.0.0.7", "4111 1111 1111 1111", "+49 30 1234567", "+378282246310005", "x@y.zz"]
+        close = {e: [f"Word{seed}{k}{j}" for j in range(3)] for k, e in enumerate(entities)}
+        texts = [None, "", "no data here"]
+        for _ in range(60):
+            words = [rng.choice("the plan item of day open closes ähnlich 2024".split()) for _ in range(rng.randint(0, 30))]
+            for e in rng.sample(entities, rng.randint(0, 3)):
+                words.insert(rng.randint(0, len(words)), e)
+                words += [w for w in close[e] if rng.random() < 0.8]
+            words += [w for e in entities for w in close[e] if rng.random() < 0.02]
+            rng.shuffle(words)
+            texts.append(rng.choice((" ", "\n", ", ")).join(words))
+        texts += rng.sample(texts, 20)
+        got = {r.doc_id: r.spans for r in pii.digests(pii.pii_scan(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+        want = brute_terms(texts)
+        assert sum(map(len, want)) > 20
+        for i, t in enumerate(texts):
+            assert got[i] == said(sorted(base(t) + want[i])), (seed, i, t)
+
+
+def test_sanitise_text_of_many_spans(spark):
+    """More spans than a block, code points beyond the BMP, and overlapping kinds of which the first names the place."""
+    many = "".join(f"😀 u{k}@h.example ü 10.0.0.{k % 250}" for k in range(1500)) + " end"
+    texts = [many, "+378282246310005 x", "10.0.0.1"]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == "😀 <EMAIL> ü <IP>" * 1500 + " end"
+    assert got[1] == "<PHONE> x" and got[2] == "<IP>"
+
+
 def test_sanitise(spark):
     texts = [f"Treasurer Quilliam has q.smith@corp.example and item {i} ok" for i in range(4)] + ["clean words stay"] * 30 + [None]
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, rid long")
