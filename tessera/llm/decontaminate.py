@@ -11,8 +11,8 @@ whole benchmark suffix in its interval. With the common lengths of neighbours in
 longest verbatim match at every place: the words hit, the items, and each document's longest match
 (ties: the first place, then the smallest item).
 
-The benchmark goes to the executors in broadcast blocks of at most BLOCK_WORDS words (a longer item
-makes a block of its own); each shard is searched for one block after the other, so a worker holds one
+Tasks turn the benchmark into blocks of at most BLOCK_WORDS words (a longer item makes a block of its
+own), which go to the executors as broadcasts; each shard is searched for one block after the other, so a worker holds one
 block at a time. Documents do not move: the work is a map.
 
 Defined results: null text has no words; items without words give no window; a null item_id
@@ -24,6 +24,7 @@ decontaminated(). Empty tables give empty or clean results.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,23 +84,42 @@ class Block:
         self.low, self.high, self.length = low[new], high[new], length[new]
         self.least = int(length.min()) if len(length) else 0
 
+    def __getstate__(self) -> dict:
+        """Without the keys, which are two thirds of a block and follow from the first windows."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("low", "high")}
 
-def blocks(spark: SparkSession, benchmark: DataFrame, size: int = BLOCK_WORDS) -> list[Broadcast]:
-    """The benchmark's items as broadcast blocks; rows come to the driver one partition after the other."""
-    out, items, n = [], [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        rows = _chunks(self.ids, self.at[self.first[:-1]], self.length, 0) if len(self.length) else np.zeros((0, WINDOW), np.int32)
+        self.low, self.high = _keys(rows), _keys(rows, b"\xff")
+
+
+def _made(rows: Iterator[tuple[str, str]], size: int) -> Iterator[Block]:
+    """Blocks of at most `size` words, or of one item, from (item, text)."""
+    items, n = [], 0
+    for name, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
         h = words(raw, np.array([0, len(raw)]), ALNUM)[0]
         if not len(h):
             continue
         if items and n + len(h) > size:
-            out.append(spark.sparkContext.broadcast(Block(items)))
+            yield Block(items)
             items, n = [], 0
-        items.append(("" if r["item_id"] is None else str(r["item_id"]), h))
+        items.append((name or "", h))
         n += len(h)
     if items:
-        out.append(spark.sparkContext.broadcast(Block(items)))
-    return out
+        yield Block(items)
+
+
+def blocks(spark: SparkSession, benchmark: DataFrame, size: int = BLOCK_WORDS) -> list[Broadcast]:
+    """The benchmark's items as broadcast blocks, made by tasks; the driver hands them on partition by partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _made((row for batch in batches for row in zip(*map(pa.Array.to_pylist, batch.columns), strict=True)), size):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
+    made = benchmark.selectExpr("cast(item_id AS string) AS item_id", "text").mapInArrow(run, "block binary")
+    return [spark.sparkContext.broadcast(pickle.loads(r["block"])) for r in made.toLocalIterator()]
 
 
 class Suffixes:

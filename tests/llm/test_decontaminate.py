@@ -67,6 +67,21 @@ def test_blocks_and_longest(spark):
     assert whole == parts
 
 
+def test_blocks_of_several_tasks(spark):
+    """Items that share an id in different tasks are one item; a block comes back whole from its short form."""
+    import pickle
+
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    want = sorted(brute(list(enumerate(TEXTS)), ITEMS))
+    assert len(d.blocks(spark, bench.repartition(4))) > 1
+    assert sorted(tuple(r)[:6] for r in d.report(spark, docs, bench.repartition(4)).collect()) == want
+    for items in ([], [(str(i), np.array([hash(w) % 97 for w in tokens(t)], np.uint64)) for i, t in ITEMS if tokens(t)]):
+        made = d.Block(items)
+        again = pickle.loads(pickle.dumps(made))
+        assert made.low.tolist() == again.low.tolist() and made.high.tolist() == again.high.tolist() and made.names == again.names
+
+
 def longest(text, items):
     """(words, place, item) of the longest match that holds a window; ties by place, then item."""
     w, best = tokens(text), (0, 0, "")
