@@ -183,7 +183,7 @@ def _said(spans: Column) -> Column:
 
 
 def digests(scanned: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans, n_removed, n_generalised."""
+    """doc_id, counts by kind, base_sha256, spans, n_removed, n_generalised, has_pii (any base span)."""
     count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long").alias(f"n_{KINDS[n]}")
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     done = lambda a: F.size(F.filter("terms", lambda t: t["action"] == a)).cast("long")
@@ -194,6 +194,7 @@ def digests(scanned: DataFrame) -> DataFrame:
         _said(F.sort_array(F.concat(plain("base"), plain("terms")))).alias("spans"),
         done("remove").alias("n_removed"),
         done("generalise").alias("n_generalised"),
+        (F.size("base") > 0).alias("has_pii"),
     )
 
 

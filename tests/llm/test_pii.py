@@ -88,6 +88,7 @@ def test_terms_against_brute_force(spark):
     for i, t in enumerate(texts):
         assert got[i].spans == said(sorted(base(t) + want[i])), (i, got[i].spans)
     assert got[0].n_removed >= 2 and got[len(texts) - 3].spans == ""
+    assert [got[i].has_pii for i in range(len(texts))] == [bool(base(t)) for t in texts]
 
 
 def test_random_corpora_against_brute_force(spark):
