@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, langid, licenses, line_dedup, mix_sources, near_dedup, pii, warc
+from tessera.llm import decontaminate, exact_dedup, html_extract, langid, licenses, line_dedup, mix_sources, near_dedup, packing, periodic_runs, pii, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_langid": langid.op9_langid,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_pattern_packing": packing.op11_pattern_packing,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 ORACLES = {
     "op2_mix_sources": mix_sources.SQL,

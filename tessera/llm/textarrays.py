@@ -38,12 +38,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray, case: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, last byte + 1) of each word, and for texts bounds[i]:bounds[i+1] of the UTF-8 bytes the index of their first word, with the count of words at the end."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    low = LOWER[data]
+    low = case[data]
     w = is_word[low]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
