@@ -14,7 +14,7 @@ The plan's size depends on the size of a sequence only, so it is handed to the t
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows and null doc_ids are
 documents of their own; further columns are ignored; an empty table gives no piece and no sequence. Words are
-told apart by 64-bit hashes within a task's table of known words.
+told apart by 64-bit hashes, ASCII case aside, within a worker's table of known words.
 """
 
 from __future__ import annotations
@@ -46,47 +46,64 @@ STEPS = 400
 #: Numbered offsets of (task, length) that may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
 #: Words that a worker keeps with their ids.
-KNOWN = 400_000
-_AS_IS = np.arange(256, dtype=np.uint8)
+KNOWN = 1_000_000
+#: A mark that is one token between blanks.
+MARK = "\x01"
+#: 1 for bytes of ASCII letters and digits, 2 for those of ASCII marks but the apostrophe.
+_KIND = np.array([1 if chr(b).isalnum() and b < 128 else 2 if 33 <= b < 127 and b != 39 else 0 for b in range(256)], np.uint8)
 _WORKERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts. White space always parts tokens here, so texts are split at it and each different word is encoded once."""
+    """Ids of texts. The tokenizer parts words at white space and between ASCII letters or digits and ASCII marks but the apostrophe, and lower-cases; texts are split there, and each different word is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.ids_of(MARK)
         self.forget()
 
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
         self.known, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, tokens: list[str]) -> None:
-        if len(self.known) > KNOWN:
-            self.forget()
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
-        counts = np.array([len(x) for x in found], np.int64)
-        known = np.concatenate((self.known, hashes))
-        starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
-        order = np.argsort(known)
-        self.known, self.starts, self.counts = known[order], starts[order], np.concatenate((self.counts, counts))[order]
-        self.ids = np.concatenate([self.ids, *found])
+    def learn(self, hashes: np.ndarray, tokens: list[bytes]) -> None:
+        """Encodes new words, in one text with a mark behind each."""
+        ids = np.array(self.ids_of(b"".join(x + b" " + MARK.encode() + b" " for x in tokens).decode()), np.uint32)
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(tokens):  # a word that holds the mark
+            each = [self.ids_of(x.decode()) for x in tokens]
+            ids, counts = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+        else:
+            ids, counts = np.delete(ids, ends), np.diff(np.concatenate(([-1], ends))) - 1
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.counts = np.insert(self.known, at, hashes), np.insert(self.counts, at, counts)
+        self.starts = np.insert(self.starts, at, len(self.ids) + np.cumsum(counts) - counts)
+        self.ids = np.concatenate((self.ids, ids))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of each text, `end` behind each, and where each text begins."""
-        h, starts, ends, first = words(data, bounds, NONBLANK, _AS_IS)
+        n = len(bounds) - 1
+        if b"<|" in (raw := data.tobytes()):  # special tokens, which know case and no borders
+            each = [np.array([*self.ids_of(raw[a:b].decode()), end], np.uint32) for a, b in itertools.pairwise(bounds.tolist())]
+            return np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
+        kind = _KIND[data]
+        cuts = np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1
+        h, starts, ends, _ = words(data, np.union1d(bounds, cuts), NONBLANK)
+        first = np.searchsorted(starts, bounds)
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
         new = ~np.isin(distinct, self.known, assume_unique=True)
         if new.any():
             if len(self.known) > KNOWN:
+                self.forget()
                 new[:] = True
-            self.learn(distinct[new], [data[starts[i] : ends[i]].tobytes().decode() for i in where[new].tolist()])
+            self.learn(distinct[new], [raw[starts[i] : ends[i]] for i in where[new].tolist()])
         place = np.searchsorted(self.known, distinct)
         counts = self.counts[place][back]
-        n = len(first) - 1
         total = np.concatenate(([0], np.cumsum(counts)))
         begin = total[first] + np.arange(n + 1)
         ids = np.full(int(total[-1]) + n, end, np.uint32)

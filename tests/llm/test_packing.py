@@ -82,7 +82,7 @@ def check_rows(rows, got, capacity=2048):
 
 def test_operator_on_odd_texts(spark):
     rng = random.Random(6)
-    texts = [None, "", " ", "It's  the\tDOCTOR's 12,5  café café ́x y", "<|endoftext|> a<|startoftext|>b", "ΣΣ İ 日本 \U0001f600", "x" * 5000, "word " * 3000, "a"] + ["same text here"] * 5
+    texts = [None, "", " ", "It's  the\tDOCTOR's 12,5  café café ́x y", "<|endoftext|> a<|startoftext|>B <|ENDOFTEXT|>", "'S 'twas don't, (it's) a.b'c'D 'll'll ,'s", "x\x01y \x01 z\x02", "a-1b,2… «q», é.É e\u0301.x <\u0338 1\u0338 K\u212a", "ΣΣ İ 日本 \U0001f600", "x" * 5000, "word " * 3000, "a"] + ["same text here"] * 5
     texts += [" ".join(rng.choice(["alpha", "Beta", "g,h", "Über"]) for _ in range(rng.randrange(90))) for _ in range(80)]
     rows = [(None if i == 3 else i % 50, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, length int, part string").repartition(4)
