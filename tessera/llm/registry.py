@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, langid, licenses, line_dedup, mix_sources, near_dedup, packing, periodic_runs, pii, warc
+from tessera.llm import decontaminate, exact_dedup, html_extract, langid, licenses, line_dedup, mix_sources, near_dedup, packing, periodic_runs, pii, ranked_search, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_pattern_packing": packing.op11_pattern_packing,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 ORACLES = {
     "op2_mix_sources": mix_sources.SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_near_dedup": near_dedup.SQL,
     "op8_warc": warc.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op13_ranked_search": ranked_search.SQL,
 }
