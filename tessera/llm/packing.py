@@ -62,28 +62,46 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         (self.mark,) = self.ids_of(MARK)
         self.forget()
 
     def ids_of(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def forget(self) -> None:
         self.known, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, tokens: list[bytes]) -> None:
-        """Encodes new words, in one text with a mark behind each."""
-        ids = np.array(self.ids_of(b"".join(x + b" " + MARK.encode() + b" " for x in tokens).decode()), np.uint32)
-        ends = np.flatnonzero(ids == self.mark)
-        if len(ends) != len(tokens):  # a word that holds the mark
-            each = [self.ids_of(x.decode()) for x in tokens]
-            ids, counts = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
-        else:
-            ids, counts = np.delete(ids, ends), np.diff(np.concatenate(([-1], ends))) - 1
+        """Encodes new words: those of ASCII letters by the tokenizer's model, as nothing else touches them but the lower-casing, all others together, with a mark behind each."""
+        ids: list[int] = []
+        counts = np.zeros(len(tokens), np.int64)
+        others = []
+        for i, x in enumerate(tokens):
+            if x.isalpha():
+                found = self.model.tokenize(x.lower().decode())
+                ids += [t.id for t in found]
+                counts[i] = len(found)
+            else:
+                others.append(i)
+        letters = counts > 0
+        counts[others], more = self._marked([tokens[i] for i in others])
+        starts = np.zeros(len(tokens), np.int64)
+        starts[letters] = np.cumsum(counts[letters]) - counts[letters]
+        starts[others] = len(ids) + np.cumsum(counts[others]) - counts[others]
         at = np.searchsorted(self.known, hashes)
         self.known, self.counts = np.insert(self.known, at, hashes), np.insert(self.counts, at, counts)
-        self.starts = np.insert(self.starts, at, len(self.ids) + np.cumsum(counts) - counts)
-        self.ids = np.concatenate((self.ids, ids))
+        self.starts = np.insert(self.starts, at, len(self.ids) + starts)
+        self.ids = np.concatenate((self.ids, np.array(ids, np.uint32), more))
+
+    def _marked(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them."""
+        ids = np.array(self.ids_of(b"".join(x + b" " + MARK.encode() + b" " for x in tokens).decode()), np.uint32)
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) == len(tokens):
+            return np.diff(np.concatenate(([-1], ends))) - 1, np.delete(ids, ends)
+        each = [self.ids_of(x.decode()) for x in tokens]  # a word holds the mark
+        return np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], np.uint32)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of each text, `end` behind each, and where each text begins."""
