@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import excerpt, highlight, query_terms, tokens
@@ -56,18 +56,30 @@ def search(index: Index, query: str, mode: str = "any", k: int | None = HITS) ->
     """
     found = matches(index, query, mode)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = found.join(F.broadcast(weights(df, index.totals)), "term")
+    hits = rows.groupBy("id").agg(F.round(F.sum(part(F.col("idf"))), 6).alias("score"))
+    if not k:
+        return hits
+    page = hits.orderBy(F.desc("score"), "id").limit(k)
+    page.page = k
+    return page
+
+
+def weights(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """term, idf, avgdl of (term, df): one row a term of the query, so it may be broadcast."""
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # one row of totals and one a term: both sides are bounded by the query
-    weights = df.withColumn("one", F.lit(1)).join(F.broadcast(index.totals.withColumn("one", F.lit(1))), "one").select("term", idf.alias("idf"), "avgdl")
-    rows = found.join(F.broadcast(weights), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = rows.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
-    return hits.orderBy(F.desc("score"), "id").limit(k) if k else hits
+    return df.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").select("term", idf.alias("idf"), "avgdl")
+
+
+def part(idf: Column) -> Column:
+    """What a posting adds to its document's score."""
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 def described(hits: DataFrame, index: Index, *columns: str) -> DataFrame:
-    """hits with columns of their entries. A top-k page of hits is small, so it is what moves."""
-    return F.broadcast(hits).join(index.entries.select("id", *columns), "id").select(*hits.columns, *columns)
+    """hits with columns of their entries. A page of hits is small, so it is what moves; all hits of a query are joined as any table."""
+    small = F.broadcast(hits) if getattr(hits, "page", None) else hits
+    return small.join(index.entries.select("id", *columns), "id").select(*hits.columns, *columns)
 
 
 def with_excerpts(hits: DataFrame, docs: DataFrame, query: str, columns: Sequence[str] = ("name", "path", "project"), marked: bool = False, k: int = HITS) -> DataFrame:

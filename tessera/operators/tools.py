@@ -22,7 +22,8 @@ def _no_norms(docs: DataFrame, policy: Policy, norm: Column | None) -> DataFrame
 
 
 def find(index: search.Index, docs: DataFrame, policy: Policy, query: str, norm_search: bool = False, k: int = search.HITS) -> DataFrame:
-    """search: id, score, name, path, project, status, excerpt of at most k hits; counts and weights know of visible documents only."""
+    """search: id, score, name, path, project, status, excerpt of at most k hits and never more than HITS; counts and weights know of visible documents only."""
+    k = max(1, min(k, search.HITS))
     seen = index.restricted(lambda entries: visible(entries, policy))
     hits = search.described(search.search(seen, query, k=k), seen, "norm", "status")
     found = search.with_excerpts(hits, docs, query, k=k)

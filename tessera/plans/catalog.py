@@ -31,7 +31,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
 
-_INDEXES: dict[tuple[str, str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -59,9 +59,15 @@ _SCANS = {
 }
 
 
+def listing(spark: SparkSession, d: str, tables: tuple[str, ...]) -> int:
+    """A number that changes with the files of the tables: their paths, sizes and times, which are listed and not read."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{d}/{t}.parquet" for t in tables])
+    return names.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0]
+
+
 def _index(spark: SparkSession, d: str, kind: str = "documents") -> search.Index:
-    """The stored index of a folder of tables, read again. It is written by the application's first search, its first scan; a changed folder asks for a new scan."""
-    key = (spark.sparkContext.applicationId, d, kind)
+    """The stored index of a folder of tables, read again. It is written by the application's first search, its first scan, and again once the files of its tables have changed."""
+    key = (spark.sparkContext.applicationId, d, kind, listing(spark, d, ("documents", "conversations") if kind == "everything" else ("documents",)))
     if key not in _INDEXES:
         path = sinks.home(spark)
         sinks.write_index(_SCANS[kind](spark, d), path)

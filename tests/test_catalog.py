@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import analytics, catalog, reading
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +22,12 @@ def rows(columns, found):
     return sorted(str([round(r[k], 6) if isinstance(r[k], float) else r[k] for k in order]) for r in found)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+QUERIES, SQL = catalog.queries() | analytics.queries() | reading.queries(), catalog.oracle_sql() | analytics.oracle_sql() | reading.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
-    got = catalog.queries()[name](spark, SF)
-    want = duck.sql(catalog.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    want = duck.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
