@@ -1,24 +1,26 @@
 """Near-duplicate components by a chosen-path set similarity join.
 
-Every document is a set of word shingles with COORDINATES minwise values, DEPTH for each tree. Equal sets become one
-class, and classes are joined. In each of TREES independent trees a node holds the classes that agree
-on the minwise tokens chosen so far; the tokens of a tree are coordinates of its own. A node of at
-most LEAF classes is compared exhaustively. A pair of similarity s meets at depth d of one tree with
-probability s**d, so 16 trees miss a pair at DEPTH 2 with probability 1e-9 at 0.85 and 8e-8 at 0.80.
-
-Only connectivity is asked for, so no node is expanded into all pairs while that can be avoided: each
-node first compares its classes with one hub; links found are joined into components, and from then on
-only pairs across components count. Nodes of one component are done; in a node with at most MINOR
-members outside its largest component these are compared with all others. The classes of any other
-large node go through an exact prefix-filter join: in the order of rising frequency among them, two
+Every document is a set of word shingles; equal sets become one class, and classes are joined. In each of
+several independent trees a node holds the classes that agree on the minwise tokens chosen on the path to it;
+every tree and every depth has a token of its own. A node of at most LEAF classes is compared exhaustively.
+The classes of a larger node branch by the next token, DEPTH times at most. The number of trees follows from
+the similarity: a pair meets at depth d of a tree with probability s**d, so even if all its nodes are large
+it is missed by all trees with a probability below MISS; a pair in small nodes meets at the first depth.
+
+Only connectivity is asked for, so large nodes link as they branch: each compares its classes with one hub,
+which joins a crowd of near copies into one component, and from then on only pairs across components count.
+A node that is still large at the last depth is compared in the same way: its members outside its largest
+component with all, where these are MINOR at most. The classes of any other such
+node go through an exact prefix-filter join: in the order of rising frequency among them, two
 similar sets share one of the first n - ceil(percent * n / 100) + 1 shingles. Classes with such a
 shingle in common make a node again, and there all pairs across components are compared, so nothing
-is capped and no large node adds to the miss probability.
+is capped and no large node adds to the miss probability. These pairs are made in slices of about PAIRS, and
+each slice's links are joined before the next is made.
 
-A pair that shares nodes of several trees is compared in the first of them. Comparing a pair starts with sizes and with parities, a bitmap of PARITY bits that holds whether an odd
+A pair of last nodes of several trees is compared in the first of them. Comparing a pair starts with sizes and with parities, a bitmap of PARITY bits that holds whether an odd
 number of shingles fell on each bit: two sets differ in at least as many shingles as their parities
 in bits, so this drops pairs without an error. What passes is confirmed on full shingle sets, which
-are made only for classes that share a node with another one.
+are made only for classes of such pairs and of nodes that are large at the last depth.
 
 Groups of exact copies are one class; hubs of large groups meet their members in sort-merge joins that
 Spark can split; components come from alternating large-star and small-star steps on written tables.
@@ -31,7 +33,9 @@ one doc_id share their fate. Further columns are ignored. An empty table gives a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +46,15 @@ from tessera.llm.shared import forget, small_batches, text_hash, written
 from tessera.llm.textarrays import NONBLANK, mixed, text_blocks, words
 from tessera.session import table
 
-TREES, DEPTH, LEAF = 16, 2, 32
-COORDINATES = TREES * DEPTH
+DEPTH, LEAF, MISS = 3, 32, 1e-5
 MINOR, PARITY = 2048, 1024
+#: Pairs of large nodes that are made at once, about.
+PAIRS = 100_000_000
 #: Classes whose keys may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
 _RNG = np.random.default_rng(7)
-_MUL = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_MUL = _RNG.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, 1024, dtype=np.uint64)
 _PLACE = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -74,12 +79,17 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
         yield out
 
 
-def minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """COORDINATES minwise values (uint32) of each set; sets must not be empty."""
+def trees(percent: int, miss: float = MISS) -> int:
+    """Trees after which a pair of that similarity, in large nodes at every depth, is missed with a probability of at most `miss`."""
+    return min(len(_MUL) // DEPTH, max(1, math.ceil(math.log(miss) / math.log1p(-min(0.999, (percent / 100) ** DEPTH)))))
+
+
+def minwise(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """`count` minwise values (uint32) of each set; sets must not be empty."""
     x = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), COORDINATES), np.uint32)
-    for i in range(COORDINATES):
+    out = np.empty((len(sets), count), np.uint32)
+    for i in range(count):
         out[:, i] = np.minimum.reduceat((x * _MUL[i] + _ADD[i]) >> np.uint64(32), starts)
     return out
 
@@ -93,13 +103,13 @@ def class_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sketch(k: int):
+def _sketch(k: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(2), k):
                 full = [s for s in sets if len(s)]
-                sig = iter(minwise(full)) if full else iter(())
+                sig = iter(minwise(full, count)) if full else iter(())
                 rows = [(len(s), class_key(s), next(sig).astype(">u4").tobytes(), parity(s)) if len(s) else (0, None, None, None) for s in sets]
                 n, key, sketch, par = zip(*rows, strict=True)
                 columns = [batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(par, pa.list_(pa.int64()))]
@@ -145,38 +155,68 @@ class Join:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, shingle: int, percent: int):
         small_batches(spark)
-        self.spark, self.percent = spark, percent
+        self.spark, self.percent, self.trees = spark, percent, trees(percent)
         # a row's text is named by doc_id and a 64-bit hash, so a clash of hashes matters only within one doc_id
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash("text").alias("th"), "text")
-        self.docs = written(spark, rows.mapInArrow(_sketch(shingle), "doc_id bigint, th bigint, n bigint, key binary, sig binary, par array<bigint>"), "sketches")
+        self.docs = written(spark, rows.mapInArrow(_sketch(shingle, self.trees * DEPTH), "doc_id bigint, th bigint, n bigint, key binary, sig binary, par array<bigint>"), "sketches")
         reps = self.docs.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("par").alias("par"), F.min("n").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"), F.min("doc_id").alias("doc_id"))
         self.reps = written(spark, reps.select(F.monotonically_increasing_id().alias("rid"), "*"), "classes")
         self.comps = None
-        active = self.reps.select("rid", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
-        nodes = self.nodes(active)
-        self.make_sets(rows, nodes, shingle)
-        large = self.settle(nodes, (F.col("c") <= LEAF) | (F.col("minor") <= MINOR))
-        if large is not None:
-            self.settle(self.sharing(large.select("rid").distinct()), F.lit(True))
-            forget(large)
-
-    def settle(self, nodes: DataFrame, settled: Column) -> DataFrame | None:
-        """Links hubs and, in settled nodes, all pairs across components; the members of the other nodes, if there are any."""
-        self.confirm(nodes.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
-        members, nodes = nodes, self.open_nodes(nodes)
-        forget(members)
-        self.confirm(self.across(nodes.where(settled)))
-        large = written(self.spark, nodes.where(~settled).select("rid"), "active")
-        forget(nodes)
-        if large.isEmpty():
-            forget(large)
-            return None
-        return large
-
-    def nodes(self, active: DataFrame) -> DataFrame:
-        """(h, rid, n, t, c, hub): members of the trees' nodes that hold two classes or more."""
-        path = F.expr(f"xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * DEPTH}))")
-        return self.gathered(active.select(path.alias("h"), "rid", "n", "t"))
+        nodes = self.branches()
+        hubs = self.candidates([x.where((F.col("c") > LEAF) & (F.col("rid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rid").alias("b")) for x in nodes])
+        leaves = written(spark, reduce(DataFrame.unionByName, [self.within(x.where(F.col("c") <= LEAF), False) for x in nodes]).distinct(), "leaves")
+        last = nodes.pop()
+        forget(*nodes)
+        ends = [x.select(F.explode(F.array("a", "b")).alias("rid")) for x in (hubs, leaves)] + [last.where(F.col("c") > LEAF).select("rid")]
+        self.make_sets(rows, reduce(DataFrame.unionByName, ends).distinct(), shingle)
+        self.confirm(hubs)
+        self.confirm(self.apart(leaves))
+        forget(hubs, leaves)
+        self.finish(last)
+
+    def token(self, sig: Column | str, t: Column | str, depth: int = 0, count: int = 1) -> Column:
+        """`count` tokens of tree t from `depth` on."""
+        at = F.col(t) if isinstance(t, str) else t
+        return F.substring(sig, at * (4 * DEPTH) + (4 * depth + 1), F.lit(4 * count))
+
+    def branches(self) -> list[DataFrame]:
+        """(h, rid, n, t, c, hub) for each depth: members of the nodes that hold two classes or more. The root of a tree branches whole, other nodes where they are large."""
+        out: list[DataFrame] = []
+        for depth in range(DEPTH):
+            if out:
+                above = out[-1].where(F.col("c") > LEAF).select("h", "rid", "n", "t").join(self.reps.select("rid", "sig"), "rid")
+                path = F.xxhash64("h", self.token("sig", "t", depth))
+            else:
+                above = self.reps.select("rid", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("t"))
+                path = F.xxhash64("t", self.token("sig", "t"))
+            out.append(self.gathered(above.select(path.alias("h"), "rid", "n", "t")))
+        return out
+
+    def finish(self, last: DataFrame) -> None:
+        """Links within the nodes that are large at the last depth."""
+        large = last.where(F.col("c") > LEAF)
+        nodes = self.open_nodes(large)
+        self.compare(nodes.where(F.col("minor") <= MINOR))
+        rest = written(self.spark, nodes.where(F.col("minor") > MINOR).select("rid").distinct(), "crowds")
+        forget(last, nodes)
+        if not rest.isEmpty():
+            shared = self.sharing(rest)
+            self.confirm(self.candidates([shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b"))]))
+            nodes = self.open_nodes(shared)
+            forget(shared)
+            self.compare(nodes)
+            forget(nodes)
+        forget(rest)
+
+    def compare(self, nodes: DataFrame) -> None:
+        """Links across components within nodes: leaves whole, larger ones slice by slice."""
+        self.confirm(self.within(nodes.where(F.col("c") <= LEAF), True))
+        large = nodes.where(F.col("c") > LEAF)
+        bound = large.where("rare").agg(F.sum("c")).first()[0] or 0
+        slices = -(-bound // PAIRS)
+        for k in range(slices):
+            found = self.across(large, F.pmod(F.xxhash64("rid"), F.lit(slices)) == k)
+            self.confirm(self.apart(found) if k else found)
 
     def sharing(self, active: DataFrame) -> DataFrame:
         """(h, rid, n, t (null), c, hub): classes of active that share a shingle of their prefixes; every similar pair of them meets. Shingles of one class only come first and never meet."""
@@ -186,18 +226,17 @@ class Join:
         ordered = each.join(often, "h").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("m"))
         length = F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("m"))
         prefix = F.slice("m", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
-        return self.gathered(ordered.select(F.explode(prefix).alias("x"), "rid", "n").select("x.h", "rid", "n", F.lit(None).cast("int").alias("t")))
+        rows = written(self.spark, ordered.select(F.explode(prefix).alias("x"), "rid", "n").select("x.h", "rid", "n", F.lit(None).cast("int").alias("t")), "prefixes")
+        out = self.gathered(rows)
+        forget(rows)
+        return out
 
     def gathered(self, rows: DataFrame) -> DataFrame:
-        rows = written(self.spark, rows, "paths")
         sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("h", "rid").alias("x"), "rid"))["rid"].alias("hub")).where("c > 1")
-        out = written(self.spark, rows.join(sizes, "h"), "nodes")
-        forget(rows)
-        return out
+        return written(self.spark, rows.join(sizes, "h"), "nodes")
 
-    def make_sets(self, rows: DataFrame, nodes: DataFrame, shingle: int) -> None:
-        """Full sets of the classes that share a node, from one text of each."""
-        met = nodes.select("rid").distinct()
+    def make_sets(self, rows: DataFrame, met: DataFrame, shingle: int) -> None:
+        """Full sets of the classes (rid) in met, from one text of each."""
         wanted = written(self.spark, self.reps.join(met, "rid", "left_semi").select("rid", "key", "doc_id", "th"), "met")
         keys = wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
         keys = F.broadcast(keys) if wanted.count() <= SMALL else keys
@@ -213,16 +252,26 @@ class Join:
         return F.when(100 * F.least(n1, n2) < self.percent * F.greatest(n1, n2), F.lit(False)).otherwise(differing <= n1 + n2 - 2 * common)
 
     def met_before(self, sig1: Column, sig2: Column, t: Column) -> Column:
-        """Whether two members of a node of tree t share a node of an earlier tree too: there they are compared, or handed to the prefix join, so a pair needs one row only."""
-        token = lambda sig, k: F.substring(sig, k * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
-        return F.when(t > 0, F.exists(F.sequence(F.lit(0), t - 1), lambda k: token(sig1, k) == token(sig2, k))).otherwise(F.lit(False))
+        """Whether two members of a last node of tree t share one of an earlier tree too: there they are compared, or handed to the prefix join, so a pair needs one row only."""
+        path = lambda sig, k: F.substring(sig, k * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
+        return F.when(t > 0, F.exists(F.sequence(F.lit(0), t - 1), lambda k: path(sig1, k) == path(sig2, k))).otherwise(F.lit(False))
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Finds the pairs (a, b) that are similar on their full sets, and joins components anew."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def candidates(self, pairs: list[DataFrame]) -> DataFrame:
+        """The different pairs (a, b) that may link, written."""
+        pairs = reduce(DataFrame.unionByName, pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         short = lambda x: self.reps.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("par").alias(f"p_{x}"))
         pairs = pairs.join(short("a"), "a").join(short("b"), "b").where(self.may_link(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))).select("a", "b")
-        pairs = written(self.spark, pairs, "pairs")
+        return written(self.spark, pairs, "pairs")
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components by now."""
+        root = lambda x: self.comps.select(F.col("rid").alias(x), F.col("root").alias(f"r_{x}"))
+        both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return both.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Finds the pairs (a, b) that are similar on their full sets, and joins components anew. Pairs may link and differ."""
+        pairs = written(self.spark, pairs.select("a", "b").distinct(), "confirm")
         count = pairs.count()
         if not count and self.comps is not None:
             forget(pairs)
@@ -253,18 +302,22 @@ class Join:
         rows = rows.join(most, "h").withColumn("rare", F.col("root") != F.col("major")).drop("major")
         return written(self.spark, rows.join(self.reps.select("rid", "par", "sig"), "rid"), "open")
 
-    def across(self, nodes: DataFrame) -> DataFrame:
-        """Pairs (a, b) across components within nodes that may link: leaves from their gathered members, larger nodes by joining the members outside the largest component with all."""
-        leaves = nodes.where(F.col("c") <= LEAF).groupBy("h").agg(F.collect_list(F.struct("rid", "root", "n", "par", "sig")).alias("m"), F.first("t").alias("t"))
-        later = lambda x, y: (y["rid"] > x["rid"]) & (y["root"] != x["root"]) & self.may_link(x["n"], x["par"], y["n"], y["par"]) & ~self.met_before(x["sig"], y["sig"], F.col("t"))
+    def within(self, leaves: DataFrame, opened: bool) -> DataFrame:
+        """Pairs (a, b) that may link within leaves, from their gathered members; of opened nodes only those across components."""
+        columns = ["rid", "n", "par", *["root"] * opened]
+        rows = leaves if opened else leaves.join(self.reps.select("rid", "par"), "rid")
+        later = lambda x, y: (y["rid"] > x["rid"]) & ((y["root"] != x["root"]) if opened else F.lit(True)) & self.may_link(x["n"], x["par"], y["n"], y["par"])
         pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: later(x, y)), lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b")))))
-        found = leaves.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-        large = nodes.where(F.col("c") > LEAF).select("h", "t", "rid", "root", "n", "par", "sig", "rare")
+        return rows.groupBy("h").agg(F.collect_list(F.struct(*columns)).alias("m")).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+    def across(self, large: DataFrame, some: Column) -> DataFrame:
+        """Pairs (a, b) across components within large nodes that may link: `some` of the members by the members outside the largest component."""
+        large = large.select("h", "t", "rid", "root", "n", "par", "sig", "rare")
         rare = large.where("rare").select("h", *(F.col(c).alias(f"{c}_b") for c in ("rid", "root", "n", "par", "sig")))
         # a pair of two rare members needs one of its two rows only
         once = ~F.col("rare") | (F.col("rid") < F.col("rid_b"))
-        met = large.join(rare, "h").where((F.col("root") != F.col("root_b")) & once & self.may_link(F.col("n"), F.col("par"), F.col("n_b"), F.col("par_b")) & ~self.met_before(F.col("sig"), F.col("sig_b"), F.col("t")))
-        return found.unionByName(met.select(F.col("rid").alias("a"), F.col("rid_b").alias("b")))
+        met = large.where(some).join(rare, "h").where((F.col("root") != F.col("root_b")) & once & self.may_link(F.col("n"), F.col("par"), F.col("n_b"), F.col("par_b")) & ~self.met_before(F.col("sig"), F.col("sig_b"), F.col("t")))
+        return met.select(F.col("rid").alias("a"), F.col("rid_b").alias("b"))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""

@@ -90,6 +90,46 @@ def test_large_nodes_lose_no_pair(spark, monkeypatch, k, percent):
     check(spark, rows, k, percent)
 
 
+def test_trees_follow_from_the_miss_probability():
+    for percent in (80, 85, 95):
+        n = nd.trees(percent)
+        assert (1 - (percent / 100) ** nd.DEPTH) ** n <= nd.MISS < (1 - (percent / 100) ** nd.DEPTH) ** (n - 1)
+
+
+@pytest.mark.parametrize("leaf", [1, 3])
+def test_recall_where_every_node_branches(spark, monkeypatch, leaf):
+    """Pairs of similarity 0.85 to 0.9 among many that share a third of their words, with leaves so small that paths have full length: at least 0.99 are found by the trees alone, without the finish."""
+    monkeypatch.setattr(nd, "LEAF", leaf)
+    monkeypatch.setattr(nd.Join, "finish", lambda self, last: None)
+    rng = random.Random(21)
+    shared = [f"s{j}" for j in range(80)]
+    rows, n = [], 150
+    for i in range(n):
+        w = shared + [f"o{i}x{j}" for j in range(160)]
+        v = list(w)
+        for j in range(4):
+            v[90 + 35 * j + rng.randrange(20)] = f"n{i}y{j}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    want = brute(rows, 3, 85)
+    assert sum(r[3] for r in want) == n
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sum(r["component_id"] == r["doc_id"] - 1 for r in nd.near_dedup(spark, docs, 3, 85).collect() if r["doc_id"] % 2)
+    assert found >= 0.99 * n
+
+
+def test_slices_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LEAF", 2)
+    monkeypatch.setattr(nd, "PAIRS", 200)
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(300)]
+    rows = []
+    for i in range(40):
+        w = common[: 250 + i % 50] + [f"o{i // 2}x{j}" for j in range(12)] + [f"z{i}"]
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    check(spark, rows, 3, 85)
+
+
 def test_edges(spark):
     long_text = " ".join(f"t{i % 977}x{i % 31}" for i in range(60000))
     rows = [(7, None), (8, ""), (9, " \n"), (1, "one"), (2, "ONE"), (3, "one two"), (4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (None, "zz y"), (5, long_text), (6, long_text + " end"), (10, "É é x"), (11, "é É x")]
