@@ -49,7 +49,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe xmp noframes template svg".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var object math mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mfenced semantics annotation".split())
 CELL = frozenset("td th br img wbr".split())
-GONE = frozenset("nav header footer aside form menu dialog button select option fieldset noscript head audio video canvas".split())
+GONE = frozenset("nav header footer aside menu dialog button select option fieldset noscript head audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead banner cookie cookies consent gdpr notice notices notification notifications alert comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe signup login search popup modal toolbar pagination pager".split()
@@ -62,7 +62,11 @@ SITE = frozenset("site global top main bar wrapper wrap inner container".split()
 AREAS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar comment comments commentlist disqus reply replies respond related recommended newsletter".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: How firmly an element is no content: by a word (an article or main in it is content still), by a word of AREAS (only main is), by element, role or hidden.
+#: What may stand in a head; any other tag closes it.
+HEAD = frozenset("html head title meta link style script base noscript template".split())
+NESTED = frozenset(("svg", "template"))
+UNCLOSED = re.compile("<(?=[a-zA-Z/!?])")
+#: How firmly an element is no content: by a word or as a form (an article or main in it is content still), by a word of AREAS (only main is), by element, role or hidden.
 WORDED, AREA, FIRM = 1, 2, 3
 #: Bits that an alignment's rows may hold; longer alignments are split.
 ALIGN_BITS = 1 << 28
@@ -87,7 +91,7 @@ def _dropped(tag: str, rest: str, inside: bool, nested: bool) -> tuple[int, bool
     """How firmly an element is no content, and whether it names the article. Within the article, a header is its heading and headings stay whatever their class; words drop no main, and articles only if nested in an article."""
     if tag in GONE and not (tag == "header" and inside):
         return FIRM, False
-    main, level = tag in MAIN, 0
+    main, level = tag in MAIN, WORDED if tag == "form" else 0
     if len(rest) > 3:
         for name, value in ATTRIBUTE.findall(rest):
             name, value = name.lower(), value.strip("\"'").lower()
@@ -104,12 +108,54 @@ def _dropped(tag: str, rest: str, inside: bool, nested: bool) -> tuple[int, bool
     return level, main and not level
 
 
+class _Open:
+    """The open elements: (name, how firmly no content, inside the named article), with where each name and each element that is not inline stands, so that no tag looks through them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.where: dict[str, list[int]] = {}
+        self.solid = [0]
+
+    def push(self, tag: str, gone: int, inside: bool) -> None:
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.solid.append(len(self.stack))
+        self.stack.append((tag, gone, inside))
+
+    def cut(self, k: int) -> None:
+        """Closes the elements from place k on."""
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.where[tag].pop()
+            if tag not in INLINE:
+                self.solid.pop()
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of that name, 0 if there is none."""
+        return (self.where.get(tag) or [0])[-1]
+
+
+def _raw_end(html: str, tag: str, at: int, stop: int) -> int:
+    """Where the text behind an element without content begins: svg and template nest, the others end at their first end tag."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])([^>]*)>", re.IGNORECASE).finditer(html, at, stop):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif tag in NESTED and not m[2].endswith("/"):
+            depth += 1
+    return len(html)
+
+
 def blocks(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, content, inside the named article) of each block in page order."""
+    """(text, content, inside the named article) of each block in page order, in time linear in the page."""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    opened = _Open()
+    stack = opened.stack
     pieces: list[str] = []
     at, n = 0, len(html)
+    stop = html.rfind(">") + 1  # no tag ends behind it
 
     def flush() -> None:
         if pieces:
@@ -118,59 +164,64 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
                 out.append((text, not stack[-1][1], stack[-1][2]))
             pieces.clear()
 
+    def leave_head() -> None:
+        flush()
+        opened.cut(opened.last("head"))
+
     while at < n:
-        m = TAG.search(html, at)
-        end = m.start() if m else n
+        m = TAG.search(html, at, stop) if at < stop else None
+        cut = None if m else UNCLOSED.search(html, at)
+        end = m.start() if m else cut.start() if cut else n
         if end > at:
             text = html[at:end]
+            if stack[-1][0] == "head" and not text.isspace():
+                leave_head()
             pieces.append(entities.unescape(text) if "&" in text else text)
         if not m:
-            break
+            break  # an unclosed tag is markup to the end of the page
         at = m.end()
         if not m[2]:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in RAW or tag in VOID or not any(x[0] == tag for x in stack):
+            place = opened.last(tag)
+            if tag in RAW or tag in VOID or not place:
                 if tag in ("p", "br"):
                     flush()
                 continue
-            if tag in INLINE and not any(x[1] for x in stack[-1:]):
-                k = len(stack) - 1
-                while stack[k][0] in INLINE and stack[k][0] != tag:
-                    k -= 1
-                if stack[k][0] == tag:
-                    del stack[k:]
+            if tag in INLINE and not stack[-1][1]:
+                if place > opened.solid[-1]:
+                    opened.cut(place)
                 continue
             if tag not in CELL:
                 flush()
-            while stack.pop()[0] != tag:
-                pass
+            opened.cut(place)
             if tag in CELL:
                 pieces.append(" ")
             continue
+        if tag not in HEAD and opened.last("head"):
+            leave_head()
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-            at = close.end() if close and not m[3].endswith("/>") else at if m[3].endswith("/>") else n
+            at = at if m[3].endswith("/>") else _raw_end(html, tag, at, stop)
             continue
         if tag in CELL:
             pieces.append(" ")
         elif tag not in INLINE:
             flush()
-            k = len(stack) - 1
-            while stack[k][0] in INLINE:
-                k -= 1
+            k = opened.solid[-1]
             if stack[k][0] == "p" or (stack[k][0] == tag and tag in ("li", "dt", "dd", "tr", "option")):
-                del stack[k:]
+                opened.cut(k)
         if tag in VOID:
             continue
         outer = stack[-1][1]
-        gone, main = _dropped(tag, m[3], stack[-1][2], tag == "article" and any(x[0] == "article" for x in stack))
+        gone, main = _dropped(tag, m[3], stack[-1][2], tag == "article" and bool(opened.last("article")))
         if main and outer and outer <= (WORDED if tag == "article" else AREA):
             outer = 0
         if gone and not outer:
             flush()
-        stack.append((tag, max(outer, gone), stack[-1][2] or main))
+        opened.push(tag, max(outer, gone), stack[-1][2] or main)
     flush()
     return out
 
@@ -263,7 +314,7 @@ def url_levels(url: str | None) -> list[bytes]:
 
 #: flags: for each hash 0 if structure drops the line, 1 if it stays unless differencing deletes it, 2 if it stays; lines: those of the last two.
 PARSED = "page_id bigint, url string, named boolean, lines array<string>, flags array<tinyint>, hashes array<bigint>, digest binary, levels array<binary>"
-RESULT = "page_id bigint, url string, text string, n_chars bigint, named boolean, n_shared bigint"
+RESULT = "page_id bigint, url string, text string, n_chars bigint, named boolean, n_shared bigint, n_restored bigint"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +333,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names)
 
 
-def difference(lines: list[str], flags: list[int], hashes: list[int], digest: bytes, others: Iterable[tuple[bytes, list[int]]]) -> tuple[list[str], int]:
-    """(lines that stay, number of shared lines deleted) by the first of others (digest, hashes; nearest first) that is no copy."""
+def difference(lines: list[str], flags: list[int], hashes: list[int], digest: bytes, others: Iterable[tuple[bytes, list[int]]]) -> tuple[list[str], int, int]:
+    """(lines that stay, number of shared lines deleted, of shared lines that structure restores) by the first of others (digest, hashes; nearest first) that is no copy."""
     same = [False] * len(hashes)
     total = sum(map(len, lines))
     for their_digest, their_hashes in others:
@@ -296,7 +347,7 @@ def difference(lines: list[str], flags: list[int], hashes: list[int], digest: by
             break
         same = [False] * len(hashes)
     kept = iter(lines)
-    return [x for x, f, s in ((next(kept), f, s) for f, s in zip(flags, same, strict=True) if f) if f == 2 or not s], sum(s and f != 2 for f, s in zip(flags, same, strict=True))
+    return [x for x, f, s in ((next(kept), f, s) for f, s in zip(flags, same, strict=True) if f) if f == 2 or not s], sum(s and f != 2 for f, s in zip(flags, same, strict=True)), sum(s and f == 2 for f, s in zip(flags, same, strict=True))
 
 
 def _difference(held: Broadcast | None):
@@ -308,10 +359,10 @@ def _difference(held: Broadcast | None):
             made = []
             for k, levels in enumerate(column["levels"]):
                 others = [o for level in reversed(levels) for o in held.value.get(level, ())] if held else [(o["digest"], o["hashes"]) for o in column["others"][k] or ()]
-                lines, n_shared = difference(*(column[c][k] for c in ("lines", "flags", "hashes", "digest")), others)
+                lines, n_shared, n_restored = difference(*(column[c][k] for c in ("lines", "flags", "hashes", "digest")), others)
                 text = "\n\n".join(lines)
-                made.append((column["page_id"][k], column["url"][k], text, len(text), column["named"][k], n_shared))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
+                made.append((column["page_id"][k], column["url"][k], text, len(text), column["named"][k], n_shared, n_restored))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else ([] for _ in kinds), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     return run
@@ -325,7 +376,7 @@ def candidates(parsed: DataFrame) -> DataFrame:
 
 
 def extract(spark: SparkSession, pages: DataFrame, numbers: int = NUMBERS) -> DataFrame:
-    """RESULT: text, n_chars, named (whether the page names its article) and n_shared (lines that differencing deletes); a row for each page."""
+    """RESULT: text, n_chars, named (whether the page names its article) n_shared (lines that differencing deletes) and n_restored (shared lines of the article, which structure restores); a row for each page."""
     small_batches(spark)
     made = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(_parse, PARSED)
     parsed = written(spark, made, "pages")

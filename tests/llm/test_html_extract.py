@@ -2,6 +2,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -198,3 +199,32 @@ def test_long_pages_are_aligned(spark):
     rows = [(1, "http://h.x/1", f"<p>{'own text one ' * 40000}</p>{lines}"), (2, "http://h.x/2", f"{lines}<p>{'own text two ' * 40000}</p>")]
     got = {r.page_id: r for r in hx.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), 1 << 30).collect()}
     assert got[1].n_shared == got[2].n_shared == 20000 and got[1].text.startswith("own text one") and "line" not in got[2].text
+
+
+def test_heads_without_end():
+    page = "<html><head><title>x</title><meta charset=utf-8>{}<p>Hello world</p></html>"
+    assert texts(page.format("<body>"), page.format(""), page.format("</head>")) == ["Hello world"] * 3
+    assert texts("<head><title>x</title><script>a</script>bare words", "<head><noscript>no</noscript><link href=x><h1>T</h1>") == ["bare words", "T"]
+
+
+def test_unclosed_markup_is_no_text():
+    assert texts("<p>One</p><a href='x", "<p>One</p><a <a <a", "<p>One</p></div", "<p>One</p><!-- two", "<p>One > two <p>three <b", "1 < 2 and <3", "<p>One</p><!-- > two") == ["One", "One", "One", "One", "One > two\n\nthree", "1 < 2 and <3", "One"]
+
+
+def test_nested_elements_without_text():
+    assert texts("<p>a</p><svg><svg><text>x</text></svg>leak<svg/></svg><p>b</p>", "<template><p>x</p><template>y</template>leak</template>b", "<svg/>b<script>1<script>2</script>c") == ["a\n\nb", "b", "b c".replace(" ", "")]
+
+
+def test_forms_around_articles():
+    assert texts("<form id=f><nav>menu</nav><article><p>One</p><form>no</form></article><input></form>", "<p>One</p><form>no <b>no</b></form>", "<form><main><p>One</p></main></form>") == ["One"] * 3
+
+
+def test_time_is_linear():
+    """Pages that once took quadratic time, each of about a megabyte."""
+    began = time.monotonic()
+    for x in ("<a ", "<a b='\"", "</b ", "<svg ", "<script></script "):
+        assert texts(x * (1_000_000 // len(x))) == [""]
+    assert texts("<span>" * 80_000 + "</b>" * 80_000 + "x") == ["x"]
+    assert texts("<b><p>" + "<span>" * 80_000 + "</b>" * 80_000 + "x") == ["x"]
+    assert texts("<span>" * 80_000 + "<hr>" * 80_000 + "x") == ["x"]
+    assert time.monotonic() - began < 60
