@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.asof import TARGET, buckets
+
 STARS = 5
 
 
@@ -29,8 +31,18 @@ def rated(photos: DataFrame, chosen: DataFrame, stars: int) -> DataFrame:
     return hit.withColumn("rating", F.coalesce("new", "rating")).drop("new")
 
 
+def numbered(rows: DataFrame, key: str, target: int = TARGET) -> DataFrame:
+    """rows with n, their place (from 0) by `key`, an integer without nulls: numbered within buckets of keys, each behind the count of those before it, so no task sorts all rows."""
+    keyed = rows.withColumn("t", F.col(key).cast("long"))
+    bin_of, table = buckets(keyed.select("t"), target)
+    placed = keyed.withColumn("bin", bin_of).join(F.broadcast(table), "bin")  # at most BINS rows
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("t")) - 1
+    return placed.join(F.broadcast(offsets), "bucket").withColumn("n", F.col("offset") + inside).drop("t", "bin", "bucket", "offset")
+
+
 def contact_sheet(chosen: DataFrame, columns: int = 3, rows: int = 4) -> DataFrame:
-    """id, sheet, row, place (from 1) of chosen photos, by id. One window, as a choice made by hand is small."""
-    n = F.row_number().over(Window.orderBy("id")) - 1
+    """id, sheet, row, place (from 1) of chosen photos, by id."""
     cell = lambda x: x.cast("int") + 1
-    return chosen.select("id", n.alias("n")).select("id", cell(F.floor(F.col("n") / (columns * rows))).alias("sheet"), cell(F.floor(F.col("n") / columns) % rows).alias("row"), cell(F.col("n") % columns).alias("place"))
+    return numbered(chosen.select("id"), "id").select("id", cell(F.floor(F.col("n") / (columns * rows))).alias("sheet"), cell(F.floor(F.col("n") / columns) % rows).alias("row"), cell(F.col("n") % columns).alias("place"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import asof, intervals, sketches, vectors
 from tessera.session import table
+from tessera.sources import sinks
+from tessera.streaming import logs as stream_logs
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +77,24 @@ def distinct_users(spark, d):
     return sketches.distinct_by(daily, F.date_format("day", "yyyy-MM-dd").alias("span")).unionByName(sketches.distinct_by(daily, F.date_format("day", "yyyy-MM").alias("span")))
 
 
-_RUNS = (asof_last_event, asof_next_event, interval_promotions, interval_purchases, vector_topk, vector_topk_exact, log_totals, distinct_users)
+def _zoneless(df: DataFrame) -> DataFrame:
+    """Times as the tables have them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
+
+
+def stream_visits(spark, d):
+    """Visits as a stream finds them: those that the watermark has closed by the end of the log."""
+    events = stream_logs.read_events(spark, f"{d}/events.parque?", _events(spark, d).schema)
+    return _zoneless(stream_logs.finished(stream_logs.visits(events), sinks.home(spark))[0])
+
+
+def stream_sliding(spark, d):
+    """Events of each type in every two hours of half an hour's step, as far as the watermark has closed them."""
+    events = stream_logs.read_events(spark, f"{d}/events.parque?", _events(spark, d).schema)
+    return _zoneless(stream_logs.finished(stream_logs.sliding_counts(events), sinks.home(spark))[0])
+
+
+_RUNS = (asof_last_event, asof_next_event, interval_promotions, interval_purchases, vector_topk, vector_topk_exact, log_totals, distinct_users, stream_visits, stream_sliding)
 
 
 def queries() -> dict:
@@ -92,6 +111,8 @@ def oracle_sql() -> dict[str, str]:
         "interval_promotions": "WITH r AS (SELECT p_partkey, TIMESTAMP '2024-01-01' + to_minutes(CAST(p_partkey * 7919 % 43200 AS BIGINT)) AS low, CASE WHEN p_partkey % 200 = 0 THEN p_size % 5 ELSE 0 END * 1440 + p_size AS m FROM part) SELECT p_partkey, count(*) AS n, max(value) AS most, min(event_id) AS first_id FROM events JOIN r ON ts >= low AND ts < low + to_minutes(CAST(m AS BIGINT)) GROUP BY p_partkey",
         "interval_purchases": "SELECT p.event_id AS purchase, count(*) AS n, max(e.event_id) AS last_id FROM events p JOIN events e ON e.user_id = p.user_id AND e.ts >= p.ts AND e.ts < p.ts + to_seconds(floor(p.value * 60)) WHERE p.event_type = 'purchase' GROUP BY ALL",
         "vector_topk_exact": "WITH d AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM d QUALIFY rank <= 10",
+        "stream_visits": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS v FROM a), c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM b GROUP BY user_id, v) SELECT user_id, start, \"end\", n FROM c WHERE \"end\" <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)",
+        "stream_sliding": "WITH w AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(CAST(30 * k AS BIGINT)) AS start FROM events, range(4) r(k)) SELECT start, event_type, count(*) AS n FROM w WHERE start + INTERVAL 2 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",
         "log_totals": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, value FROM events) SELECT day, event_type, CAST(grouping(day, event_type) AS INTEGER) AS grouping, count(*) AS n, max(value) AS most FROM e GROUP BY GROUPING SETS ((day, event_type), (day), (event_type), ())",
         "distinct_users": "SELECT strftime(ts, '%Y-%m-%d') AS span, count(DISTINCT user_id) AS n FROM events GROUP BY ALL UNION ALL SELECT strftime(ts, '%Y-%m'), count(DISTINCT user_id) FROM events GROUP BY ALL",
     }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import asof, intervals, sketches, vectors
+from tessera.operators import asof, gallery, intervals, sketches, vectors
 
 SF = "/root/testdata/sf0.001"
 T0 = dt.datetime(2024, 1, 1)
@@ -165,3 +165,11 @@ def test_totals_take_one_scan(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Expand" in plan
     assert got.where("grouping = 1").first()["n"] == e.count()
+
+
+def test_numbers_without_gaps(spark):
+    ids = sorted({i * i % 7919 for i in range(3000)})
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    got = sorted(map(tuple, gallery.numbered(rows, "id", 100).collect()))
+    assert got == [(i, n) for n, i in enumerate(ids)]
+    assert gallery.numbered(rows.where("false"), "id").count() == 0
