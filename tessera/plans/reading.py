@@ -114,7 +114,18 @@ def index_incremental(spark, d):
     return search.described(search.search(now, QUERY, k=K), now, "path", "dl")
 
 
-_RUNS = (ai_find, ai_read_block, access_log, rules_visible, index_incremental)
+def mailbox_export(spark, d):
+    """Conversations written as seven mailboxes and read back."""
+    c = table(spark, d, "conversations")
+    sent = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("conv_id") + F.col("turn")).cast("int"))
+    path = sinks.home(spark)
+    sinks.write_mailboxes(c.select((F.col("conv_id") % 7).alias("box"), F.col("role").alias("sender"), F.concat_ws("-", "conv_id", "turn").alias("subject"), sent.alias("sent_at"), "text"), path)
+    mails = files.read_mailboxes(spark, path)
+    part = lambda i: F.split_part("subject", F.lit("-"), F.lit(i)).cast("long")
+    return mails.select(part(1).alias("conv_id"), part(2).alias("turn"), "sender", F.date_format("sent_at", "yyyy-MM-dd HH:mm").alias("sent"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_RUNS = (ai_find, ai_read_block, access_log, rules_visible, index_incremental, mailbox_export)
 
 
 def queries() -> dict:
@@ -168,5 +179,6 @@ w AS (SELECT * FROM k WHERE NOT hidden)"""
         " SELECT id, path, project FROM v WHERE project IN (SELECT project FROM ru WHERE kind = 'approve') AND NOT EXISTS (SELECT 1 FROM ru WHERE kind = 'block' AND starts_with(v.path || '/', ru.pattern || '/'))"
         " AND NOT EXISTS (SELECT 1 FROM ru WHERE kind = 'ignore' AND ru.project = v.project AND starts_with(v.path || '/', ru.pattern || '/'))"
         " AND NOT EXISTS (SELECT 1 FROM ru, (SELECT unnest(string_split(lower(v.path), '/')) AS part) WHERE kind = 'wildcard' AND part LIKE lower(ru.pattern) ESCAPE '\\')",
+        "mailbox_export": "SELECT conv_id, turn, role AS sender, strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id + turn AS BIGINT)), '%Y-%m-%d %H:%M') AS sent, md5(coalesce(text, '')) AS digest FROM conversations",
         "index_incremental": f"WITH {view}, {changed}, {catalog._bm25('w')} SELECT id, score, path, dl FROM hits JOIN w USING (id) JOIN len USING (id)",
     }

@@ -44,6 +44,22 @@ def read_mail(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, MAIL)
 
 
+def read_mailboxes(spark: SparkSession, path: str) -> DataFrame:
+    """MAIL columns of the messages in mailbox files (mboxrd); path is the box.
+
+    Spark's text reader splits a box at its message borders, a line that begins with "From ", so one very large
+    box is many tasks, and a message is a row before anything is parsed.
+    """
+    parts = spark.read.option("lineSep", "\nFrom ").option("recursiveFileLookup", "true").text(path)
+    message = F.regexp_replace("value", r"\A[^\n]*\n", "")
+    whole = F.regexp_replace(message, r"(?m)^>(>*From )", "$1")
+    head = F.instr("whole", "\n\n") + 1
+    length = F.nullif(F.regexp_extract(F.substr("whole", F.lit(1), head), r"(?mi)^Content-Length:\s*([0-9]+)", 1), F.lit("")).cast("int")
+    body = F.substr("whole", head + 1).cast("binary")
+    content = F.concat(F.substr("whole", F.lit(1), head).cast("binary"), F.when(length.isNull(), body).otherwise(F.substr(body, F.lit(1), length)))
+    return read_mail(parts.where("value <> ''").select(F.col("_metadata.file_path").alias("path"), whole.alias("whole")).select("path", content.alias("content")))
+
+
 def plain_text(files: DataFrame) -> DataFrame:
     """path, text of text files (UTF-8)."""
     return files.where(F.col("ext").isin("txt", "md", "csv", "html")).select("path", F.decode("content", "UTF-8").alias("text"))

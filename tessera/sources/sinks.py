@@ -41,6 +41,14 @@ def append_log(log: DataFrame, path: str, ts: str = "ts") -> None:
     log.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
 
 
+def write_mailboxes(mails: DataFrame, path: str) -> None:
+    """Mails (box, sender, subject, sent_at, text) as mailbox files (mboxrd, UTF-8), a folder for each box. Null headers are left out; line breaks in headers become blanks."""
+    header = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\n"))).otherwise("")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^(>*From )", ">$1")
+    message = F.concat(F.lit("From export\n"), header("From", F.col("sender")), header("Subject", F.col("subject")), header("Date", F.date_format("sent_at", "dd MMM yyyy HH:mm:ss '+0000'")), F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\nContent-Length: "), F.octet_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit("\n\n"), body)
+    mails.select("box", message.alias("value")).write.mode("overwrite").partitionBy("box").text(path)
+
+
 def write_copies(selection: DataFrame, path: str) -> None:
     """The list of files (or photos) to copy; the copying itself belongs to the file server."""
     selection.write.mode("overwrite").json(path)

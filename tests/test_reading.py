@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import policy, rules, search
 from tessera.operators.reader import Reader
 from tessera.plans import reading
-from tessera.sources import segments, sinks, textstore
+from tessera.sources import files, segments, sinks, textstore
 
 SF = "/root/testdata/sf0.001"
 
@@ -203,3 +203,19 @@ def test_scans_equal_a_full_rebuild(spark):
 def test_no_scan_yet(spark):
     with pytest.raises(ValueError, match="no scan"):
         segments.Segments(spark, sinks.home(spark)).open()
+
+
+def test_one_large_box_is_split_at_its_messages(spark):
+    texts = ["", "From here\n>From there\n\nFrom", "\n\nFrom x", "é " * 300, "a\n\nb\n", "no end"] * 40
+    rows = [("all", None if i % 5 == 0 else f"p{i}@x", f"n{i}", dt.datetime(2024, 1, 1, 0, 0, i % 60), t) for i, t in enumerate(texts)]
+    path = sinks.home(spark)
+    sinks.write_mailboxes(spark.createDataFrame(rows, "box string, sender string, subject string, sent_at timestamp, text string").coalesce(1), path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        mails = files.read_mailboxes(spark, path)
+        assert mails.rdd.getNumPartitions() > 8
+        got = {r["subject"]: (r["sender"], r["sent_at"], r["text"]) for r in mails.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {subject: (sender, at, text) for _, sender, subject, at, text in rows}
