@@ -96,10 +96,9 @@ def test_trees_follow_from_the_miss_probability():
         assert (1 - (percent / 100) ** nd.DEPTH) ** n <= nd.MISS < (1 - (percent / 100) ** nd.DEPTH) ** (n - 1)
 
 
-@pytest.mark.parametrize("leaf", [1, 3])
-def test_recall_where_every_node_branches(spark, monkeypatch, leaf):
+def test_recall_where_every_node_branches(spark, monkeypatch):
     """Pairs of similarity 0.85 to 0.9 among many that share a third of their words, with leaves so small that paths have full length: at least 0.99 are found by the trees alone, without the finish."""
-    monkeypatch.setattr(nd, "LEAF", leaf)
+    monkeypatch.setattr(nd, "LEAF", 1)
     monkeypatch.setattr(nd.Join, "finish", lambda self, last: None)
     rng = random.Random(21)
     shared = [f"s{j}" for j in range(80)]
