@@ -7,7 +7,7 @@ from tessera.functions import text as tx
 from tessera.operators import documents as dc
 from tessera.operators import gallery, logs, norms, policy, search, tools
 from tessera.plans import catalog, scan
-from tessera.sources import files, sinks
+from tessera.sources import files, segments, sinks
 from tessera.streaming import logs as stream
 
 SF = "/root/testdata/sf0.001"
@@ -221,3 +221,31 @@ def test_choices_by_hand(spark):
     assert gallery.tagged(photos, twice, "x").count() == 12 and gallery.rated(photos, twice, 1).count() == 12
     sheet = {r.id: (r.sheet, r.row, r.place) for r in gallery.contact_sheet(photos, 3, 2).collect()}
     assert sheet[1] == (1, 1, 1) and sheet[6] == (1, 2, 3) and sheet[7] == (2, 1, 1)
+
+
+def test_rescan_reads_changed_files_only(spark, tmp_path, monkeypatch):
+    root = tmp_path / "share"
+    (root / "proj" / "sub").mkdir(parents=True)
+    write = lambda name, text: (root / name).write_text(text)
+    for i in range(5):
+        write(f"proj/f{i}.txt", f"beam number{i}")
+    write("proj/sub/page [1].html", "<p>beam in a page</p>")
+    write("proj/privat.txt", "beam secret")
+    index = segments.Segments(spark, str(tmp_path / "index"), 4)
+    asked = []
+    real = files.scan_folders
+    monkeypatch.setattr(files, "scan_folders", lambda spark, folders, pattern="*": asked.append(list(folders)) or real(spark, folders, pattern))
+    run = lambda: scan.rescan(spark, [str(root)], index, patterns=["*privat*"])
+    hits = lambda q: sorted(r["path"] for r in search.described(search.search(index.open(), q, k=None), index.open(), "path").collect())
+    assert run() == (6, 0, 0) and hits("beam") == [*(f"/proj/f{i}.txt" for i in range(5)), "/proj/sub/page [1].html"]
+    asked.clear()
+    write("proj/f1.txt", "column number1 changed")
+    write("proj/sub/page [2].txt", "beam and column")
+    (root / "proj/f0.txt").unlink()
+    assert run() == (1, 1, 1)
+    assert sorted(x.rpartition("/")[2] for x in asked[1]) == ["f1.txt", "page \\[2\\].txt"] or len(asked[1]) == 2
+    assert hits("column") == ["/proj/f1.txt", "/proj/sub/page [2].txt"] and "/proj/f0.txt" not in hits("beam") and hits("secret") == []
+    assert run() == (0, 0, 0)
+    monkeypatch.setattr(scan, "FEW", 0)
+    write("proj/f2.txt", "column again and again")
+    assert run() == (0, 1, 0) and hits("again") == ["/proj/f2.txt"]
