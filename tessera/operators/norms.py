@@ -63,3 +63,22 @@ def due(checks: DataFrame, now: str, days: int = CHECK_DAYS) -> DataFrame:
 
 def catalogue_of(spark: SparkSession, rows: Sequence[tuple[str, str, int]]) -> DataFrame:
     return spark.createDataFrame(list(rows), "publisher string, number string, year int")
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """A publisher's catalogue from CSV files with a heading: publisher, number, year. Lines without a number or with a year that is none are left out."""
+    rows = spark.read.option("header", True).schema("publisher string, number string, year string").csv(path)
+    return rows.select(F.trim("publisher").alias("publisher"), F.trim("number").alias("number"), F.trim("year").try_cast("int").alias("year")).where("number <> '' and year is not null")
+
+
+def catalogue_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """publisher, number, before, now, change: what a change-check finds between two states of catalogues; revised (a newer edition), new, or withdrawn."""
+    before, now = newest(old).withColumnRenamed("newest", "before"), newest(new).withColumnRenamed("newest", "now")
+    change = F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "withdrawn").when(F.col("now") > F.col("before"), "revised")
+    return before.join(now, ["publisher", "number"], "full_outer").withColumn("change", change).where("change is not null")
+
+
+def affected(norms: DataFrame, changes: DataFrame) -> DataFrame:
+    """id, publisher, number, change of the stored standards (id, publisher, number, year) that a change concerns: an edition older than the new one, or a withdrawn number."""
+    rows = norms.join(changes.where("change <> 'new'"), ["publisher", "number"])
+    return rows.where((F.col("change") == "withdrawn") | (F.col("year") < F.col("now"))).select("id", "publisher", "number", "change")

@@ -340,8 +340,9 @@ def index_entries(spark, d):
 
 
 def gallery_example(spark, d):
-    """The worked example: three stars and more, then the tag Fassade."""
-    return gallery.filtered(spark.createDataFrame(PHOTOS, "id int, rating int, tags array<string>"), 3, "Fassade").select("id", "rating")
+    """The worked example among all photos: three stars and more, then the tag Fassade."""
+    example = spark.createDataFrame(PHOTOS, "id int, rating int, tags array<string>")
+    return gallery.filtered(_photos(spark, d).withColumn("id", F.col("id").cast("int")).unionByName(example), 3, "Fassade").select("id", "rating")
 
 
 _RUNS = (

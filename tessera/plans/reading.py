@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import rules, search
+from tessera.operators import norms, rules, search
 from tessera.operators.reader import LOG, Reader
 from tessera.plans import catalog
 from tessera.plans.catalog import IDS, K, POLICY, QUERY
@@ -125,7 +125,16 @@ def mailbox_export(spark, d):
     return mails.select(part(1).alias("conv_id"), part(2).alias("turn"), "sender", F.date_format("sent_at", "yyyy-MM-dd HH:mm").alias("sent"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_RUNS = (ai_find, ai_read_block, access_log, rules_visible, index_incremental, mailbox_export)
+def catalogue_check(spark, d):
+    """Stored standards that a change-check concerns, between two states of a catalogue: the editions that earlier and later documents name (licences stand in)."""
+    found = catalog._licences(catalog._docs(spark, d).where(norms.is_norm(F.col("text")))).where("year is not null")
+    number = F.concat("number", F.lit("-"), (F.col("id") % 5).cast("string"))
+    stored = found.withColumn("number", number)
+    old, new = stored.where("id % 4 < 2"), stored.where("id % 4 <> 0")
+    return norms.affected(stored, norms.catalogue_changes(old, new))
+
+
+_RUNS = (ai_find, ai_read_block, access_log, rules_visible, index_incremental, mailbox_export, catalogue_check)
 
 
 def queries() -> dict:
@@ -179,6 +188,8 @@ w AS (SELECT * FROM k WHERE NOT hidden)"""
         " SELECT id, path, project FROM v WHERE project IN (SELECT project FROM ru WHERE kind = 'approve') AND NOT EXISTS (SELECT 1 FROM ru WHERE kind = 'block' AND starts_with(v.path || '/', ru.pattern || '/'))"
         " AND NOT EXISTS (SELECT 1 FROM ru WHERE kind = 'ignore' AND ru.project = v.project AND starts_with(v.path || '/', ru.pattern || '/'))"
         " AND NOT EXISTS (SELECT 1 FROM ru, (SELECT unnest(string_split(lower(v.path), '/')) AS part) WHERE kind = 'wildcard' AND part LIKE lower(ru.pattern) ESCAPE '\\')",
+        "catalogue_check": f"WITH {catalog._VALID}, f AS (SELECT id, publisher, number || '-' || (id % 5) AS number, year FROM p WHERE year IS NOT NULL), o AS (SELECT publisher, number, max(year) AS b FROM f WHERE id % 4 < 2 GROUP BY ALL), w AS (SELECT publisher, number, max(year) AS n FROM f WHERE id % 4 <> 0 GROUP BY ALL)"
+        " SELECT id, f.publisher, f.number, CASE WHEN w.n IS NULL THEN 'withdrawn' ELSE 'revised' END AS change FROM f JOIN o ON o.publisher = f.publisher AND o.number = f.number LEFT JOIN w ON w.publisher = f.publisher AND w.number = f.number WHERE w.n IS NULL OR (w.n > o.b AND f.year < w.n)",
         "mailbox_export": "SELECT conv_id, turn, role AS sender, strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id + turn AS BIGINT)), '%Y-%m-%d %H:%M') AS sent, md5(coalesce(text, '')) AS digest FROM conversations",
         "index_incremental": f"WITH {view}, {changed}, {catalog._bm25('w')} SELECT id, score, path, dl FROM hits JOIN w USING (id) JOIN len USING (id)",
     }

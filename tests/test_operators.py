@@ -249,3 +249,13 @@ def test_rescan_reads_changed_files_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scan, "FEW", 0)
     write("proj/f2.txt", "column again and again")
     assert run() == (0, 1, 0) and hits("again") == ["/proj/f2.txt"]
+
+
+def test_catalogues_and_their_changes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("publisher,number,year\nSIA,261,2014\nSIA,262,2013\nVSS,40 050,2019\nSIA,,2020\nSIA,9,old\n")
+    (tmp_path / "b.csv").write_text("publisher,number,year\nSIA, 261 ,2020\nSIA,262,2013\nSIA,500,2024\nSIA,261,2014\n")
+    old, new = (norms.read_catalogue(spark, str(tmp_path / f"{x}.csv")) for x in "ab")
+    changes = norms.catalogue_changes(old, new)
+    assert sorted(map(tuple, changes.select("publisher", "number", "before", "now", "change").collect())) == [("SIA", "261", 2014, 2020, "revised"), ("SIA", "500", None, 2024, "new"), ("VSS", "40 050", 2019, None, "withdrawn")]
+    stored = spark.createDataFrame([(1, "SIA", "261", 2014), (2, "SIA", "261", 2020), (3, "VSS", "40 050", 2019), (4, "SIA", "262", 2003), (5, "SIA", "261", None)], "id long, publisher string, number string, year int")
+    assert sorted(map(tuple, norms.affected(stored, changes).collect())) == [(1, "SIA", "261", "revised"), (3, "VSS", "40 050", "withdrawn")]
