@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import sinks
+
 #: Hidden folders, files and names that may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 200_000
 GRAM = 3
@@ -29,6 +31,13 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SMALL else keys
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """rows, written below the shared folder and read again: keys of rules are used several times, and plans stay small."""
+    path = sinks.home(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
@@ -96,19 +105,19 @@ def matching_names(names: DataFrame, rules: DataFrame) -> DataFrame:
 
 def visible_by(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """The rows of docs (path, project, more) that the rules show; equal to policy.visible() for the same rules. A null path or project is not shown."""
+    rules = _stored(rules.select("kind", "project", "pattern"))
     shown = docs.join(_small(rules.where("kind = 'approve'").select("project").distinct()), "project", "left_semi").where(F.col("path").isNotNull())
-    narrow = shown.select("project", "path")
-    folders = narrow.select("project", _folder(F.col("path")).alias("place")).distinct()
-    by_folder = hidden_paths(folders, rules)
+    last = F.element_at(F.split(F.lower("path"), "/", -1), -1)
+    narrow = _stored(shown.select("project", "path", _folder(F.col("path")).alias("place"), last.alias("name")))
+    folders = _stored(narrow.select("project", "place").distinct())
+    by_folder = _stored(hidden_paths(folders, rules))
     # files that are named themselves: one key a document, no prefixes
     ignore = _named(rules, "ignore")
     files = narrow.join(_named(rules, "block").select(F.col("prefix").alias("path")).distinct(), "path", "left_semi").select("project", "path")
-    files = files.unionByName(narrow.join(ignore, (narrow["path"] == ignore["prefix"]) & (narrow["project"] == ignore["of"]), "left_semi").select("project", "path")).distinct()
-    last = F.element_at(F.split(F.lower("path"), "/", -1), -1)
-    of_folders = folders.select("place", F.explode(F.split(F.lower("place"), "/", -1)).alias("name")).distinct()
-    names = narrow.select(last.alias("name")).unionByName(of_folders.select("name")).distinct()
-    matched = matching_names(names, rules)
-    by_name = of_folders.join(matched, "name", "left_semi").select("place").distinct()
+    files = _stored(files.unionByName(narrow.join(ignore, (narrow["path"] == ignore["prefix"]) & (narrow["project"] == ignore["of"]), "left_semi").select("project", "path")).distinct())
+    of_folders = _stored(folders.select("place", F.explode(F.split(F.lower("place"), "/", -1)).alias("name")).distinct())
+    matched = _stored(matching_names(_stored(narrow.select("name").unionByName(of_folders.select("name")).distinct()), rules))
+    by_name = _stored(of_folders.join(matched, "name", "left_semi").select("place").distinct())
     out = shown.withColumn("_place", _folder(F.col("path"))).withColumn("_name", last)
     out = out.join(_small(by_folder.withColumnRenamed("place", "_place")), ["project", "_place"], "left_anti").join(_small(by_name.withColumnRenamed("place", "_place")), "_place", "left_anti")
     out = out.join(_small(files), ["project", "path"], "left_anti").join(_small(matched.withColumnRenamed("name", "_name")), "_name", "left_anti")
