@@ -45,9 +45,10 @@ def newest(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("publisher", "number").agg(F.max("year").alias("newest"))
 
 
-def validity(norms: DataFrame, catalogue: DataFrame, checked: Sequence[str] = CHECKED) -> DataFrame:
-    """Adds status: outdated if the catalogue has a newer edition, current if not, unchecked if it lacks the number or its publisher is not checked."""
-    rows = norms.join(newest(catalogue), ["publisher", "number"], "left")
+def validity(norms: DataFrame, catalogue: DataFrame, checked: Sequence[str] = CHECKED, small: bool = False) -> DataFrame:
+    """Adds status: outdated if the catalogue has a newer edition, current if not, unchecked if it lacks the number or its publisher is not checked. A small catalogue comes to the rows, which then stay where they are."""
+    editions = newest(catalogue)
+    rows = norms.join(F.broadcast(editions) if small else editions, ["publisher", "number"], "left")
     known = F.col("newest").isNotNull() & F.col("publisher").isin(list(checked)) & F.col("year").isNotNull()
     return rows.withColumn("status", F.when(known & (F.col("year") < F.col("newest")), "outdated").when(known, "current").otherwise("unchecked")).drop("newest")
 

@@ -35,10 +35,11 @@ _INDEXES: dict[tuple, str] = {}
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as the scan leaves them: with norm, and the status of standards against the catalogue."""
-    docs = _docs(spark, d)
-    known = norms.validity(_licences(docs.where(norms.is_norm(F.col("text")))), norms.catalogue_of(spark, CATALOGUE), CHECKED).select("id", "status")
-    return docs.join(known, "id", "left").withColumn("norm", F.col("status").isNotNull())
+    """Documents as the scan leaves them: with norm, and the status of standards against the catalogue. Both come from a document's own row, so texts do not move."""
+    docs = _docs(spark, d).withColumn("norm", F.coalesce(norms.is_norm(F.col("text")) & F.col("id").isNotNull(), F.lit(False)))
+    licence = F.when(F.col("norm"), F.struct(*_licence(F.col("text"))))
+    known = norms.validity(docs.withColumn("licence", licence).select(*docs.columns, "licence.*"), norms.catalogue_of(spark, CATALOGUE), CHECKED, small=True)
+    return known.withColumn("status", F.when(F.col("norm"), F.col("status"))).select(*[c for c in docs.columns if c != "norm"], "status", "norm")
 
 
 def _mails(spark: SparkSession, d: str) -> DataFrame:
@@ -52,11 +53,7 @@ def _everything(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(mail).withColumn("found", F.concat_ws("\n", "path", "text"))
 
 
-_SCANS = {
-    "documents": lambda spark, d: search.build_index(_entries(spark, d)),
-    "names": lambda spark, d: search.build_index(_docs(spark, d), "path"),
-    "everything": lambda spark, d: search.build_index(_everything(spark, d), "found"),
-}
+_SCANS = {"documents": (_entries, "text"), "names": (_docs, "path"), "everything": (_everything, "found")}
 
 
 def listing(spark: SparkSession, d: str, tables: tuple[str, ...]) -> int:
@@ -70,7 +67,9 @@ def _index(spark: SparkSession, d: str, kind: str = "documents") -> search.Index
     key = (spark.sparkContext.applicationId, d, kind, listing(spark, d, ("documents", "conversations") if kind == "everything" else ("documents",)))
     if key not in _INDEXES:
         path = sinks.home(spark)
-        sinks.write_index(_SCANS[kind](spark, d), path)
+        of, text = _SCANS[kind]
+        docs = of(spark, d)
+        sinks.write_index(search.build_index(docs, text, search.parts_of(docs, text)), path)
         _INDEXES[key] = path
     return sinks.read_index(spark, _INDEXES[key])
 
@@ -207,12 +206,16 @@ def norm_search_misses(spark, d):
     return docs.where(norms.is_norm(F.col("text")) & ~norms.is_norm(F.col("text"), window=20)).select("id")
 
 
-def _licences(docs):
-    t = F.col("text")
+def _licence(t):
+    """publisher, number, year that a text's licence line gives."""
     kind = F.when(F.contains(t, F.lit("Apache License")), "apache").when(F.contains(t, F.lit("General Public License")), "gpl").when(F.contains(t, F.lit("CC BY-NC")), "cc").when(F.contains(t, F.lit("MIT License")), "mit")
     number = F.when(kind == "cc", "by-nc").otherwise("license")
     year = F.nullif(F.regexp_extract(t, r"(?i)(?:License, version |CC BY-NC )([0-9]+)", 1), F.lit("")).cast("int")
-    return docs.select("id", kind.alias("publisher"), number.alias("number"), year.alias("year"))
+    return kind.alias("publisher"), number.alias("number"), year.alias("year")
+
+
+def _licences(docs):
+    return docs.select("id", *_licence(F.col("text")))
 
 
 def norm_validity(spark, d):

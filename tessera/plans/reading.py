@@ -35,8 +35,9 @@ def _reader(spark: SparkSession, d: str, log: str | None = None) -> Reader:
     key = (spark.sparkContext.applicationId, d, catalog.listing(spark, d, ("documents", "conversations")))
     if key not in _STORED:
         index, texts = sinks.home(spark), sinks.home(spark)
-        sinks.write_index(search.build_index(_all(spark, d), "found"), index)
-        textstore.write(_all(spark, d).where("id is not null"), texts)
+        docs = _all(spark, d)
+        sinks.write_index(search.build_index(docs, "found", search.parts_of(docs, "found")), index)
+        textstore.write(docs.where("id is not null"), texts)
         _STORED[key] = index, texts
     index, texts = _STORED[key]
     return Reader(spark, sinks.read_index(spark, index), textstore.read(spark, texts), READER, log or sinks.home(spark))

@@ -42,7 +42,7 @@ def scan(spark: SparkSession, folders: Sequence[str], index_path: str, patterns:
     by name and path. project is the first folder below the released one. ids are hashes of paths.
     """
     docs = _documents(_listed(files.scan_folders(spark, folders), folders, patterns, ignored), extractors)
-    sinks.write_index(search.build_index(docs, "found"), index_path)
+    sinks.write_index(search.build_index(docs, "found", search.parts_of(docs, "found")), index_path)
     return sinks.read_index(spark, index_path)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.search import Index
 
+#: Bytes of a row group of postings.
+GROUP_BYTES = 1 << 20
 _LOCAL: dict[str, str] = {}
 
 
@@ -25,9 +27,9 @@ def home(spark: SparkSession) -> str:
 
 
 def write_index(index: Index, path: str) -> None:
-    """Postings sorted by term and id within range partitions, so that a query reads the row groups of its terms only, and a term of every document is split among tasks. Entries are written once, and the totals come from what was written."""
+    """Postings are written where their documents are, sorted by term and id in each file, so that they never move: a query reads the row groups and pages of its terms in each file. Entries are written once, and the totals come from what was written."""
     spark = index.entries.sparkSession
-    index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings.sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     index.entries.write.mode("overwrite").parquet(f"{path}/entries")
     spark.read.parquet(f"{path}/entries").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
 

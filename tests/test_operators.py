@@ -1,5 +1,7 @@
 """Worked examples, negative cases and policy invariants."""
 
+from collections import Counter
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +261,28 @@ def test_catalogues_and_their_changes(spark, tmp_path):
     assert sorted(map(tuple, changes.select("publisher", "number", "before", "now", "change").collect())) == [("SIA", "261", 2014, 2020, "revised"), ("SIA", "500", None, 2024, "new"), ("VSS", "40 050", 2019, None, "withdrawn")]
     stored = spark.createDataFrame([(1, "SIA", "261", 2014), (2, "SIA", "261", 2020), (3, "VSS", "40 050", 2019), (4, "SIA", "262", 2003), (5, "SIA", "261", None)], "id long, publisher string, number string, year int")
     assert sorted(map(tuple, norms.affected(stored, changes).collect())) == [(1, "SIA", "261", "revised"), (3, "VSS", "40 050", "withdrawn")]
+
+
+def test_terms_are_counted_where_the_text_is(spark):
+    """Counting terms moves nothing and aggregates nothing, whatever a text holds; an index of parts holds the same."""
+    texts = ["b a b", "", None, "!!", "Ä ä a9 9a a", "x", " ".join(f"w{i * i % 37}" for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {(t, i, n) for i, x in enumerate(texts) for t, n in Counter(re.findall(r"[^\W_]+", (x or "").lower())).items()}
+    index = search.build_index(docs)
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    for found in (index, search.build_index(docs, parts=3)):
+        assert {(r["term"], r["id"], r["tf"]) for r in found.postings.collect()} == want and found.postings.count() == len(want)
+        assert {r["id"]: r["dl"] for r in found.entries.collect()} == {i: len(re.findall(r"[^\W_]+", x or "")) for i, x in enumerate(texts)}
+
+
+def test_parts_grow_with_the_text(spark, monkeypatch, tmp_path):
+    """A task sorts the postings of about PART bytes, so more text is more files and not larger ones."""
+    monkeypatch.setattr(search, "PART", 4000)
+    files = []
+    for n in (40, 160):
+        docs = spark.range(n).select("id", F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), 50).alias("text"))
+        sinks.write_index(search.build_index(docs, parts=search.parts_of(docs)), f"{tmp_path}/{n}")
+        files.append(len(sinks.read_index(spark, f"{tmp_path}/{n}").postings.inputFiles()))
+    assert files[1] >= 3 * files[0] > 3
+    assert search.parts_of(docs.where("false")) == 1
