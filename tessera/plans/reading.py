@@ -109,7 +109,7 @@ def index_incremental(spark, d):
     second = docs.where("id % 10 <> 4").withColumn("text", F.when(F.col("id") % 10 == 5, F.concat("text", F.lit("\nLicense und the license"))).otherwise(F.col("text")))
     index = segments.Segments(spark, sinks.home(spark))
     for state in (first, second):
-        index.update(_listing(state), lambda asked, state=state: state.join(asked.select("path"), "path", "left_semi"))
+        index.update(_listing(state), lambda asked, state=state: state.join(segments.few(asked.select("id")), "id", "left_semi"))
     index.merge()
     now = index.open(tx.query_terms(QUERY))
     return search.described(search.search(now, QUERY, k=K), now, "path", "dl")

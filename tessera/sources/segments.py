@@ -24,6 +24,8 @@ from pyspark.sql.types import IntegerType, StructType
 from tessera.operators import search
 
 RANGES = 64
+#: Ids of deleted and changed files that may be broadcast, by a count made before; beyond it postings are joined by a shuffle.
+SMALL = 1_000_000
 FILES = "path string, id bigint, size bigint, modified timestamp"
 MANIFEST = "part string, range int, v int, n_docs bigint, avgdl double"
 
@@ -32,6 +34,11 @@ def _range_of(term: Column, ranges: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(ranges)).cast("int")
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast where they are few."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
 @dataclass
 class Segments:
     """The index below a folder. Its methods are called by one scan at a time; searches may go on meanwhile."""
@@ -62,9 +69,13 @@ class Segments:
         gone = self._read(live, "gone")
         if gone is None:
             return rows.drop("v")
-        gone = gone.groupBy("id").agg(F.max("v").alias("gone_v"))
+        gone = self._last(gone)
         return rows.join(gone, (rows["id"] == gone["id"]) & (rows["v"] < gone["gone_v"]), "left_anti").drop("v")
 
+    def _last(self, gone: DataFrame) -> DataFrame:
+        """id, gone_v: the last version that each id left. Few ids come to the postings, which then stay where they are."""
+        return few(gone.groupBy("id").agg(F.max("v").alias("gone_v")))
+
     def open(self, terms: Sequence[str] | None = None) -> search.Index:
         """The index as of now; with `terms`, only the ranges that hold these are read."""
         live = self.manifest()
@@ -92,9 +103,10 @@ class Segments:
 
     def _write_postings(self, postings: DataFrame, version: int) -> list[tuple]:
         """Dealt by range, term and id, so a term that every document holds is many tasks' work."""
-        rows = postings.withColumns({"range": _range_of(F.col("term"), self.ranges), "v": F.lit(version)})
+        dealt = postings.withColumn("range", _range_of(F.col("term"), self.ranges)).repartitionByRange("range", "term", "id")
+        rows = dealt.sortWithinPartitions("range", "term", "id").withColumn("v", F.lit(version))
         path = f"{self.path}/postings/{version}"
-        rows.repartitionByRange("range", "term", "id").sortWithinPartitions("range", "term", "id").write.mode("overwrite").partitionBy("range").parquet(path)
+        rows.write.mode("overwrite").partitionBy("range").parquet(path)
         made = self.spark.read.schema(StructType([f for f in rows.schema if f.name != "range"]).add("range", IntegerType())).parquet(path)
         return [("postings", r["range"], version, None, None) for r in made.select("range").distinct().collect()]  # RANGES at most
 
@@ -139,7 +151,7 @@ class Segments:
         alone = set(by_range) - touched
         if gone is not None and alone:
             rows = self._read(live, "postings", alone)
-            last = gone.groupBy("id").agg(F.max("v").alias("gone_v"))
+            last = self._last(gone)
             dead = rows.join(last, (rows["id"] == last["id"]) & (rows["v"] < last["gone_v"]), "left_semi")
             touched |= {r["range"] for r in dead.select(_range_of(F.col("term"), self.ranges).alias("range")).distinct().collect()}
         new = []

@@ -207,6 +207,25 @@ def test_scans_equal_a_full_rebuild(spark):
     same()
 
 
+def test_few_gone_files_move_no_postings(spark):
+    """A deleted file's id comes to the postings, whatever size Spark takes their tables for."""
+    index = segments.Segments(spark, sinks.home(spark), 4)
+    files = {f"/f{i}": (i, f"a b{i}", dt.datetime(2024, 1, 1)) for i in range(9)}
+    for gone in (None, "/f2"):
+        files.pop(gone, None)
+        now = state(spark, files)
+        index.update(now.drop("text"), lambda asked, now=now: now.join(asked.select("path"), "path", "left_semi").drop("size", "modified"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.open().postings
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted({r["id"] for r in found.collect()}) == [0, 1, 3, 4, 5, 6, 7, 8]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_no_scan_yet(spark):
     with pytest.raises(ValueError, match="no scan"):
         segments.Segments(spark, sinks.home(spark)).open()
