@@ -1,13 +1,16 @@
-"""Interval join: points with the ranges that hold them, by bins instead of a nested loop."""
+"""Interval join: points with the ranges that hold them, by bins instead of a nested loop; and totals of these points without the pairs."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
+from tessera.operators.asof import asof_join, buckets
+from tessera.sources import sinks
+
 #: A level of ranges joins the next wider one while that adds candidates for at most this share of all ranges.
 SHARE = 0.1
 
@@ -55,3 +58,46 @@ def interval_join(points: DataFrame, ranges: DataFrame, point: str, low: str, hi
     asked = points.where(F.col(point).isNotNull()).withColumn("_at", F.explode(probes)).withColumns({"_level": F.col("_at._level"), "_bin": F.col("_at._bin")}).drop("_at")
     met = asked.join(held, [*by, "_level", "_bin"]).where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high)))
     return met.drop("_level", "_bin")
+
+
+#: Measures that parts of a range can be merged by: of points, and of parts.
+MERGED = {"count": (F.count, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+
+
+def _numbered(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """ends (keys, t: microseconds) with _n, their place (from 0) among those of their key, numbered within equally deep buckets of time."""
+    bin_of, table = buckets(ends.select("t"))
+    placed = ends.withColumn("bin", bin_of).join(F.broadcast(table), "bin").drop("bin")  # at most BINS rows
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("size")).select(*keys, "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("t")) - 1
+    return placed.withColumn("inside", inside).join(first, [*keys, "bucket"]).select(*keys, "t", (F.col("first") + F.col("inside")).alias("_n"))
+
+
+def interval_totals(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, measures: dict[str, tuple[str, Column]], by: Sequence[str] = ()) -> DataFrame:
+    """The ranges that hold points of equal `by` (low <= point < high, times), with measures of these points: name -> (count, min or max, of what).
+
+    No pair of a point and a range is made, so the work grows with points and ranges and not with their product. The
+    ends of all ranges cut time into segments; an as-of join gives each point its segment. Segments are measured, then
+    runs of 2, 4, 8 ... of them; a range of n segments is put together from 2 * log2(n) such runs at most, and equal
+    ranges are put together once. Null and empty ranges hold nothing, null points and keys are in none.
+    """
+    keys = [f"_key_{i}" for i in range(len(by) or 1)]
+    named = [F.col(b).alias(k) for b, k in zip(by, keys, strict=True)] if by else [F.lit(0).alias(keys[0])]
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    real = ranges.where(F.col(low) < F.col(high)).select(*named, micros(low).alias("_low"), micros(high).alias("_high"), F.struct(*ranges.columns).alias("_range")).dropna(subset=keys)
+    both = real.select(*keys, F.explode(F.array("_low", "_high")).alias("t")).distinct()
+    ends = sinks.stored(_numbered(both, keys))
+    of_end = lambda t, n: ends.select(*keys, F.col("t").alias(t), F.col("_n").alias(n))
+    spans = sinks.stored(real.select(*keys, "_low", "_high").distinct().join(of_end("_low", "_i"), [*keys, "_low"]).join(of_end("_high", "_j"), [*keys, "_high"]))
+    top = (spans.agg(F.max(F.col("_j") - F.col("_i"))).first()[0] or 1).bit_length() - 1
+    asked = points.select(*named, F.col(point).cast("timestamp").alias("_at"), *(c.alias(f"_of_{m}") for m, (_, c) in measures.items()))
+    placed = asof_join(asked, ends.select(*keys, F.timestamp_micros("t").alias("_at"), "_n"), keys, "_at", ["_n"]).where("_n is not null")
+    segments = placed.groupBy(*keys, "_n").agg(*(MERGED[kind][0](f"_of_{m}").alias(m) for m, (kind, _) in measures.items()))
+    merged = [MERGED[kind][1](m).alias(m) for m, (kind, _) in measures.items()]
+    runs = segments.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("_run", F.expr("shiftright(_n, _level)")).groupBy(*keys, "_level", "_run").agg(*merged)
+    first, end = "shiftright(_i + shiftleft(1L, v) - 1, v)", "shiftright(_j, v)"
+    run = lambda odd, n: f"if({first} < {end} and {odd} % 2 = 1, named_struct('_level', v, '_run', {n}), null)"
+    pieces = F.expr(f"inline(filter(flatten(transform(sequence(0, length(bin(_j - _i)) - 1), v -> array({run(first, first)}, {run(end, end + ' - 1')}))), x -> x is not null))")
+    found = spans.select(*keys, "_low", "_high", pieces).join(runs, [*keys, "_level", "_run"]).groupBy(*keys, "_low", "_high").agg(*merged)
+    return real.join(found, [*keys, "_low", "_high"]).select("_range.*", *measures)

@@ -26,6 +26,13 @@ def home(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, written below the shared folder and read again: for what is used several times, so that plans stay small."""
+    path = home(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_index(index: Index, path: str) -> None:
     """Postings are written where their documents are, sorted by term and id in each file, so that they never move: a query reads the row groups and pages of its terms in each file. Entries are written once, and the totals come from what was written."""
     spark = index.entries.sparkSession

@@ -93,6 +93,47 @@ def test_intervals_plan_has_no_nested_loop(spark):
     assert intervals.interval_join(e, r.where("false"), "ts", "low", "high").count() == 0
 
 
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_interval_totals_equal_the_pairs(spark, by):
+    rng = random.Random(5)
+    second = lambda: rng.choice([None, 50, *(rng.randrange(-100, 100) for _ in range(9))])
+    points = [(i, rng.choice([1, 1, 2, None]), at(second()), rng.choice([None, rng.random()])) for i in range(500)]
+    ranges = [(j, rng.choice([1, 2, 3, None]), at(low), None if low is None or j % 17 == 0 else at(low + rng.choice([-3, 0, 1, 1, 2, 7, 64, 150]))) for j, low in ((j, second()) for j in range(300))]
+    a = spark.createDataFrame(points, "id int, k int, x timestamp_ntz, w double")
+    b = spark.createDataFrame(ranges, "r int, k int, low timestamp_ntz, high timestamp_ntz")
+    got = intervals.interval_totals(a, b if by else b.drop("k"), "x", "low", "high", {"n": ("count", F.lit(1)), "most": ("max", F.col("w")), "first": ("min", F.col("id"))}, by)
+    want = {}
+    for j, k, low, high in ranges:
+        held = [(i, w) for i, q, x, w in points if None not in (x, low, high) and low <= x < high and (not by or (k is not None and k == q))]
+        if held:
+            want[j] = (len(held), max((w for _, w in held if w is not None), default=None), min(i for i, _ in held))
+    assert {r["r"]: (r["n"], r["most"], r["first"]) for r in got.collect()} == want
+
+
+def test_interval_totals_make_no_pairs(spark):
+    """Every range holds every point: 9 million pairs, and no step of the query puts out more than a few rows for each of both."""
+    n = 3000
+    a = spark.range(n).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).cast("timestamp_ntz").alias("x"))
+    b = spark.range(n).select(F.col("id").alias("r"), F.timestamp_seconds(F.lit(1_704_060_000) - F.col("id")).cast("timestamp_ntz").alias("low"), F.timestamp_seconds(F.lit(1_704_080_000) + F.col("id")).cast("timestamp_ntz").alias("high"))
+    got = intervals.interval_totals(a, b, "x", "low", "high", {"n": ("count", F.lit(1))})
+    assert got.where(f"n = {n}").count() == n == got.count()
+    todo, most = [got._jdf.queryExecution().executedPlan()], 0
+    got._jdf.collectToPython()
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < most <= 30 * n
+
+
 def test_levels_bound_the_candidates():
     counts = {0: 100_000, 1: 3, 2: 50_000, 9: 40, 20: 1}
     found = intervals.levels(counts)
