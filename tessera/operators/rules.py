@@ -8,7 +8,7 @@ A rule is a row (kind, project, pattern):
   wildcard  pattern with * that no file or folder name on the path may match, case aside
 
 Folder rules meet the folders of documents in a hash join on path prefixes, wildcards meet names in a join on
-three letters that a match must hold; both look at each different folder and name once, however many documents
+a text that a match must hold; both look at each different folder and name once, however many documents
 there are. What is hidden becomes keys, and documents are joined with these.
 """
 
@@ -23,7 +23,10 @@ from tessera.sources import sinks
 
 #: Hidden folders, files and names that may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 200_000
-GRAM = 3
+#: Letters of a text by which patterns are looked up.
+LONGEST = 16
+#: Names whose texts one task takes apart.
+NAMES = 20_000
 RULES = "kind string, project string, pattern string"
 
 
@@ -31,13 +34,6 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SMALL else keys
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    """rows, written below the shared folder and read again: keys of rules are used several times, and plans stay small."""
-    path = sinks.home(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
@@ -73,51 +69,70 @@ def _like(pattern: Column) -> Column:
     return F.replace(escaped, F.lit("*"), F.lit("%"))
 
 
+def _keys(place: str, texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.struct(F.lit(place).alias("place"), x.alias("text")))
+
+
+def _wanted(wild: Column) -> Column:
+    """What a name must hold that a wildcard matches, as (place, text): all of it without a star, else its start, its end and what stands between stars. Long texts are cut; none for stars alone."""
+    parts = F.split(wild, r"\*", -1)
+    n = F.size(parts)
+    real = lambda texts: F.filter(texts, lambda x: x != "")
+    inner = _keys("in", F.transform(real(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0)))), lambda x: F.left(x, F.lit(LONGEST))))
+    ends = F.concat(_keys("start", F.transform(real(F.array(parts[0])), lambda x: F.left(x, F.lit(LONGEST)))), _keys("end", F.transform(real(F.array(F.element_at(parts, -1))), lambda x: F.right(x, F.lit(LONGEST)))))
+    return F.array_distinct(F.when(n == 1, _keys("all", F.array(wild))).otherwise(F.concat(ends, inner)))
+
+
+def _held(name: Column, lengths: set[tuple[str, int]]) -> Column:
+    """What a name holds of such keys, by the places and lengths that patterns ask for."""
+    found = [_keys("all", F.array(name))]
+    for place, n in sorted(lengths):
+        cut = {"start": F.left(name, F.lit(n)), "end": F.right(name, F.lit(n))}.get(place)
+        if place == "in":
+            found.append(_keys(place, _grams(name, n)))
+        elif cut is not None:
+            found.append(_keys(place, F.when(F.length(name) >= n, F.array(cut)).otherwise(F.expr("cast(array() as array<string>)"))))
+    return F.flatten(F.array(*found))
+
+
 def matching_names(names: DataFrame, rules: DataFrame) -> DataFrame:
     """The names (name, lower-case) that a wildcard rule matches.
 
-    A pattern is looked up by the rarest of its stretches of three letters between stars, or by its longest
-    shorter stretch where it has none; one of stars alone matches every name. LIKE decides.
+    A pattern is looked up by one text that a name must hold, whole, the one that fewest names hold: so a pattern
+    meets about the names that it matches, and the work does not grow with names times patterns. LIKE decides. A
+    pattern of stars alone matches every name.
     """
     patterns = rules.where("kind = 'wildcard'").select(F.lower("pattern").alias("wild"), _like(F.col("pattern")).alias("like")).distinct()
-    literals = F.filter(F.split("wild", r"\*", -1), lambda x: x != "")
-    patterns = patterns.withColumn("literals", literals)
-    longest = F.array_max(F.transform("literals", F.length))
-    patterns = patterns.withColumn("n", F.least(F.coalesce(longest, F.lit(0)), F.lit(GRAM)))
-    found = None
-    for n in (0, *range(1, GRAM + 1)):
-        of_n = patterns.where(F.col("n") == n)
-        if n == 0:
-            # stars alone match every name, an empty pattern the empty one: each is a key that both sides hold
-            every = of_n.select((F.col("wild") == "").alias("bare")).distinct()
-            either = names.select("name", F.explode(F.when(F.col("name") == "", F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("bare"))
-            found = either.join(every, "bare", "left_semi").select("name")
-            continue
-        in_names = names.select("name", F.explode(_grams(F.col("name"), n)).alias("gram"))
-        often = in_names.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-        of_pattern = of_n.select("wild", "like", F.explode(F.flatten(F.transform("literals", lambda x: _grams(x, n)))).alias("gram"))
-        # a pattern with a stretch that no name holds matches none
-        rarest = of_pattern.join(often, "gram", "left").groupBy("wild", "like").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("best")).where("best.names > 0")
-        met = in_names.join(rarest.select(F.col("best.gram").alias("gram"), "like"), "gram").where(F.expr("name LIKE like"))
-        found = found.unionByName(met.select("name"))
-    return found.distinct()
+    keyed = patterns.select("like", _wanted(F.col("wild")).alias("keys"))
+    wanted = sinks.stored(keyed.select("like", F.explode("keys").alias("key")).select("like", "key.*"))
+    lengths = {(r["place"], r["n"]) for r in wanted.where("place <> 'all'").select("place", F.length("text").alias("n")).distinct().collect()}  # 3 * LONGEST at most
+    names = names.repartition(max(1, -(-names.count() // NAMES)), "name")  # a small file of names is much work
+    in_names = names.select("name", F.explode(_held(F.col("name"), lengths)).alias("key")).select("name", "key.*")
+    met = sinks.stored(in_names.join(_small(wanted.select("place", "text").distinct()), ["place", "text"], "left_semi"))
+    often = met.groupBy("place", "text").agg(F.count(F.lit(1)).alias("names"))
+    # a pattern with a text that no name holds matches none
+    best = F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "place", "text")).alias("best")
+    rarest = wanted.join(often, ["place", "text"], "left").groupBy("like").agg(best).where("best.names > 0").select("like", "best.place", "best.text")
+    found = met.join(rarest, ["place", "text"]).where(F.expr("name LIKE like")).select("name")
+    every = keyed.where(F.size("keys") == 0).select(F.lit(True).alias("bare")).distinct()  # one row at most
+    return found.unionByName(names.withColumn("bare", F.lit(True)).join(F.broadcast(every), "bare", "left_semi").select("name")).distinct()
 
 
 def visible_by(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """The rows of docs (path, project, more) that the rules show; equal to policy.visible() for the same rules. A null path or project is not shown."""
-    rules = _stored(rules.select("kind", "project", "pattern"))
+    rules = sinks.stored(rules.select("kind", "project", "pattern"))
     shown = docs.join(_small(rules.where("kind = 'approve'").select("project").distinct()), "project", "left_semi").where(F.col("path").isNotNull())
     last = F.element_at(F.split(F.lower("path"), "/", -1), -1)
-    narrow = _stored(shown.select("project", "path", _folder(F.col("path")).alias("place"), last.alias("name")))
-    folders = _stored(narrow.select("project", "place").distinct())
-    by_folder = _stored(hidden_paths(folders, rules))
+    narrow = sinks.stored(shown.select("project", "path", _folder(F.col("path")).alias("place"), last.alias("name")))
+    folders = sinks.stored(narrow.select("project", "place").distinct())
+    by_folder = sinks.stored(hidden_paths(folders, rules))
     # files that are named themselves: one key a document, no prefixes
     ignore = _named(rules, "ignore")
     files = narrow.join(_named(rules, "block").select(F.col("prefix").alias("path")).distinct(), "path", "left_semi").select("project", "path")
-    files = _stored(files.unionByName(narrow.join(ignore, (narrow["path"] == ignore["prefix"]) & (narrow["project"] == ignore["of"]), "left_semi").select("project", "path")).distinct())
-    of_folders = _stored(folders.select("place", F.explode(F.split(F.lower("place"), "/", -1)).alias("name")).distinct())
-    matched = _stored(matching_names(_stored(narrow.select("name").unionByName(of_folders.select("name")).distinct()), rules))
-    by_name = _stored(of_folders.join(matched, "name", "left_semi").select("place").distinct())
+    files = sinks.stored(files.unionByName(narrow.join(ignore, (narrow["path"] == ignore["prefix"]) & (narrow["project"] == ignore["of"]), "left_semi").select("project", "path")).distinct())
+    of_folders = sinks.stored(folders.select("place", F.explode(F.split(F.lower("place"), "/", -1)).alias("name")).distinct())
+    matched = sinks.stored(matching_names(sinks.stored(narrow.select("name").unionByName(of_folders.select("name")).distinct()), rules))
+    by_name = sinks.stored(of_folders.join(matched, "name", "left_semi").select("place").distinct())
     out = shown.withColumn("_place", _folder(F.col("path"))).withColumn("_name", last)
     out = out.join(_small(by_folder.withColumnRenamed("place", "_place")), ["project", "_place"], "left_anti").join(_small(by_name.withColumnRenamed("place", "_place")), "_place", "left_anti")
     out = out.join(_small(files), ["project", "path"], "left_anti").join(_small(matched.withColumnRenamed("name", "_name")), "_name", "left_anti")

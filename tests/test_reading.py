@@ -157,6 +157,25 @@ def test_a_hundred_thousand_rules(spark):
     assert sorted(r["id"] for r in got.collect()) == want
 
 
+def test_wildcards_meet_few_names(spark):
+    """As many patterns as names: what LIKE is asked grows with what matches, not with names times patterns."""
+    n = 4000
+    names = spark.range(n).select((F.col("id") + 10_000).cast("string").alias("name"))
+    table = spark.range(n).select(F.lit("wildcard").alias("kind"), F.lit(None).cast("string").alias("project"), F.concat(F.lit("*"), (F.col("id") * 2 + 10_001).cast("string"), F.lit("*")).alias("pattern"))
+    asked = []
+    found = rules.matching_names(names, table)
+    assert sorted(r["name"] for r in found.collect()) == [str(i) for i in range(10_001, 10_000 + n, 2)]
+    todo = [found._jdf.queryExecution().executedPlan()]
+    found._jdf.collectToPython()
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        if node.metrics().contains("numOutputRows"):
+            asked.append(node.metrics().apply("numOutputRows").value())
+    assert max(asked) <= 4 * n
+
+
 def state(spark, files):
     return spark.createDataFrame([(p, i, len(t), m, t) for p, (i, t, m) in files.items()], "path string, id long, size long, modified timestamp, text string")
 
