@@ -52,6 +52,8 @@ MINOR, PARITY = 2048, 1024
 PAIRS = 100_000_000
 #: Classes whose keys may be broadcast, by a count made before; beyond it the join is a shuffle.
 SMALL = 500_000
+#: Rows of links, or of nodes to look up, that are small enough for one partition or one broadcast table of several columns, by a bound known before.
+FEW = 200_000
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 1024, dtype=np.uint64)
@@ -130,21 +132,22 @@ def _sets(k: int):
     return run
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(rid, root) for every end of links (a, b): root is the smallest id that can be reached."""
-    e = links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct()
-    e, before = written(spark, e, "edges"), None
+def components(spark: SparkSession, links: DataFrame, most: int | None = None) -> DataFrame:
+    """(rid, root) for every end of links (a, b): root is the smallest id that can be reached. `most` links at most, where known: FEW stay in one partition, so no step of theirs is a shuffle."""
+    near = lambda df: df.coalesce(1) if most is not None and most <= FEW else df
+    e = near(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y")).distinct()
+    e, before = written(spark, e, "edges", most), None
     while True:
-        both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        both = near(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y"))).distinct()
-        old, e = e, written(spark, small, "edges")
+        small = near(large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))).distinct()
+        old, e = e, written(spark, small, "edges", most)
         forget(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
         if now == before:
-            out = written(spark, e.groupBy("x").agg(F.min("y").alias("root")).select(F.col("x").alias("rid"), "root"), "components")
+            out = written(spark, near(e).groupBy("x").agg(F.min("y").alias("root")).select(F.col("x").alias("rid"), "root"), "components", most)
             forget(e)
             return out
         before = now
@@ -159,18 +162,23 @@ class Join:
         # a row's text is named by doc_id and a 64-bit hash, so a clash of hashes matters only within one doc_id
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash("text").alias("th"), "text")
         self.docs = written(spark, rows.mapInArrow(_sketch(shingle, self.trees * DEPTH), "doc_id bigint, th bigint, n bigint, key binary, sig binary, par array<bigint>"), "sketches")
+        count = self.docs.count()
         reps = self.docs.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("par").alias("par"), F.min("n").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"), F.min("doc_id").alias("doc_id"))
-        self.reps = written(spark, reps.select(F.monotonically_increasing_id().alias("rid"), "*"), "classes")
-        self.comps = None
-        nodes = self.branches()
-        hubs = self.candidates([x.where((F.col("c") > LEAF) & (F.col("rid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rid").alias("b")) for x in nodes])
-        leaves = written(spark, reduce(DataFrame.unionByName, [self.within(x.where(F.col("c") <= LEAF), False) for x in nodes]).distinct(), "leaves")
+        self.reps = written(spark, reps.select(F.monotonically_increasing_id().alias("rid"), "*"), "classes", count)
+        self.comps, self.linked = None, 0
+        nodes = self.branches(count)
+        large = [x.where((F.col("c") > LEAF) & (F.col("rid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rid").alias("b")) for x in nodes]
+        hubs = self.candidates(large, sum(x.count() for x in large))
+        # nodes of different depths have different names, so all leaves are compared in one pass
+        small = reduce(DataFrame.unionByName, [x.where(F.col("c") <= LEAF).select("h", "rid", "n") for x in nodes])
+        count = small.count()
+        leaves = written(spark, self.within(small, False, count <= FEW).distinct(), "leaves", count)
         last = nodes.pop()
-        forget(*nodes)
         ends = [x.select(F.explode(F.array("a", "b")).alias("rid")) for x in (hubs, leaves)] + [last.where(F.col("c") > LEAF).select("rid")]
-        self.make_sets(rows, reduce(DataFrame.unionByName, ends).distinct(), shingle)
-        self.confirm(hubs)
-        self.confirm(self.apart(leaves))
+        self.make_sets(rows, reduce(DataFrame.unionByName, ends), sum(x.count() for x in ends), shingle)
+        forget(*nodes)
+        self.confirm(hubs, True)
+        self.confirm(self.apart(leaves), True)
         forget(hubs, leaves)
         self.finish(last)
 
@@ -179,29 +187,35 @@ class Join:
         at = F.col(t) if isinstance(t, str) else t
         return F.substring(sig, at * (4 * DEPTH) + (4 * depth + 1), F.lit(4 * count))
 
-    def branches(self) -> list[DataFrame]:
+    def branches(self, count: int) -> list[DataFrame]:
         """(h, rid, n, t, c, hub) for each depth: members of the nodes that hold two classes or more. The root of a tree branches whole, other nodes where they are large."""
         out: list[DataFrame] = []
         for depth in range(DEPTH):
             if out:
-                above = out[-1].where(F.col("c") > LEAF).select("h", "rid", "n", "t").join(self.reps.select("rid", "sig"), "rid")
+                above = out[-1].where(F.col("c") > LEAF).select("h", "rid", "n", "t")
+                rows = above.count()
+                above = self.reps.select("rid", "sig").join(F.broadcast(above) if rows <= FEW else above, "rid")
                 path = F.xxhash64("h", self.token("sig", "t", depth))
             else:
                 above = self.reps.select("rid", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("t"))
-                path = F.xxhash64("t", self.token("sig", "t"))
-            out.append(self.gathered(above.select(path.alias("h"), "rid", "n", "t")))
+                path, rows = F.xxhash64("t", self.token("sig", "t")), count * self.trees
+            out.append(self.gathered(above.select(path.alias("h"), "rid", "n", "t"), rows))
         return out
 
     def finish(self, last: DataFrame) -> None:
         """Links within the nodes that are large at the last depth."""
         large = last.where(F.col("c") > LEAF)
         nodes = self.open_nodes(large)
+        if nodes.isEmpty():
+            forget(last, nodes)
+            return
         self.compare(nodes.where(F.col("minor") <= MINOR))
         rest = written(self.spark, nodes.where(F.col("minor") > MINOR).select("rid").distinct(), "crowds")
         forget(last, nodes)
         if not rest.isEmpty():
             shared = self.sharing(rest)
-            self.confirm(self.candidates([shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b"))]))
+            links = shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b"))
+            self.confirm(self.candidates([links], links.count()), True)
             nodes = self.open_nodes(shared)
             forget(shared)
             self.compare(nodes)
@@ -210,12 +224,14 @@ class Join:
 
     def compare(self, nodes: DataFrame) -> None:
         """Links across components within nodes: leaves whole, larger ones slice by slice."""
+        if nodes.isEmpty():
+            return
         self.confirm(self.within(nodes.where(F.col("c") <= LEAF), True))
         large = nodes.where(F.col("c") > LEAF)
-        bound = large.where("rare").agg(F.sum("c")).first()[0] or 0
-        slices = -(-bound // PAIRS)
+        bound, rare = large.where("rare").agg(F.sum("c"), F.count(F.lit(1))).first()
+        slices = -(-(bound or 0) // PAIRS)
         for k in range(slices):
-            found = self.across(large, F.pmod(F.xxhash64("rid"), F.lit(slices)) == k)
+            found = self.across(large, F.pmod(F.xxhash64("rid"), F.lit(slices)) == k, rare <= FEW // 10)
             self.confirm(self.apart(found) if k else found)
 
     def sharing(self, active: DataFrame) -> DataFrame:
@@ -227,22 +243,26 @@ class Join:
         length = F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("m"))
         prefix = F.slice("m", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
         rows = written(self.spark, ordered.select(F.explode(prefix).alias("x"), "rid", "n").select("x.h", "rid", "n", F.lit(None).cast("int").alias("t")), "prefixes")
-        out = self.gathered(rows)
+        out = self.gathered(rows, rows.count())
         forget(rows)
         return out
 
-    def gathered(self, rows: DataFrame) -> DataFrame:
+    def gathered(self, rows: DataFrame, most: int) -> DataFrame:
+        """rows (most at most) with the size and the hub of their node, without those that are alone in it."""
         sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("h", "rid").alias("x"), "rid"))["rid"].alias("hub")).where("c > 1")
-        return written(self.spark, rows.join(sizes, "h"), "nodes")
+        return written(self.spark, rows.join(F.broadcast(sizes) if most <= FEW else sizes, "h"), "nodes", most)
 
-    def make_sets(self, rows: DataFrame, met: DataFrame, shingle: int) -> None:
-        """Full sets of the classes (rid) in met, from one text of each."""
-        wanted = written(self.spark, self.reps.join(met, "rid", "left_semi").select("rid", "key", "doc_id", "th"), "met")
+    def make_sets(self, rows: DataFrame, met: DataFrame, most: int, shingle: int) -> None:
+        """Full sets of the classes (rid) in met, which has `most` rows with repeats, from one text of each."""
+        met = F.broadcast(met) if most <= SMALL else met.distinct()
+        wanted = written(self.spark, self.reps.join(met, "rid", "left_semi").select("rid", "key", "doc_id", "th"), "met", most)
+        count = wanted.count()
         keys = wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
-        keys = F.broadcast(keys) if wanted.count() <= SMALL else keys
+        keys = F.broadcast(keys) if count <= SMALL else keys
         texts = rows.join(keys, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").dropDuplicates(["doc_id", "th"]).select("text")
         made = texts.mapInArrow(_sets(shingle), "key binary, members array<bigint>")
-        self.sets = written(self.spark, made.join(wanted.select("rid", "key"), "key").select("rid", "members"), "sets")
+        names = wanted.select("rid", "key")
+        self.sets = written(self.spark, made.join(F.broadcast(names) if count <= FEW else names, "key").select("rid", "members"), "sets", 20 * count)
         forget(wanted)
 
     def may_link(self, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
@@ -256,67 +276,76 @@ class Join:
         path = lambda sig, k: F.substring(sig, k * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
         return F.when(t > 0, F.exists(F.sequence(F.lit(0), t - 1), lambda k: path(sig1, k) == path(sig2, k))).otherwise(F.lit(False))
 
-    def candidates(self, pairs: list[DataFrame]) -> DataFrame:
-        """The different pairs (a, b) that may link, written."""
+    def candidates(self, pairs: list[DataFrame], most: int) -> DataFrame:
+        """The different pairs (a, b), of `most` with repeats, that may link, written."""
         pairs = reduce(DataFrame.unionByName, pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         short = lambda x: self.reps.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("par").alias(f"p_{x}"))
-        pairs = pairs.join(short("a"), "a").join(short("b"), "b").where(self.may_link(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))).select("a", "b")
-        return written(self.spark, pairs, "pairs")
+        pairs = short("a").join(F.broadcast(pairs) if most <= FEW else pairs, "a").join(short("b"), "b").where(self.may_link(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))).select("a", "b")
+        return written(self.spark, pairs, "pairs", most)
+
+    def roots(self) -> DataFrame:
+        """(rid, root) by now, broadcast where these are few."""
+        return F.broadcast(self.comps) if self.linked <= SMALL else self.comps
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components by now."""
-        root = lambda x: self.comps.select(F.col("rid").alias(x), F.col("root").alias(f"r_{x}"))
+        root = lambda x: self.roots().select(F.col("rid").alias(x), F.col("root").alias(f"r_{x}"))
         both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
         return both.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Finds the pairs (a, b) that are similar on their full sets, and joins components anew. Pairs may link and differ."""
-        pairs = written(self.spark, pairs.select("a", "b").distinct(), "confirm")
+    def confirm(self, pairs: DataFrame, different: bool = False) -> None:
+        """Finds the pairs (a, b) that are similar on their full sets, and joins components anew. Pairs may link; whether they are known to be different."""
+        pairs = pairs.select("a", "b")
+        pairs = written(self.spark, pairs if different else pairs.distinct(), "confirm")
         count = pairs.count()
         if not count and self.comps is not None:
             forget(pairs)
             return
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        sets = self.sets.join(F.broadcast(ends) if count <= SMALL else ends, "rid", "left_semi")
-        side = lambda x: sets.select(F.col("rid").alias(x), F.col("members").alias(f"m_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        side = lambda x: self.sets.select(F.col("rid").alias(x), F.col("members").alias(f"m_{x}"))
+        met = F.broadcast(pairs) if count <= SMALL else pairs
+        ends = met.select("b") if count <= SMALL else met.select("b").distinct()
+        both = side("a").join(met, "a").join(side("b").join(ends, "b", "left_semi"), "b")
         common, total = F.size(F.array_intersect("m_a", "m_b")).cast("bigint"), (F.size("m_a") + F.size("m_b")).cast("bigint")
-        found = written(self.spark, both.select("a", "b", common.alias("c"), total.alias("n")).where(100 * F.col("c") >= self.percent * (F.col("n") - F.col("c"))).select("a", "b"), "links")
+        found = written(self.spark, both.select("a", "b", common.alias("c"), total.alias("n")).where(100 * F.col("c") >= self.percent * (F.col("n") - F.col("c"))).select("a", "b"), "links", 20 * count)
         old = self.comps
         if old is None:
-            self.comps = components(self.spark, found)
-        elif not found.isEmpty():
-            self.comps = components(self.spark, found.unionByName(old.select(F.col("rid").alias("a"), F.col("root").alias("b"))))
+            self.linked = count
+            self.comps = components(self.spark, found, count)
+        elif (new := found.count()):
+            # a component has fewer rows than links, as its root has none
+            self.linked += new
+            self.comps = components(self.spark, found.unionByName(old.select(F.col("rid").alias("a"), F.col("root").alias("b"))), self.linked)
             forget(old)
         forget(pairs, found)
 
     def rooted(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.comps, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        return rows.join(self.roots(), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
 
     def open_nodes(self, nodes: DataFrame) -> DataFrame:
         """Members, with roots and parities, of the nodes that hold more than one component; minor: members outside the largest one, rare: whether this is such a member."""
+        count = nodes.count()
         rows = self.rooted(nodes)
         sizes = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
         most = sizes.groupBy("h").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         most = most.select("h", (F.col("all") - F.col("top.k")).alias("minor"), F.col("top.root").alias("major"))
-        rows = rows.join(most, "h").withColumn("rare", F.col("root") != F.col("major")).drop("major")
-        return written(self.spark, rows.join(self.reps.select("rid", "par", "sig"), "rid"), "open")
+        rows = rows.join(F.broadcast(most) if count <= FEW else most, "h").withColumn("rare", F.col("root") != F.col("major")).drop("major")
+        return written(self.spark, self.reps.select("rid", "par", "sig").join(F.broadcast(rows) if count <= FEW else rows, "rid"), "open", count)
 
-    def within(self, leaves: DataFrame, opened: bool) -> DataFrame:
+    def within(self, leaves: DataFrame, opened: bool, few: bool = False) -> DataFrame:
         """Pairs (a, b) that may link within leaves, from their gathered members; of opened nodes only those across components."""
         columns = ["rid", "n", "par", *["root"] * opened]
-        rows = leaves if opened else leaves.join(self.reps.select("rid", "par"), "rid")
+        rows = leaves if opened else self.reps.select("rid", "par").join(F.broadcast(leaves) if few else leaves, "rid")
         later = lambda x, y: (y["rid"] > x["rid"]) & ((y["root"] != x["root"]) if opened else F.lit(True)) & self.may_link(x["n"], x["par"], y["n"], y["par"])
         pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: later(x, y)), lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b")))))
         return rows.groupBy("h").agg(F.collect_list(F.struct(*columns)).alias("m")).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
-    def across(self, large: DataFrame, some: Column) -> DataFrame:
-        """Pairs (a, b) across components within large nodes that may link: `some` of the members by the members outside the largest component."""
+    def across(self, large: DataFrame, some: Column, few: bool) -> DataFrame:
+        """Pairs (a, b) across components within large nodes that may link: `some` of the members by the members outside the largest component, which are broadcast if they are few."""
         large = large.select("h", "t", "rid", "root", "n", "par", "sig", "rare")
         rare = large.where("rare").select("h", *(F.col(c).alias(f"{c}_b") for c in ("rid", "root", "n", "par", "sig")))
         # a pair of two rare members needs one of its two rows only
         once = ~F.col("rare") | (F.col("rid") < F.col("rid_b"))
-        met = large.where(some).join(rare, "h").where((F.col("root") != F.col("root_b")) & once & self.may_link(F.col("n"), F.col("par"), F.col("n_b"), F.col("par_b")) & ~self.met_before(F.col("sig"), F.col("sig_b"), F.col("t")))
+        met = large.where(some).join(F.broadcast(rare) if few else rare, "h").where((F.col("root") != F.col("root_b")) & once & self.may_link(F.col("n"), F.col("par"), F.col("n_b"), F.col("par_b")) & ~self.met_before(F.col("sig"), F.col("sig_b"), F.col("t")))
         return met.select(F.col("rid").alias("a"), F.col("rid_b").alias("b"))
 
     def result(self) -> DataFrame:

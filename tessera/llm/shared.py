@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONG_S = 2.0
+#: Rows that a task of a written table has at least, where more are known not to come.
+TASK_ROWS = 20_000
 _OWN: dict[str, str] = {}
 
 
@@ -25,8 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
+def written(spark: SparkSession, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors.
+
+    most: about how many rows it has at most, where that is known. A small table is then written by few
+    tasks, whatever the number of shuffle partitions; a large one by as many as without.
+    """
+    if most is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-most // TASK_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     began = time.monotonic()
     df.write.option("parquet.enable.dictionary", "false").parquet(path)  # most columns are hashes and ids

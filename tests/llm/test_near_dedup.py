@@ -147,3 +147,43 @@ def test_texts_of_one_hash(spark, monkeypatch):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(words[i % 3 * 20 :] + [f"x{i}"])) for i in range(12)] + [(50, "a b c d e f"), (51, "a b c d e f")]
     check(spark, rows, 3, 85)
+
+
+def crowd():
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(100)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        w[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    return rows + [(200 + i, f"alone {i} " + " ".join(f"y{i}x{j}" for j in range(20))) for i in range(9)]
+
+
+def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
+    parts = {}
+
+    def noted(*args):
+        out = written(*args)
+        parts[args[2]] = max(parts.get(args[2], 0), len(out.inputFiles()))
+        return out
+
+    written = nd.written
+    monkeypatch.setattr(nd, "written", noted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        check(spark, crowd(), 3, 85)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    steps = ("classes", "nodes", "pairs", "leaves", "sets", "links", "edges", "components")
+    assert {k: n for k, n in parts.items() if k in steps and n > spark.sparkContext.defaultParallelism} == {}
+
+
+def test_shuffled_where_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(nd, "FEW", 0)
+    monkeypatch.setattr(nd, "SMALL", 0)
+    check(spark, crowd(), 3, 85)
