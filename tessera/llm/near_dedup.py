@@ -376,8 +376,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     rows = run.docs.where("n > 0").select("doc_id", "th", "key").join(run.rooted(run.reps.select("rid", "key")).select("key", "root"), "key")
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     gone = rows.join(first, "root").where(order != F.col("first")).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct()
-    gone = written(spark, gone, "near-gone")
-    again = written(spark, run.docs.where("n > 0").groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).count().where("count > 1").drop("count"), "near-again")
+    count = run.docs.count()
+    gone = written(spark, gone, "near-gone", count)
+    again = written(spark, run.docs.where("n > 0").groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).count().where("count > 1").drop("count"), "near-again", count)
     forget(run.docs, run.reps, run.sets, run.comps)
     same = lambda keys: (text_hash(docs["text"]) == keys["g_th"]) & docs["doc_id"].cast("bigint").eqNullSafe(keys["g_id"])
     kept = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, same(gone), "left_anti")
